@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: a word is a run of letters, digits and underscores in any script.
@@ -15,3 +17,12 @@ def words(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     return F.array_distinct(words(text))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row.
+
+    A lambda variable holds it, so a body that reads it per element does not
+    recompute it per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

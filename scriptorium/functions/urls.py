@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.functions.tokens import let
+
 # What an address is split by.
 HOST_PATTERN = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH_PATTERN = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -110,12 +112,9 @@ def last_segment(url: Column) -> Column:
 def edition_year(url: Column) -> Column:
     """The newest year the last segment names; a range counts when its years follow."""
     raw = last_segment(url)
-    segment = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    plain = F.transform(
-        F.regexp_extract_all(segment, F.lit(YEAR_PATTERN), 1), lambda y: y.cast("int")
-    )
+    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
 
-    def ranges(pattern: str) -> Column:
+    def ranges(segment: Column, pattern: str) -> Column:
         pairs = F.arrays_zip(
             F.regexp_extract_all(segment, F.lit(pattern), 1).alias("a"),
             F.regexp_extract_all(segment, F.lit(pattern), 2).alias("b"),
@@ -126,7 +125,19 @@ def edition_year(url: Column) -> Column:
         )
         return F.transform(follows, lambda p: p["b"].cast("int") + 2000)
 
-    return F.array_max(F.concat(plain, ranges(LONG_RANGE_PATTERN), ranges(SHORT_RANGE_PATTERN)))
+    def newest(segment: Column) -> Column:
+        plain = F.transform(
+            F.regexp_extract_all(segment, F.lit(YEAR_PATTERN), 1), lambda y: y.cast("int")
+        )
+        return F.array_max(
+            F.concat(
+                plain,
+                ranges(segment, LONG_RANGE_PATTERN),
+                ranges(segment, SHORT_RANGE_PATTERN),
+            )
+        )
+
+    return let(decoded, newest)
 
 
 def ranking_text(anchor: Column, url: Column) -> Column:

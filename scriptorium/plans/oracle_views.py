@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
                    unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')))) AS pos
             FROM pages)""",
     "v_edges": r"""
-        SELECT src, dst, pos, 'link ' || dst || ' from page ' || src AS anchor, dst % 5 = 0 AS is_pdf FROM (
+        SELECT src, dst, CAST(pos AS BIGINT) AS pos, 'link ' || dst || ' from page ' || src AS anchor, dst % 5 = 0 AS is_pdf FROM (
             SELECT page_id AS src, 0 AS pos, (7 * page_id + 1) % n AS dst FROM pages, (SELECT count(*) AS n FROM pages)
             UNION ALL SELECT page_id, 1, (3 * page_id + 2) % n FROM pages, (SELECT count(*) AS n FROM pages)
             UNION ALL SELECT page_id, 2, (page_id * page_id) % n FROM pages, (SELECT count(*) AS n FROM pages))
@@ -127,6 +127,30 @@ VIEWS: dict[str, str] = {
         LEFT JOIN v_chunks c ON c.row_key = x.row_key
         LEFT JOIN v_truth t ON t.question_id = x.question_id AND t.doc_id = c.doc_id
         GROUP BY g.question_id, g.locale, a.arm""",
+    "v_sparse_ranks": r"""
+        SELECT g.question_id, g.locale, min(CASE WHEN t.doc_id IS NOT NULL THEN x.rn END) AS rank
+        FROM v_gold g LEFT JOIN (SELECT * FROM v_sparse_top WHERE rn <= 10) x ON x.question_id = g.question_id
+        LEFT JOIN v_chunks c ON c.row_key = x.row_key
+        LEFT JOIN v_truth t ON t.question_id = x.question_id AND t.doc_id = c.doc_id
+        GROUP BY g.question_id, g.locale""",
+    "v_web_texts": r"""
+        SELECT text, min(row_key) AS text_key, count(*) AS copies, min(url || '|' || content_hash) AS low_version,
+               max(url || '|' || content_hash) AS high_version FROM v_chunks WHERE kind = 'web' GROUP BY text""",
+    "v_text_features": r"""
+        SELECT text_key, low_version, high_version,
+               list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s,
+               list_distinct(regexp_extract_all(text, '\p{Nd}+')) AS nums
+        FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM v_web_texts) WHERE len(w) > 0""",
+    "v_text_shingles": r"""
+        SELECT text_key, unnest(s) AS sh FROM v_text_features""",
+    "v_near": r"""
+        SELECT p.a, p.b, round(p.shared / (len(x.s) + len(y.s) - p.shared), 9) AS jaccard
+        FROM (SELECT l.text_key AS a, r.text_key AS b, CAST(count(*) AS DOUBLE) AS shared
+              FROM v_text_shingles l JOIN v_text_shingles r ON l.sh = r.sh AND l.text_key < r.text_key GROUP BY 1, 2) p
+        JOIN v_text_features x ON x.text_key = p.a JOIN v_text_features y ON y.text_key = p.b
+        WHERE p.shared / (len(x.s) + len(y.s) - p.shared) >= 0.5
+          AND CASE WHEN len(x.nums) <= len(y.nums) THEN list_has_all(y.nums, x.nums) ELSE list_has_all(x.nums, y.nums) END
+          AND least(x.low_version, y.low_version) <> greatest(x.high_version, y.high_version)""",
     "v_scores": r"""
         SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
                (['en', 'it', 'zh'])[item_id % 3 + 1] AS locale,
@@ -160,7 +184,7 @@ VIEWS: dict[str, str] = {
                '2024-2025' AS academic_year, sha256(body) AS source_sha256,
                '2026-01-' || lpad(CAST(1 + (conv_id + pos) % 28 AS VARCHAR), 2, '0') AS fetch_date,
                '[m' || (conv_id % 9) || '.' || (pos // 2) || ']' AS marker
-        FROM v_assistant, (SELECT unnest([0, 1, 2]) AS pos)""",
+        FROM v_assistant, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS pos)""",
     "v_answers": r"""
         SELECT answer_id, conv_id, turn,
                body || ' [' || (turn % 4) || '][9]' || CASE conv_id % 4 WHEN 0 THEN ' (Excerpt 2)' WHEN 1 THEN ' `[1]`'

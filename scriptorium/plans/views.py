@@ -16,8 +16,22 @@ LOCALES = ["en", "it", "zh"]
 TARGETS = ["slides", "unifi_web", "both"]
 
 
+# Tables whose rows carry whole texts, so that a task's work is the text, not the row.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over every core when the scan has fewer splits than there are cores.
+
+    A table of many files or row groups already has enough splits and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def text_of(*parts: Column | str) -> Column:
