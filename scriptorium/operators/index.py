@@ -7,6 +7,8 @@ rewritten.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: how many facet values are listed.
@@ -122,8 +124,10 @@ def delete_run(points: DataFrame, run_id: str) -> DataFrame:
     return points.where(~gone)
 
 
-def incremental_plan(fetched: DataFrame, latest: DataFrame, counts: DataFrame) -> DataFrame:
-    """What to do with each fetched page: (url, ingest_source, action).
+def incremental_plan(
+    fetched: DataFrame, latest: DataFrame, counts: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
+    """What to do with each fetched page: (url, ingest_source, action), and columns to carry.
 
     `fetched`: url, ingest_source, content_hash, relevant, complete; `latest`: url,
     known_hash; `counts`: url, ingest_source, points. A page is skipped only when its
@@ -142,7 +146,7 @@ def incremental_plan(fetched: DataFrame, latest: DataFrame, counts: DataFrame) -
     return (
         fetched.join(latest.select("url", "known_hash"), "url", "left")
         .join(counts.select(*WEB_KEY, "points"), WEB_KEY, "left")
-        .select("url", "ingest_source", action.alias("action"))
+        .select("url", "ingest_source", *carry, action.alias("action"))
     )
 
 

@@ -151,6 +151,24 @@ VIEWS: dict[str, str] = {
         WHERE p.shared / (len(x.s) + len(y.s) - p.shared) >= 0.5
           AND CASE WHEN len(x.nums) <= len(y.nums) THEN list_has_all(y.nums, x.nums) ELSE list_has_all(x.nums, y.nums) END
           AND least(x.low_version, y.low_version) <> greatest(x.high_version, y.high_version)""",
+    "v_blocks": r"""
+        SELECT doc_id, chunk_index AS pos, chunk_index % 25 = 0 AS is_heading, 1 + (chunk_index // 25) % 2 AS level,
+               chunk_index // 3 + 1 AS page,
+               CASE WHEN chunk_index % 25 = 0 AND doc_id % 4 = 0 THEN 'Notes ' || doc_id ELSE text END AS text FROM v_lines""",
+    "v_point_rows": r"""
+        SELECT *, doc_id * 100000 + chunk_index AS seq, CASE WHEN academic_year IS NOT NULL THEN course || ':' || academic_year || ':' ELSE '' END
+            || left(source_sha256, 16) || ':' || parse_variant || ':' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id FROM v_chunks""",
+    "v_points": r"""
+        SELECT * FROM (SELECT *, md5(chunk_id) AS point_id FROM v_point_rows)
+        QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) = 1""",
+    "v_batch": r"""
+        SELECT * REPLACE (CASE WHEN doc_id % 3 = 1 THEN point_id ELSE md5(point_id || 'v2') END AS point_id, text || ' (second edition)' AS text, seq + 1000000000 AS seq)
+        FROM v_points WHERE doc_id % 4 = 1""",
+    "v_after_upsert": r"""
+        SELECT point_id, kind, url, ingest_source, ingest_run_id, source_file, course, academic_year, source_sha256, text, seq FROM v_points
+        WHERE point_id NOT IN (SELECT point_id FROM v_batch)
+        UNION ALL SELECT point_id, kind, url, ingest_source, ingest_run_id, source_file, course, academic_year, source_sha256, text, seq FROM v_batch
+        QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) = 1""",
     "v_scores": r"""
         SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
                (['en', 'it', 'zh'])[item_id % 3 + 1] AS locale,
@@ -240,7 +258,7 @@ VIEWS: dict[str, str] = {
                     WHEN event_id % 2 = 0 THEN 'persisted' ELSE 'ephemeral' END AS outcome
         FROM v_activity WHERE kind = 'question'""",
     "v_materials": r"""
-        SELECT doc_id, doc_id % 20 AS edition, sha256(text) AS sha256, 'f' || (doc_id % 50) || '.pdf' AS name,
+        SELECT doc_id, doc_id % 250 AS edition, sha256(text) AS sha256, CASE WHEN doc_id % 500 = 7 THEN 'same' ELSE 'f' || doc_id END || '.pdf' AS name,
                n_chars * 4096 AS bytes, n_chars // 60 AS pages, doc_id % 23 <> 0 AS signed FROM documents""",
 }
 

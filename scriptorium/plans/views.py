@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from scriptorium.functions import ids
 from scriptorium.functions.html import page_links
 from scriptorium.functions.tokens import words
+from scriptorium.operators.index import keep_last
 
 METRICS = ["faithfulness", "relevancy", "precision", "recall"]
 LOCALES = ["en", "it", "zh"]
@@ -530,10 +532,57 @@ def materials(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf, "documents").select(
         "doc_id",
-        (d % 20).alias("edition"),
+        (d % 250).alias("edition"),
         F.sha2("text", 256).alias("sha256"),
-        text_of("f", d % 50, ".pdf").alias("name"),
+        F.concat(F.when(d % 500 == 7, "same").otherwise(text_of("f", d)), F.lit(".pdf")).alias("name"),
         (F.col("n_chars") * 4096).alias("bytes"),
         F.floor(F.col("n_chars") / 60).cast("long").alias("pages"),
         (d % 23 != 0).alias("signed"),
     )
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as structural blocks: some are headings, a few repeat as page furniture."""
+    i, d = F.col("chunk_index"), F.col("doc_id")
+    heading = i % 25 == 0
+    return lines(spark, sf).select(
+        "doc_id",
+        i.alias("pos"),
+        heading.alias("is_heading"),
+        (F.floor(i / 25) % 2 + 1).alias("level"),
+        (F.floor(i / 3) + 1).cast("long").alias("page"),
+        F.when(heading & (d % 4 == 0), text_of("Notes ", d)).otherwise(F.col("text")).alias("text"),
+    )
+
+
+POINT_COLUMNS = [
+    "point_id", "kind", "url", "ingest_source", "ingest_run_id", "source_file", "course",
+    "academic_year", "source_sha256", "text", "seq",
+]
+
+
+def point_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as index writes, in `seq` order; equal bytes share a point id."""
+    rows = chunks(spark, sf)
+    key = ids.chunk_id(
+        F.col("course"), F.col("academic_year"), F.col("source_sha256"), F.col("parse_variant"), F.col("chunk_index")
+    )
+    return rows.withColumn("point_id", F.md5(key)).withColumn(
+        "seq", F.col("doc_id") * 100000 + F.col("chunk_index")
+    )
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """The index as it stands: the last write of each point."""
+    return keep_last(point_rows(spark, sf).select("doc_id", *POINT_COLUMNS), "point_id", "seq")
+
+
+def batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A second ingest of some documents, under old and under new point ids."""
+    d = F.col("doc_id")
+    return points(spark, sf).where(d % 4 == 1).select(
+        F.when(d % 3 == 1, F.col("point_id")).otherwise(F.md5(F.concat("point_id", F.lit("v2")))).alias("point_id"),
+        *[c for c in POINT_COLUMNS if c not in ("point_id", "text", "seq")],
+        F.concat("text", F.lit(" (second edition)")).alias("text"),
+        (F.col("seq") + 1000000000).alias("seq"),
+    )
