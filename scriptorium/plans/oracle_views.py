@@ -169,6 +169,37 @@ VIEWS: dict[str, str] = {
         WHERE point_id NOT IN (SELECT point_id FROM v_batch)
         UNION ALL SELECT point_id, kind, url, ingest_source, ingest_run_id, source_file, course, academic_year, source_sha256, text, seq FROM v_batch
         QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) = 1""",
+    "v_marks": r"""
+        SELECT *, CASE WHEN academic_year = newest THEN 'current' WHEN academic_year < newest THEN 'past' ELSE 'upcoming' END AS state FROM (
+            SELECT e.*, d.day, e.start_day <= d.day AS started,
+                   max(CASE WHEN e.start_day <= d.day THEN academic_year END) OVER (PARTITION BY course, day) AS newest FROM v_editions e, v_days d)""",
+    "v_covered": r"""
+        SELECT user_id, course, bool_or(role = 'teacher') AS as_teacher, bool_or(role = 'secretariat') AS as_secretariat FROM (
+            SELECT user_id, course, 'teacher' AS role FROM v_roles WHERE role = 'teacher'
+            UNION ALL SELECT r.user_id, e.course, 'secretariat' FROM v_roles r JOIN v_entries e USING (programme) WHERE r.role = 'secretariat') GROUP BY 1, 2""",
+    "v_boundary": r"""
+        SELECT user_id, course, academic_year, state, bool_or(as_teacher) AS as_teacher,
+               state = 'current' OR (bool_or(as_teacher) AND state <> 'past') AS is_default FROM (
+            SELECT s.user_id, m.course, m.academic_year, m.state, FALSE AS as_teacher FROM v_students s JOIN v_entries e USING (programme)
+                JOIN v_marks m ON m.course = e.course AND m.day = DATE '1998-09-01' AND m.state <> 'upcoming'
+            UNION ALL SELECT c.user_id, m.course, m.academic_year, m.state, c.as_teacher FROM v_covered c JOIN v_marks m ON m.course = c.course AND m.day = DATE '1998-09-01')
+        GROUP BY 1, 2, 3, 4""",
+    "v_hits": r"""
+        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id, question, j + 1 AS rn, (item_id * 3 + j * 11) % n AS page
+        FROM (SELECT item_id, text AS question FROM benchmark), (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS j), (SELECT count(*) AS n FROM pages)
+        QUALIFY row_number() OVER (PARTITION BY item_id, page ORDER BY j) = 1""",
+    "v_linked": r"""
+        SELECT * FROM v_edges WHERE src % 4 <> 0""",
+    "v_carriers": r"""
+        SELECT page, CASE WHEN page IN (SELECT src FROM v_linked) THEN page ELSE referrer END AS carrier
+        FROM (SELECT page_id AS page, CASE WHEN page_id > 0 THEN page_id // 2 END AS referrer FROM pages)
+        WHERE page IN (SELECT src FROM v_linked) OR referrer IS NOT NULL""",
+    "v_candidates": r"""
+        SELECT question_id, dst, rn, pos, referrer, anchor, is_pdf FROM (
+            SELECT h.question_id, l.dst, h.rn, l.pos, l.src AS referrer, l.anchor, l.is_pdf FROM v_hits h JOIN v_carriers c USING (page) JOIN v_linked l ON l.src = c.carrier
+            WHERE NOT EXISTS (SELECT 1 FROM v_hits s WHERE s.question_id = h.question_id AND s.page = l.dst)
+              AND NOT (l.dst = (CAST(substr(h.question_id, 2) AS BIGINT) * 5) % (SELECT count(*) FROM pages)))
+        QUALIFY row_number() OVER (PARTITION BY question_id, dst ORDER BY rn, pos, referrer) = 1""",
     "v_scores": r"""
         SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
                (['en', 'it', 'zh'])[item_id % 3 + 1] AS locale,
@@ -196,9 +227,9 @@ VIEWS: dict[str, str] = {
     "v_citations": r"""
         SELECT answer_id, conv_id, turn, pos,
                CASE WHEN (conv_id + pos) % 2 = 0 THEN 'slides' ELSE 'web' END AS kind,
-               CASE WHEN (conv_id + pos) % 2 = 0 THEN NULL ELSE web_url || '/' || (pos + turn) % 2 END AS url,
+               CASE WHEN (conv_id + pos) % 2 = 0 THEN NULL ELSE web_url || '/' || ((pos + turn) // 2) % 2 || CASE WHEN conv_id % 3 = 0 THEN '/end' ELSE '' END END AS url,
                'f' || (conv_id % 7) || '.pdf' AS source_file, pos + 1 AS page,
-               CASE WHEN (conv_id + pos) % 3 = 0 THEN 'Heading ' || (conv_id % 4) END AS heading,
+               CASE WHEN conv_id % 3 <> 1 THEN 'Heading ' || (conv_id % 4) END AS heading,
                '2024-2025' AS academic_year, sha256(body) AS source_sha256,
                '2026-01-' || lpad(CAST(1 + (conv_id + pos) % 28 AS VARCHAR), 2, '0') AS fetch_date,
                '[m' || (conv_id % 9) || '.' || (pos // 2) || ']' AS marker

@@ -323,10 +323,10 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
             "turn",
             pos.cast("long").alias("pos"),
             F.when(slides, "slides").otherwise("web").alias("kind"),
-            F.when(~slides, text_of(F.col("web_url"), "/", (pos + t) % 2)).alias("url"),
+            F.when(~slides, text_of(F.col("web_url"), "/", F.floor((pos + t) / 2) % 2, F.when(c % 3 == 0, "/end").otherwise(""))).alias("url"),
             text_of("f", c % 7, ".pdf").alias("source_file"),
             (pos + 1).cast("long").alias("page"),
-            F.when((c + pos) % 3 == 0, text_of("Heading ", c % 4)).alias("heading"),
+            F.when(c % 3 != 1, text_of("Heading ", c % 4)).alias("heading"),
             F.lit("2024-2025").alias("academic_year"),
             F.sha2("body", 256).alias("source_sha256"),
             text_of("2026-01-", padded((c + pos) % 28 + 1, 2)).alias("fetch_date"),
@@ -586,3 +586,34 @@ def batch(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("text", F.lit(" (second edition)")).alias("text"),
         (F.col("seq") + 1000000000).alias("seq"),
     )
+
+
+def question_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Five stored pages each labelled question found, in rank order."""
+    n = table(spark, sf, "pages").select(F.count("*")).scalar()
+    page = (F.col("item_id") * 3 + F.col("j") * 11) % n
+    listed = table(spark, sf, "benchmark").select(
+        "item_id", F.col("text").alias("question"), F.explode(F.expr("sequence(0L, 4L)")).alias("j")
+    )
+    return listed.groupBy("item_id", "question", page.alias("page")).agg(
+        (F.min("j") + 1).alias("rn")
+    ).select(question_id().alias("question_id"), "question", "rn", "page")
+
+
+def visited_pages(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "pages").select(F.count("*")).scalar()
+    return table(spark, sf, "benchmark").select(
+        question_id().alias("question_id"), ((F.col("item_id") * 5) % n).alias("page")
+    )
+
+
+def page_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("page_id")
+    return table(spark, sf, "pages").select(
+        p.alias("page"), F.when(p > 0, F.floor(p / 2).cast("long")).alias("referrer")
+    )
+
+
+def linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of the pages that record any; every fourth page is an attachment without."""
+    return edges(spark, sf).where("src % 4 <> 0")
