@@ -1,15 +1,17 @@
 """Lexical search: an inverted index as tables, and BM25 over a table of queries.
 
-The postings of a text are counted where the text is, so the only wide step of a
-search over unindexed text is the shuffle of matching postings by row key; the
-later sums per (query, row) reuse that partitioning.
+Two ways to search: `search_index` joins a stored index term by term, `search_texts`
+scores unindexed text block by block.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scriptorium.functions.tokens import WORD_PATTERN, words
 from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
@@ -18,6 +20,10 @@ from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
 K1 = 1.2
 B = 0.75
 
+# Rows and queries of one scoring block: what a task holds at once.
+BLOCK_ROWS = 32768
+BLOCK_QUERIES = 4096
+
 
 @dataclass(frozen=True)
 class Bm25Index:
@@ -35,9 +41,15 @@ def corpus_stats(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exploded_terms(texts: DataFrame, key: str = "row_key", text: str = "text") -> DataFrame:
-    """One row per word of each text, with the text's length in words."""
-    return texts.select(key, words(F.col(text)).alias("found")).select(
-        key, F.size("found").alias("doc_len"), F.explode("found").alias("term")
+    """One row per word of each text, with the text's length in words.
+
+    The outer form of explode: the plain one adds a filter that would run the word
+    pattern over every text a second time.
+    """
+    return (
+        texts.select(key, words(F.col(text)).alias("found"))
+        .select(key, F.size("found").alias("doc_len"), F.explode_outer("found").alias("term"))
+        .where("term is not null")
     )
 
 
@@ -123,6 +135,53 @@ def search_index(
     return top_k(scored, [query], k, key=key)
 
 
+def _block_scorer(query: str, key: str, k: int, exclude_self: bool):
+    """Scores one block of postings against one block of queries: k best rows per query.
+
+    Postings are laid out by term, so a query adds one slice per word it asks for.
+    """
+
+    def best(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        arrow = pa.schema(
+            [
+                ("query_key", asked.schema.field("query_key").type),
+                ("row_key", postings.schema.field("row_key").type),
+                ("score", pa.float64()),
+            ]
+        )
+        if postings.num_rows == 0 or asked.num_rows == 0:
+            return arrow.empty_table()
+        rows, keys = pd.factorize(postings.column("row_key").to_pandas(), sort=True)
+        codes, terms = pd.factorize(postings.column("term").to_pandas())
+        order = np.argsort(codes, kind="stable")
+        rows, factor = rows[order], postings.column("factor").to_numpy()[order]
+        start = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+        frame = asked.to_pandas()
+        frame["code"] = pd.Index(terms).get_indexer(frame["term"])
+        out_q, out_k, out_s = [], [], []
+        for name, wanted in frame[frame["code"] >= 0].groupby("query_key", sort=False):
+            scores = np.zeros(len(keys))
+            for code, price in zip(wanted["code"], wanted["idf"]):
+                span = slice(start[code], start[code + 1])
+                scores[rows[span]] += price * factor[span]
+            scores = np.round(scores, SCORE_DIGITS)
+            if exclude_self:
+                at = np.searchsorted(keys, name)
+                if at < len(keys) and keys[at] == name:
+                    scores[at] = 0.0
+            hit = np.flatnonzero(scores > 0)
+            if len(hit) > k:
+                cut = np.partition(scores[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[scores[hit] >= cut]
+            hit = hit[np.argsort(-scores[hit], kind="stable")][:k]
+            out_q.extend([name] * len(hit))
+            out_k.extend(keys[hit])
+            out_s.extend(scores[hit])
+        return pa.table([out_q, out_k, out_s], schema=arrow)
+
+    return best
+
+
 def search_texts(
     texts: DataFrame,
     queries: DataFrame,
@@ -130,33 +189,71 @@ def search_texts(
     text: str = "question",
     key: str = "row_key",
     body: str = "text",
-    k: int | None = PREFETCH,
+    k: int = PREFETCH,
     condition: Column | None = None,
     exclude_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Top-k rows per query straight from a table of texts.
 
-    Only words some query asks for leave the scan; frequencies are the whole
-    corpus's, and `condition` decides which rows may rank, never what a word weighs.
+    Only words some query asks for leave the scan, in one shuffle by block of rows.
+    A block scores whole blocks of queries and hands on k rows per query, so the
+    pairs a common word makes are never written. Blocks are sized from row counts.
+    Frequencies are the whole corpus's; `condition` decides which rows may rank,
+    never what a word weighs.
     """
-    stats = corpus_stats(texts, body)
+    corpus = corpus_stats(texts, body).first()
+    n, avg_len = corpus["n"], corpus["avg_len"] or 1.0
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    # Several blocks per core even out their sizes; more rows mean more blocks.
+    blocks = max(1, -(-n // block_rows), min(4 * cores, n))
+    query_blocks = max(1, -(-queries.count() // block_queries))
     wanted = query_terms(queries, query, text)
     flagged = texts.withColumn("visible", F.lit(True) if condition is None else condition)
-    found = flagged.select(key, "visible", words(F.col(body)).alias("found"))
     matches = (
-        found.select(key, "visible", F.size("found").alias("doc_len"), F.explode("found").alias("term"))
+        flagged.select(
+            key,
+            "visible",
+            F.pmod(F.xxhash64(key), F.lit(blocks)).alias("pb"),
+            words(F.col(body)).alias("found"),
+        )
+        .select(key, "visible", "pb", F.size("found").alias("doc_len"), F.explode_outer("found").alias("term"))
         .join(wanted.select("term").distinct(), "term", "left_semi")
-        .repartition(key)
-        .groupBy(key, "visible", "doc_len", "term")
-        .agg(F.count("*").alias("tf"))
+        .repartition("pb")
+        .groupBy("pb", key, "doc_len", "term")
+        # An aggregate, so that the filter below cannot split the shared shuffle in two.
+        .agg(F.count("*").alias("tf"), F.bool_and("visible").alias("visible"))
     )
     terms = (
         matches.groupBy("term")
         .agg(F.count("*").alias("df"))
-        .withColumn("idf", idf(F.col("df"), stats.select("n").scalar()))
+        .withColumn("idf", idf(F.col("df"), F.lit(n)))
     )
-    ranked_rows = matches.where("visible")
-    scored = _scored(ranked_rows, terms, stats, wanted, query, key)
-    if exclude_self:
-        scored = scored.where(F.col(query) != F.col(key))
-    return top_k(scored, [query], k, key=key)
+    factor = weight(F.lit(1.0), F.col("tf"), F.col("doc_len"), F.lit(avg_len))
+    postings = matches.where("visible").select("pb", F.col(key).alias("row_key"), "term", factor.alias("factor"))
+    asked = wanted.join(terms.select("term", "idf"), "term").select(
+        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("pb"),
+        F.pmod(F.xxhash64(query), F.lit(query_blocks)).alias("qb"),
+        F.col(query).alias("query_key"),
+        "term",
+        "idf",
+    )
+    on = ["pb"]
+    if query_blocks > 1:
+        on = ["pb", "qb"]
+        postings = postings.select("*", F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("qb"))
+    schema = T.StructType(
+        [
+            T.StructField("query_key", queries.schema[query].dataType),
+            T.StructField("row_key", texts.schema[key].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    found = (
+        postings.groupBy(*on)
+        .cogroup(asked.groupBy(*on))
+        .applyInArrow(_block_scorer(query, key, k, exclude_self), schema)
+        .select(F.col("query_key").alias(query), F.col("row_key").alias(key), "score")
+    )
+    return top_k(found, [query], k, key=key)

@@ -52,7 +52,10 @@ def exact_search(
     the blocks, so a block's memory does not depend on how large the tables are.
     Filters belong on `points` before the call: they bound what may rank.
     """
-    n_points = blocks_for(points.count(), block_rows)
+    rows = points.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    # Several blocks per core even out their sizes; more rows mean more blocks.
+    n_points = max(blocks_for(rows, block_rows), min(4 * cores, blocks_for(rows, 64)))
     n_queries = blocks_for(queries.count(), block_rows)
     left = points.select(
         F.col(key).alias("point_key"),

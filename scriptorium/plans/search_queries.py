@@ -12,6 +12,7 @@ from scriptorium.operators.vector_search import approximate_search, exact_search
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
+from scriptorium.session import cut_lineage
 
 
 def nullable(number):
@@ -388,9 +389,9 @@ def x05(spark, sf):
     return ranking.rrf_fuse([sparse_hits(spark, sf), hash_hits(spark, sf)], "question_id")
 
 
-def reranked_hits(spark, sf):
+def reranked_hits(spark, sf, fused=None):
     pool = (
-        fused_hits(spark, sf)
+        (fused_hits(spark, sf) if fused is None else fused)
         .join(v.chunks(spark, sf).select("row_key", "text"), "row_key")
         .join(v.gold(spark, sf).select("question_id", "question"), "question_id")
     )
@@ -570,8 +571,13 @@ def x12(spark, sf):
 
 
 def arm_hits(spark, sf):
-    """Both arms' first ten hits, with the document each lies in."""
-    arms = {"fusion": fused_hits(spark, sf), "rerank": reranked_hits(spark, sf)}
+    """Both arms' first ten hits, with the document each lies in.
+
+    The fused pools are a few dozen rows per question; they are written once and both
+    arms read them.
+    """
+    fused = cut_lineage(fused_hits(spark, sf))
+    arms = {"fusion": fused, "rerank": reranked_hits(spark, sf, fused)}
     return ranking.merge_pools(
         [
             hits.where(F.col("rn") <= ev.MRR_CUT).select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import ids
 from scriptorium.functions.html import page_links
-from scriptorium.functions.tokens import words
+from scriptorium.functions.tokens import let, words
 from scriptorium.operators.index import keep_last
 
 METRICS = ["faithfulness", "relevancy", "precision", "recall"]
@@ -191,32 +191,32 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """(question_id, doc_id) where the document holds the question word for word.
 
-    No cross join: a document that holds the question holds each of its inner words
-    whole, so the rarest inner word picks the candidates and `contains` decides.
+    No cross join: a document that holds the question holds its inner words in a row,
+    so the question's second to fourth word, which may not be cut, pick the
+    candidates and `contains` decides. Questions have five words or more.
     """
     questions = gold(spark, sf)
-    inner = questions.select(
-        "question_id",
-        F.explode(
-            F.array_distinct(
-                F.slice(words(F.col("question")), F.lit(2), F.size(words(F.col("question"))) - 2)
-            )
-        ).alias("term"),
+    inner = let(
+        words(F.col("question")),
+        lambda w: F.when(F.size(w) >= 5, F.array_join(F.slice(w, 2, 3), " ")).otherwise(
+            F.raise_error(F.lit("a question of fewer than five words"))
+        ),
     )
+    keyed = questions.select("question_id", inner.alias("triple"))
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    held = documents.select(
-        "doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")
-    ).join(inner.select("term").distinct(), "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = (
-        inner.join(frequency, "term")
-        .groupBy("question_id")
-        .agg(F.min(F.struct("df", "term")).alias("pick"))
-        .select("question_id", F.col("pick.term").alias("term"))
-    )
-    candidates = rarest.join(held, "term").select("question_id", "doc_id")
+    triples = let(
+        words(F.col("text")),
+        lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))),
+            lambda i: F.array_join(F.slice(w, i, 3), " "),
+        ),
+    )
+    held = documents.select("doc_id", F.explode(triples).alias("triple"))
     return (
-        candidates.join(questions.select("question_id", "question"), "question_id")
+        held.join(keyed, "triple")
+        .select("question_id", "doc_id")
+        .distinct()
+        .join(questions.select("question_id", "question"), "question_id")
         .join(documents, "doc_id")
         .where(F.contains(F.col("text"), F.col("question")))
         .select("question_id", "doc_id")
