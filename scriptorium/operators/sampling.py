@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 MIN_PAGE_CHARS = 300
 MAX_PAGE_CHARS = 4000
 LOCALE_CYCLE = ("it", "en", "zh", "it", "en")
-EXCLUDED = ("cercachi-per-", "awstats.")
+EXCLUDED = ("awstats.",)
 SALTS = 64
 
 

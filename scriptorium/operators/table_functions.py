@@ -18,14 +18,14 @@ _code = re.compile(CODE_PATTERN)
 _number = re.compile(NUMBER_PATTERN, re.ASCII)
 
 
-@udtf(returnType="pos int, dst string, anchor string")
+@udtf(returnType="pos int, dst string, anchor string", useArrow=True)
 class PageLinks:
     def eval(self, url: str, html: str):
         for pos, (dst, anchor) in enumerate(links_of(url or "", html or "")):
             yield pos, dst, anchor
 
 
-@udtf(returnType="shingle string")
+@udtf(returnType="shingle string", useArrow=True)
 class Shingles:
     def eval(self, text: str):
         found = _word.findall((text or "").lower())
@@ -34,7 +34,7 @@ class Shingles:
             yield (shingle,)
 
 
-@udtf(returnType="number int")
+@udtf(returnType="number int", useArrow=True)
 class CitationRefs:
     def eval(self, answer: str):
         for number in dict.fromkeys(_number.findall(_code.sub(" ", answer or ""))):

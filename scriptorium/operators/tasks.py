@@ -125,11 +125,11 @@ def lease_breaks(entries: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def concurrency(tasks: DataFrame, tenant: str, cap: int = CAP) -> DataFrame:
-    """Load over event time per tenant: (tenant, ts, change, running, over_cap).
+    """Load over event time per tenant and day: (tenant, day, ts, change, running, over_cap).
 
     Starts count +1 and ends -1; at one instant ends free their places first. The
-    running sum is per tenant and day: a task lies within its day by construction of
-    its id, so a tenant of any size is split by time.
+    running sum is taken in two steps, over a day's minutes and inside each minute,
+    so a tenant with any traffic is as many tasks as it has minutes.
     """
     edges = tasks.select(
         tenant,
@@ -140,16 +140,28 @@ def concurrency(tasks: DataFrame, tenant: str, cap: int = CAP) -> DataFrame:
                 F.struct(F.col("last").alias("ts"), F.lit(-1).alias("change")),
             )
         ).alias("edge"),
-    ).select(tenant, "day", "edge.ts", "edge.change")
-    changes = edges.groupBy(tenant, "day", "ts", "change").agg(F.count("*").alias("n"))
-    order = (
-        Window.partitionBy(tenant, "day")
+    ).select(tenant, "day", "edge.ts", "edge.change", F.date_trunc("minute", "edge.ts").alias("minute"))
+    changes = edges.groupBy(tenant, "day", "minute", "ts", "change").agg(F.count("*").alias("n"))
+    moved = F.sum(F.col("n") * F.col("change"))
+    earlier = (
+        Window.partitionBy(tenant, "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        changes.groupBy(tenant, "day", "minute")
+        .agg(moved.alias("net"))
+        .select(tenant, "day", "minute", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("carried"))
+    )
+    inside = (
+        Window.partitionBy(tenant, "day", "minute")
         .orderBy("ts", "change")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        changes.withColumn("running", F.sum(F.col("n") * F.col("change")).over(order))
+        changes.withColumn("within", moved.over(inside))
+        .join(carried, [tenant, "day", "minute"])
+        .withColumn("running", F.col("carried") + F.col("within"))
         .withColumn("over_cap", F.greatest(F.col("running") - cap, F.lit(0)))
+        .drop("minute", "within", "carried")
     )
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
 
 BLOCK_ROWS = 8192
+BUCKET_ROWS = 64
+SCORES_AT_ONCE = 4_000_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -36,6 +38,63 @@ def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(rows / block_rows))
 
 
+def _block_best(k: int, exclude_self: bool):
+    """Scores one block of points against one block of queries: k best per query."""
+
+    def best(block: pa.Table, asked: pa.Table) -> pa.Table:
+        arrow = pa.schema(
+            [
+                ("query_key", asked.schema.field("query_key").type),
+                ("point_key", block.schema.field("point_key").type),
+                ("score", pa.float64()),
+            ]
+        )
+        if block.num_rows == 0 or asked.num_rows == 0:
+            return arrow.empty_table()
+        block = block.sort_by("point_key")
+        keys = block.column("point_key").to_numpy()
+        names = asked.column("query_key").to_numpy()
+        points = _unit(_matrix(block.column("point_vec")))
+        queries = _unit(_matrix(asked.column("query_vec")))
+        out_q, out_p, out_s = [], [], []
+        step = max(1, SCORES_AT_ONCE // len(keys))
+        for start in range(0, len(names), step):
+            scores = np.round(queries[start : start + step] @ points.T, SCORE_DIGITS)
+            for row, name in zip(scores, names[start : start + step]):
+                if exclude_self:
+                    row = np.where(keys == name, -np.inf, row)
+                kept = min(k, len(row))
+                cut = np.partition(row, len(row) - kept)[len(row) - kept]
+                near = np.flatnonzero(row >= cut)
+                near = near[np.argsort(-row[near], kind="stable")][:kept]
+                near = near[np.isfinite(row[near])]
+                out_q.extend([name] * len(near))
+                out_p.extend(keys[near])
+                out_s.extend(row[near] + 0.0)
+        return pa.table([out_q, out_p, out_s], schema=arrow)
+
+    return best
+
+
+def _best_per_block(
+    left: DataFrame, right: DataFrame, on: list[str], query: str, key: str, k: int, exclude_self: bool
+) -> DataFrame:
+    """The block kernel over every pair of blocks that share `on`: (query, key, score)."""
+    schema = T.StructType(
+        [
+            T.StructField("query_key", right.schema["query_key"].dataType),
+            T.StructField("point_key", left.schema["point_key"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    return (
+        left.groupBy(*on)
+        .cogroup(right.groupBy(*on))
+        .applyInArrow(_block_best(k, exclude_self), schema)
+        .select(F.col("query_key").alias(query), F.col("point_key").alias(key), "score")
+    )
+
+
 def exact_search(
     points: DataFrame,
     queries: DataFrame,
@@ -61,66 +120,15 @@ def exact_search(
         F.col(key).alias("point_key"),
         F.col(vector).alias("point_vec"),
         F.pmod(F.xxhash64(key), F.lit(n_points)).alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"),
+        F.explode(F.expr(f"sequence(0L, {n_queries - 1}L)")).alias("qb"),
     )
     right = queries.select(
         F.col(query).alias("query_key"),
         F.col(vector).alias("query_vec"),
         F.explode(F.expr(f"sequence(0L, {n_points - 1}L)")).alias("pb"),
-        F.pmod(F.xxhash64(query), F.lit(n_queries)).cast("int").alias("qb"),
-    )
-    key_type = points.schema[key].dataType
-    query_type = queries.schema[query].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_key", query_type),
-            T.StructField("point_key", key_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-
-    def best(block: pa.Table, asked: pa.Table) -> pa.Table:
-        arrow = pa.schema(
-            [
-                ("query_key", asked.schema.field("query_key").type),
-                ("point_key", block.schema.field("point_key").type),
-                ("score", pa.float64()),
-            ]
-        )
-        if block.num_rows == 0 or asked.num_rows == 0:
-            return arrow.empty_table()
-        block = block.sort_by("point_key")
-        keys = block.column("point_key").to_numpy()
-        names = asked.column("query_key").to_numpy()
-        points_ = _unit(_matrix(block.column("point_vec")))
-        asked_ = _unit(_matrix(asked.column("query_vec")))
-        out_q, out_p, out_s = [], [], []
-        step = max(1, 4_000_000 // len(keys))
-        for start in range(0, len(names), step):
-            scores = np.round(asked_[start : start + step] @ points_.T, SCORE_DIGITS)
-            for row, name in zip(scores, names[start : start + step]):
-                if exclude_self:
-                    row = np.where(keys == name, -np.inf, row)
-                kept = min(k, len(row))
-                cut = np.partition(row, len(row) - kept)[len(row) - kept]
-                near = np.flatnonzero(row >= cut)
-                near = near[np.argsort(-row[near], kind="stable")][:kept]
-                near = near[np.isfinite(row[near])]
-                out_q.extend([name] * len(near))
-                out_p.extend(keys[near])
-                out_s.extend(row[near] + 0.0)
-        return pa.table([out_q, out_p, out_s], schema=arrow)
-
-    found = (
-        left.groupBy("pb", "qb")
-        .cogroup(right.groupBy("pb", "qb"))
-        .applyInArrow(best, schema)
-        .select(
-            F.col("query_key").alias(query),
-            F.col("point_key").alias(key),
-            "score",
-        )
+        F.pmod(F.xxhash64(query), F.lit(n_queries)).alias("qb"),
     )
+    found = _best_per_block(left, right, ["pb", "qb"], query, key, k, exclude_self)
     return top_k(found, [query], k, key=key)
 
 
@@ -153,41 +161,47 @@ def approximate_search(
     width: int = 64,
     k: int = PREFETCH,
     tables: int = 24,
-    bits: int = 4,
+    bits: int | None = None,
     exclude_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top-k among points that share a hyperplane bucket with the query.
 
-    Candidates come from an equi-join on (table, code), reduced to distinct pairs,
-    and are scored exactly. `bits` should grow with the logarithm of the corpus so
-    buckets keep their size; a bucket that is still hot is split by the join's skew
-    handling.
+    `bits` defaults to what keeps a bucket's size as the corpus grows. A bucket is
+    scored in blocks that hand on k points per query, so no pairs are written; one
+    that is hot, its vectors being alike, is cut into more blocks, never left out.
     """
-    from scriptorium.functions.vectors import cosine
+    if bits is None:
+        bits = max(1, math.ceil(math.log2(max(2, points.count() / BUCKET_ROWS))))
 
-    def buckets(rows: DataFrame, name: str) -> DataFrame:
-        coded = hyperplane_codes(rows, vector, width, tables, bits)
-        return coded.select(name, F.posexplode("codes").alias("table", "code"))
+    def coded(rows: DataFrame, name: str, key_as: str, vec_as: str) -> DataFrame:
+        codes = hyperplane_codes(rows.select(name, vector), vector, width, tables, bits)
+        return codes.select(
+            F.col(name).alias(key_as), F.col(vector).alias(vec_as), F.posexplode("codes").alias("table", "code")
+        )
+
+    left = coded(points, key, "point_key", "point_vec")
+    right = coded(queries, query, "query_key", "query_vec")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("table", "code").agg(F.ceil(F.count("*") / block_rows).alias(name))
 
-    pairs = (
-        buckets(queries, query)
-        .join(buckets(points, key), ["table", "code"])
-        .select(query, key)
-        .distinct()
+    # One row per bucket both sides hold: at most tables x 2^bits of them.
+    sizes = blocks(left, "n_pb").join(blocks(right, "n_qb"), ["table", "code"])
+    left = left.join(sizes, ["table", "code"]).select(
+        "table", "code", "point_key", "point_vec",
+        F.pmod(F.xxhash64("point_key"), F.col("n_pb")).alias("pb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_qb") - 1)).alias("qb"),
     )
-    if exclude_self:
-        pairs = pairs.where(F.col(query) != F.col(key))
-    asked = queries.select(query, F.col(vector).alias("query_vec"))
-    scored = (
-        pairs.join(points.select(key, vector), key)
-        .join(asked, query)
-        .select(
-            query,
-            key,
-            F.round(cosine(F.col(vector), F.col("query_vec")), SCORE_DIGITS).alias("score"),
-        )
+    right = right.join(sizes, ["table", "code"]).select(
+        "table", "code", "query_key", "query_vec",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pb") - 1)).alias("pb"),
+        F.pmod(F.xxhash64("query_key"), F.col("n_qb")).alias("qb"),
     )
-    return top_k(scored, [query], k, key=key)
+    found = _best_per_block(
+        left, right, ["table", "code", "pb", "qb"], query, key, k, exclude_self
+    ).distinct()
+    return top_k(found, [query], k, key=key)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame, query: str, key: str = "row_key") -> DataFrame:

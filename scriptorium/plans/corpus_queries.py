@@ -24,12 +24,12 @@ GOLD_SCHEMA = T.StructType(
 
 @query(
     "s01_jsonl_scan_strict",
-    """SELECT question_id, item_id, question, locale, CASE WHEN item_id % 3 = 0 THEN 'unifi_web' ELSE 'slides' END AS target FROM v_gold""",
+    """SELECT question_id, item_id, question, locale, CASE WHEN item_id % 3 = 0 THEN 'web' ELSE 'slides' END AS target FROM v_gold""",
 )
 def s01(spark, sf):
     """Labelled questions through a JSONL file: typed, complete, with a default target."""
     path = scratch_path(spark, "gold")
-    target = F.when(F.col("item_id") % 3 == 0, "unifi_web")
+    target = F.when(F.col("item_id") % 3 == 0, "web")
     v.gold(spark, sf).withColumn("target", target).write.json(path)
     return jsonl.read_strict(
         spark, path, GOLD_SCHEMA, ["question_id", "question"], {"target": F.lit("slides")}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from scriptorium.functions import urls, vectors
 from scriptorium.operators import encoding, links, sampling
 from scriptorium.plans import views as v
-from scriptorium.plans.corpus_queries import CHUNKS_SQL  # noqa: F401 - shared with x22's page texts
 from scriptorium.plans.registry import query
 from scriptorium.plans.scalar_queries import LINKS_SQL, edge_url
 from scriptorium.plans.views import text_of
@@ -107,9 +106,9 @@ def x20_sizes(spark, sf):
 @query(
     "x21_uncrawled_pool",
     f"""SELECT dst AS url, arg_min(anchor, (page_id, pos)) AS anchor FROM (
-        SELECT page_id, pos, CASE WHEN page_id % 3 = 0 THEN dst || '.PDF' WHEN page_id % 3 = 1 THEN 'https://other.example/' || page_id || '/cercachi-per-x' ELSE dst END AS dst,
+        SELECT page_id, pos, CASE WHEN page_id % 3 = 0 THEN dst || '.PDF' WHEN page_id % 3 = 1 THEN 'https://other.example/' || page_id || '/people/card' ELSE dst END AS dst,
                anchor || ' as linked from page' AS anchor FROM ({LINKS_SQL}))
-        WHERE (lower(regexp_extract(dst, '^https?://([^/?#:]+)', 1)) LIKE '%.example.org' OR lower(dst) LIKE '%.pdf') AND NOT contains(dst, 'cercachi-per-')
+        WHERE (lower(regexp_extract(dst, '^https?://([^/?#:]+)', 1)) LIKE '%.example.org' OR lower(dst) LIKE '%.pdf') AND NOT contains(dst, 'people/')
           AND length(anchor) >= 15 AND dst NOT IN (SELECT url FROM v_registry) GROUP BY 1""",
 )
 def x21(spark, sf):
@@ -117,14 +116,14 @@ def x21(spark, sf):
     named = v.links(spark, sf).select(
         F.struct("page_id", "pos").alias("order"),
         F.when(p % 3 == 0, F.concat("dst", F.lit(".PDF")))
-        .when(p % 3 == 1, text_of("https://other.example/", p, "/cercachi-per-x"))
+        .when(p % 3 == 1, text_of("https://other.example/", p, "/people/card"))
         .otherwise(F.col("dst"))
         .alias("dst"),
         F.concat("anchor", F.lit(" as linked from page")).alias("anchor"),
     )
     in_scope = F.endswith(urls.host_of(F.col("dst")), F.lit(".example.org"))
     return links.uncrawled_pool(
-        named, v.registry(spark, sf).select("url"), in_scope, sampling.EXCLUDED
+        named, v.registry(spark, sf).select("url"), in_scope, (*sampling.EXCLUDED, "people/")
     )
 
 

@@ -210,8 +210,8 @@ VIEWS: dict[str, str] = {
         FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS m)""",
     "v_routes": r"""
         SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
-               (['slides', 'unifi_web', 'both'])[(item_id * 7) % 3 + 1] AS routed,
-               (['slides', 'unifi_web'])[item_id % 2 + 1] AS target, item_id % 11 = 0 AS fallback FROM benchmark""",
+               (['slides', 'web', 'both'])[(item_id * 7) % 3 + 1] AS routed,
+               (['slides', 'web'])[item_id % 2 + 1] AS target, item_id % 11 = 0 AS fallback FROM benchmark""",
     "v_headers": r"""
         SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) || CASE page_id % 6 WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '' END AS url,
                CASE page_id % 8 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf'
@@ -250,7 +250,7 @@ VIEWS: dict[str, str] = {
     "v_feedback": r"""
         SELECT l.doc_id AS answer_id, CASE WHEN quality = 1 THEN 'up' ELSE 'down' END AS rating,
                CASE WHEN toxic = 1 THEN 'incorrect' ELSE '' END AS reason,
-               '{"target": "' || (['slides', 'unifi_web', 'both'])[l.doc_id % 3 + 1] || '"}' AS route,
+               '{"target": "' || (['slides', 'web', 'both'])[l.doc_id % 3 + 1] || '"}' AS route,
                d.lang AS locale, l.doc_id % 50 AS owner FROM labels l JOIN documents d USING (doc_id)""",
     "v_mirror": r"""
         SELECT answer_id, CASE WHEN answer_id % 8 = 0 THEN CASE rating WHEN 'up' THEN 'down' ELSE 'up' END ELSE rating END AS rating,

@@ -153,7 +153,7 @@ def a09(spark, sf):
 
 @query(
     "a09_confusion",
-    """SELECT target, count(*) FILTER (routed = 'slides') AS slides, count(*) FILTER (routed = 'unifi_web') AS unifi_web,
+    """SELECT target, count(*) FILTER (routed = 'slides') AS slides, count(*) FILTER (routed = 'web') AS web,
        count(*) FILTER (routed = 'both') AS "both" FROM v_routes GROUP BY target""",
 )
 def a09_confusion(spark, sf):
@@ -455,7 +455,7 @@ def pools(spark, sf):
     from pyspark.sql import Window
 
     own = Window.partitionBy("question_id", "kind").orderBy("rn")
-    ranked = hits.withColumn("rn", F.row_number().over(own).cast("long"))
+    ranked = cut_lineage(hits.withColumn("rn", F.row_number().over(own).cast("long")))
     return [ranked.where(F.col("kind") == k) for k in ("slides", "web")]
 
 

@@ -134,6 +134,24 @@ def t07_stream(spark, sf):
     return found.select("event_id", "task", "event", F.coalesce("question", F.lit("none")).alias("question"))
 
 
+@query(
+    "t08_time_to_first_stream",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95 FROM (
+        SELECT ts, event, event_id % 900 AS ms FROM v_activity WHERE event IN ('step', 'start')) GROUP BY date_trunc('day', ts), 2
+       HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+)
+def t08_stream(spark, sf):
+    """Step latencies per day on a stream, as far as its watermark has closed the days."""
+    rows = (
+        v.activity(spark, sf)
+        .where("event in ('step', 'start')")
+        .select(F.col("ts").cast("timestamp").alias("ts"), "event", (F.col("event_id") % 900).alias("ms"))
+    )
+    stream = read_stream(spark, write_in_order(rows), rows.schema)
+    found = run_to_table(windows.latency_windows(stream, "1 day", accuracy=1_000_000))
+    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event", "n", "p50", "p95")
+
+
 @query(
     "e05_table_functions",
     f"SELECT page_id, pos, dst, anchor FROM ({LINKS_SQL})",

@@ -15,7 +15,7 @@ from scriptorium.operators.index import keep_last
 
 METRICS = ["faithfulness", "relevancy", "precision", "recall"]
 LOCALES = ["en", "it", "zh"]
-TARGETS = ["slides", "unifi_web", "both"]
+TARGETS = ["slides", "web", "both"]
 
 
 # Tables whose rows carry whole texts, so that a task's work is the text, not the row.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.session import ROCKSDB_PROVIDER, scratch_path
 
+ROWS_PER_FILE = 1000
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -26,30 +28,43 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER_KEY, before)
 
 
-def write_in_order(rows: DataFrame, ts: str = "ts", slices: int = 8) -> str:
-    """Rows as files in event-time order, one append per slice of time, for a replay.
+@dataclass(frozen=True)
+class Replay:
+    """Files in event-time order: a trigger reads one slice's files."""
 
-    Slices are equal spans of time; a row's lateness is then at most one span.
+    path: str
+    files_per_trigger: int
+
+
+def write_in_order(rows: DataFrame, ts: str = "ts", slices: int = 8) -> Replay:
+    """Rows as files in event-time order, one append per slice of time.
+
+    Every slice is the same number of files, so a trigger of that many files is one
+    slice and no row is later than the slice before it.
     """
-    path = scratch_path(rows.sparkSession, "replay")
+    spark = rows.sparkSession
+    path = scratch_path(spark, "replay")
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
     held = rows.withColumn("_at", micros).persist()
     try:
         low, high = held.agg(F.min("_at"), F.max("_at")).first()
         span = max(1, (high - low) // slices + 1)
         place = F.floor((F.col("_at") - low) / span)
+        sizes = [r["count"] for r in held.groupBy(place.alias("slice")).count().collect()]
+        cores = spark.sparkContext.defaultParallelism
+        files = max(1, min(cores, min(sizes) // ROWS_PER_FILE))
         for i in range(slices):
-            held.where(place == i).drop("_at").coalesce(1).write.mode("append").parquet(path)
+            held.where(place == i).drop("_at").repartition(files).write.mode("append").parquet(path)
     finally:
         held.unpersist()
-    return path
+    return Replay(path, files)
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, replay: Replay, schema) -> DataFrame:
     return (
         spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
+        .option("maxFilesPerTrigger", replay.files_per_trigger)
+        .parquet(replay.path)
     )
 
 

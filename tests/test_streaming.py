@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import tasks
 from scriptorium.session import scratch_path
 from scriptorium.streaming import ingest, lifecycle, windows
-from scriptorium.streaming.replay import read_stream, rocksdb_state, run_batches, run_to_table, write_in_order
+from scriptorium.streaming.replay import Replay, read_stream, rocksdb_state, run_batches, run_to_table, write_in_order
 
 START = dt.datetime(2026, 1, 1)
 ENTRY = "task string, kind string, event_id long, ts timestamp, event string"
@@ -69,7 +69,7 @@ def test_a_late_entry_past_the_watermark_is_dropped(spark):
     # The watermark a batch drops late entries by is the one its predecessor began with.
     for chunk in ([("u", at(0))], [("u", at(7200))], [("u", at(7300))], [("u", at(1))], [("u", at(20000))]):
         spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(path)
-    stream = read_stream(spark, path, spark.createDataFrame([], schema).schema)
+    stream = read_stream(spark, Replay(path, 1), spark.createDataFrame([], schema).schema)
     got = run_to_table(windows.rate_windows(stream, "user", "5 minutes", 4)).collect()
     assert sorted((r.window_start, r.events) for r in got) == [(at(0), 1), (at(7200), 2)]
 
