@@ -23,6 +23,7 @@ B = 0.75
 # Rows and queries of one scoring block: what a task holds at once.
 BLOCK_ROWS = 32768
 BLOCK_QUERIES = 4096
+SMALL_BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -156,19 +157,23 @@ def _block_scorer(query: str, key: str, k: int, exclude_self: bool):
         order = np.argsort(codes, kind="stable")
         rows, factor = rows[order], postings.column("factor").to_numpy()[order]
         start = np.searchsorted(codes[order], np.arange(len(terms) + 1))
-        frame = asked.to_pandas()
-        frame["code"] = pd.Index(terms).get_indexer(frame["term"])
+        held = pd.Index(terms).get_indexer(asked.column("term").to_pandas())
+        asked_by, names = pd.factorize(asked.column("query_key").to_pandas())
+        order = np.argsort(asked_by, kind="stable")
+        order = order[held[order] >= 0]
+        held, price = held[order], asked.column("idf").to_numpy()[order]
+        first = np.searchsorted(asked_by[order], np.arange(len(names) + 1))
         out_q, out_k, out_s = [], [], []
-        for name, wanted in frame[frame["code"] >= 0].groupby("query_key", sort=False):
+        for i, name in enumerate(names):
             scores = np.zeros(len(keys))
-            for code, price in zip(wanted["code"], wanted["idf"]):
-                span = slice(start[code], start[code + 1])
-                scores[rows[span]] += price * factor[span]
+            for at in range(first[i], first[i + 1]):
+                span = slice(start[held[at]], start[held[at] + 1])
+                scores[rows[span]] += price[at] * factor[span]
             scores = np.round(scores, SCORE_DIGITS)
             if exclude_self:
-                at = np.searchsorted(keys, name)
-                if at < len(keys) and keys[at] == name:
-                    scores[at] = 0.0
+                own = np.searchsorted(keys, name)
+                if own < len(keys) and keys[own] == name:
+                    scores[own] = 0.0
             hit = np.flatnonzero(scores > 0)
             if len(hit) > k:
                 cut = np.partition(scores[hit], len(hit) - k)[len(hit) - k]
@@ -207,7 +212,7 @@ def search_texts(
     n, avg_len = corpus["n"], corpus["avg_len"] or 1.0
     cores = texts.sparkSession.sparkContext.defaultParallelism
     # Several blocks per core even out their sizes; more rows mean more blocks.
-    blocks = max(1, -(-n // block_rows), min(4 * cores, n))
+    blocks = max(1, -(-n // block_rows), min(4 * cores, -(-n // SMALL_BLOCK)))
     query_blocks = max(1, -(-queries.count() // block_queries))
     wanted = query_terms(queries, query, text)
     flagged = texts.withColumn("visible", F.lit(True) if condition is None else condition)

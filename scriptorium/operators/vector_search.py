@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
 
 BLOCK_ROWS = 8192
+SMALL_BLOCK = 512
 BUCKET_ROWS = 64
 SCORES_AT_ONCE = 4_000_000
 
@@ -114,7 +115,7 @@ def exact_search(
     rows = points.count()
     cores = points.sparkSession.sparkContext.defaultParallelism
     # Several blocks per core even out their sizes; more rows mean more blocks.
-    n_points = max(blocks_for(rows, block_rows), min(4 * cores, blocks_for(rows, 64)))
+    n_points = max(blocks_for(rows, block_rows), min(4 * cores, blocks_for(rows, SMALL_BLOCK)))
     n_queries = blocks_for(queries.count(), block_rows)
     left = points.select(
         F.col(key).alias("point_key"),

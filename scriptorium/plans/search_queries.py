@@ -12,7 +12,7 @@ from scriptorium.operators.vector_search import approximate_search, exact_search
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
-from scriptorium.session import cut_lineage
+from scriptorium.session import cut_lineage, written_once
 
 
 def nullable(number):
@@ -308,10 +308,14 @@ DENSE_SPARSE_WITH = r"""WITH dp AS (SELECT row_key, term, count(*) AS tf FROM (S
             FROM (SELECT * FROM ({DENSE_TOP_SQL}) UNION ALL SELECT * FROM ({DENSE_SPARSE_SQL})) GROUP BY 1, 2)) WHERE rn <= 10""",
 )
 def x07(spark, sf):
-    points = v.dense(spark, sf).select("row_key", "text", "embedding", "ingest_source", "ingest_run_id")
+    # The index at rest: both branches and their counts read it.
+    points = written_once(
+        v.dense(spark, sf).select("row_key", "text", "embedding", "ingest_source", "ingest_run_id"), "points"
+    )
+    asked = points.select(F.col("row_key").alias("query_id"), "embedding", F.col("text").alias("question"))
     return retrieval.hybrid_search(
         points,
-        vector_queries(spark, sf),
+        asked,
         payload_filter(**CRAWLED_WEB),
         query="query_id",
         limit=10,

@@ -12,20 +12,32 @@ from scriptorium.session import ROCKSDB_PROVIDER, scratch_path
 
 ROWS_PER_FILE = 1000
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """State in RocksDB while the block runs: it spills to disk and snapshots changes only."""
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB_PROVIDER)
+    """State in RocksDB while the block runs: it spills to disk and snapshots changes only.
+
+    A stream's state keeps the partitions it starts with; more of them than cores only
+    adds a store and a commit each per batch, so their number is held to the cores.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    wanted = {
+        PROVIDER_KEY: ROCKSDB_PROVIDER,
+        PARTITIONS_KEY: str(min(cores, int(spark.conf.get(PARTITIONS_KEY)))),
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER_KEY)
-        else:
-            spark.conf.set(PROVIDER_KEY, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 @dataclass(frozen=True)
