@@ -8,7 +8,7 @@ from scriptorium.functions import urls, vectors
 from scriptorium.operators import encoding, links, sampling
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
-from scriptorium.plans.scalar_queries import LINKS_SQL, edge_url
+from scriptorium.plans.scalar_queries import EDGE_URL_SQL, LINKS_SQL, edge_url
 from scriptorium.plans.views import text_of
 
 
@@ -209,6 +209,17 @@ def x23_short(spark, sf):
     return sampling.short_strata(sampling.page_regroup(v.chunks(spark, sf)), wanted)
 
 
+@query(
+    "x23_sample_with_minimum",
+    f"""WITH c AS (SELECT DISTINCT {EDGE_URL_SQL} AS url, is_pdf FROM v_edges), d AS (SELECT url, is_pdf, row_number() OVER (PARTITION BY is_pdf ORDER BY sha256('7|' || url), url) AS k FROM c)
+        SELECT url, is_pdf FROM d WHERE (is_pdf AND k <= 2) OR (NOT is_pdf AND k <= 6)""",
+)
+def x23_minimum(spark, sf):
+    """Eight link targets of which at least two are PDFs, the same for a seed."""
+    targets = v.edges(spark, sf).select(edge_url().alias("url"), "is_pdf").distinct()
+    return sampling.sample_with_minimum(targets, 8, 2, "is_pdf", seed=7).select("url", "is_pdf")
+
+
 @query(
     "w11_locale_cycle",
     f"""SELECT 'c' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, url, (['it', 'en', 'zh', 'it', 'en'])[(n - 1) % 5 + 1] AS locale FROM (
