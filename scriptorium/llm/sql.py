@@ -29,9 +29,10 @@ q_split AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS q_lines
   FROM {documents}),
 q_starts AS (
-  SELECT q_row, unnest(range(1, len(q_words) - 6)) AS pos, q_words FROM q_split WHERE len(q_words) >= 8),
-q_windows AS (
-  SELECT q_row, pos, count(*) OVER (PARTITION BY q_row, array_to_string(q_words[pos:pos + 7], ' ')) AS times FROM q_starts),
+  SELECT q_row, generate_subscripts(runs, 1) AS pos, unnest(runs) AS words FROM (
+    SELECT q_row, list_transform(range(1, len(q_words) - 6), lambda i: array_to_string(q_words[i:i + 7], ' ')) AS runs
+    FROM q_split WHERE len(q_words) >= 8)),
+q_windows AS (SELECT q_row, pos, count(*) OVER (PARTITION BY q_row, words) AS times FROM q_starts),
 q_repeats AS (
   SELECT q_row, count(DISTINCT pos + k) AS n_repeat_words
   FROM q_windows, range(0, 8) AS r(k) WHERE times > 1 GROUP BY q_row),
