@@ -12,11 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium.llm import sql
 from scriptorium.llm.columns import read
 from scriptorium.llm.license_scan import license_scan
+from scriptorium.llm.mixing import mix
+from scriptorium.llm.pii import pii_report
 from scriptorium.llm.quality_rules import quality_rules
+from scriptorium.llm.url_filters import url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern spans, their digest, and the field's spans too."""
+    return pii_report(read(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed and mined verdicts on every page's url."""
+    return url_filters(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed to target weights."""
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text counts, base failure and host-level verdict of every document."""
     return quality_rules(read(spark, sf_dir, "documents")).select(
@@ -37,6 +55,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op3_pii": op3_pii,
+    "op6_url_filters": op6_url_filters,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
