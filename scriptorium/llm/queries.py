@@ -14,6 +14,7 @@ from scriptorium.llm.columns import read
 from scriptorium.llm.license_scan import license_scan
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.pii import pii_report
+from scriptorium.llm.quality_classifier import quality_classifier
 from scriptorium.llm.quality_rules import quality_rules
 from scriptorium.llm.url_filters import url_filters
 
@@ -49,6 +50,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and call of every document."""
+    return quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     return license_scan(read(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Run] = {
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 
