@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium.llm import sql
 from scriptorium.llm.columns import read
 from scriptorium.llm.license_scan import license_scan
+from scriptorium.llm.lm_scoring import lm_scores
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.pii import pii_report
 from scriptorium.llm.quality_classifier import quality_classifier
@@ -26,6 +27,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the corpus' word pairs, and under single words."""
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed and mined verdicts on every page's url."""
     return url_filters(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
@@ -62,6 +68,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op3_pii": op3_pii,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
