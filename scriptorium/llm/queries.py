@@ -14,6 +14,7 @@ from scriptorium.llm.columns import read
 from scriptorium.llm.license_scan import license_scan
 from scriptorium.llm.lm_scoring import lm_scores
 from scriptorium.llm.mixing import mix
+from scriptorium.llm.ngram_join import ngram_join
 from scriptorium.llm.pii import pii_report
 from scriptorium.llm.quality_classifier import quality_classifier
 from scriptorium.llm.quality_rules import quality_rules
@@ -22,6 +23,11 @@ from scriptorium.llm.url_filters import url_filters
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern spans, their digest, and the field's spans too."""
     return pii_report(read(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_url_filters": op6_url_filters,
