@@ -40,7 +40,7 @@ from scriptorium.session import written_once
 FOLDS, HELD_OUT, UNSEEN = 5, 1, 0.5
 #: strength of the backoff in every state
 K = 4.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: characters of text for each part of the counts
 PART_CHARS = 8_000_000
 
@@ -112,13 +112,16 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
 class Block:
     """A block's texts as arrays, with its distinct pairs in the order they are asked for."""
 
-    def __init__(self, held, lengths, words, positions, parts: int):
-        self.lengths = np.asarray(lengths, np.int64)
+    def __init__(self, row: pa.RecordBatch, parts: int):
+        """`row` is one row of the block table."""
+        held, lengths, words, positions = (row.column(c)[0] for c in ("held", "lengths", "words", "positions"))
+        self.held = held.values
+        self.lengths = lengths.values.to_numpy().astype(np.int64)
         self.ends = np.cumsum(self.lengths)
-        self.words = np.asarray(words, np.int64).view(np.uint64)
+        self.words = words.values.to_numpy().view(np.uint64)
         count = int(self.ends[-1]) if len(self.ends) else 0
-        self.tokens = unpacked(positions, count)
-        self.train = np.repeat(~np.asarray(held, bool), self.lengths)
+        self.tokens = unpacked(positions.as_py(), count)
+        self.train = np.repeat(~self.held.to_numpy(zero_copy_only=False), self.lengths)
         before = np.empty(count, np.int64)
         before[1:] = self.tokens[:-1]
         before[self.ends - self.lengths] = len(self.words)  # the start state
@@ -183,11 +186,12 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                asked = list(Block(row["held"], row["lengths"], row["words"], row["positions"], parts).requests())
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                asked = list(Block(row, parts).requests())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["block"]] * len(asked), pa.int64()),
+                        pa.array([row.column("block")[0].as_py()] * len(asked), pa.int64()),
                         pa.array([a[0] for a in asked], pa.int32()),
                         pa.array([a[1] for a in asked], pa.int32()),
                         pa.array([a[2].view(np.int64) for a in asked], pa.list_(pa.int64())),
@@ -241,8 +245,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             (g, p): t.values.to_numpy()
             for g, p, t in zip(told["gram"].to_pylist(), told["part"].to_pylist(), told["totals"])
         }
-        for row in asked.select(["held", "lengths", "words", "positions"]).to_pylist():
-            block = Block(row["held"], row["lengths"], row["words"], row["positions"], parts)
+        for row in asked.combine_chunks().to_batches(1):
+            block = Block(row, parts)
             words, pairs = block.answers(rows)
             first = np.unique(block.pair_of, return_index=True)[1]
             starts = words[np.flatnonzero(block.words == END)[0]]  # as many starts as ends
@@ -252,8 +256,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             frames.append(
                 pa.table(
                     {
-                        "doc_id": asked["ids"].combine_chunks().flatten(),
-                        "held_out": pa.array(row["held"], pa.bool_()),
+                        "doc_id": row.column("ids").flatten(),
+                        "held_out": block.held,
                         "n_tokens": pa.array(block.lengths),
                         "n_known": pa.array(add((words > 0)[block.tokens].astype(np.int64))),
                         "train_tokens": pa.array(np.full(len(begin), n, np.int64)),
