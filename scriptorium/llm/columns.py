@@ -29,15 +29,12 @@ def window_hashes(words: Column, n: int) -> Column:
 
     Elements are read by index: `slice` would copy the whole array for each window.
     """
-    return F.when(
-        F.size(words) >= n,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - n),
-            lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def all_columns(df: DataFrame) -> list[Column]:
-    """The columns of `df` by position-safe names, for a select that adds to them."""
-    return [F.col(f"`{name}`") for name in df.columns]
+    none = F.array().cast("array<bigint>")
+
+    def hashed(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - n)
+        each = F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) >= n, each).otherwise(none)
+
+    # bound first: an expression inside a lambda is computed for every element
+    return let(words, hashed)

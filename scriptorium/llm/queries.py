@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import sql
 from scriptorium.llm.columns import read
+from scriptorium.llm.decontamination import matches
 from scriptorium.llm.license_scan import license_scan
 from scriptorium.llm.lm_scoring import lm_scores
 from scriptorium.llm.mixing import mix
@@ -33,6 +34,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds, with the best window."""
+    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under the corpus' word pairs, and under single words."""
     return lm_scores(read(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
+    "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
@@ -84,6 +91,7 @@ QUERIES: dict[str, Run] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": sql.OP4,
     "op8_quality_rules": sql.OP8,
     "op10_license_scan": sql.OP10,
 }

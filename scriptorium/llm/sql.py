@@ -95,3 +95,45 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM split LEFT JOIN base b USING (row_id) LEFT JOIN more m USING (row_id)"""
+
+
+def decontamination_sql(documents: str = "documents", prefix: str = "") -> str:
+    """CTEs up to `{prefix}best`: each text and item with its best window.
+
+    Windows begin at a shared shingle, which loses none (see the operator); every such
+    window is compared exactly, without fingerprints.
+    """
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
+    p = prefix
+    return rf"""
+{p}items AS (
+  SELECT item_id, w, len(w) AS size, least(len(w), 5) AS gram FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+{p}grams AS (
+  SELECT item_id, size, gram, g, row_number() OVER (PARTITION BY item_id, g) AS nth FROM (
+    SELECT item_id, size, gram, unnest(list_transform(range(1, size - gram + 2), lambda i: array_to_string(w[i:i + gram - 1], ' '))) AS g FROM {p}items)),
+{p}texts AS (SELECT row_number() OVER () AS t_row, doc_id, {words} AS w FROM (SELECT DISTINCT doc_id, text FROM {documents})),
+{p}lengths AS (SELECT DISTINCT gram FROM {p}items),
+{p}places AS (
+  SELECT t_row, gram, generate_subscripts(gs, 1) - 1 AS pos, unnest(gs) AS g FROM (
+    SELECT t_row, gram, list_transform(range(1, len(w) - gram + 2), lambda i: array_to_string(w[i:i + gram - 1], ' ')) AS gs
+    FROM {p}texts, {p}lengths WHERE len(w) >= gram)),
+{p}hits AS (
+  SELECT DISTINCT t_row, item_id, size, gram, pos FROM {p}places JOIN (SELECT DISTINCT item_id, size, gram, g FROM {p}grams) USING (gram, g)),
+{p}windows AS (
+  SELECT DISTINCT t_row, doc_id, item_id, gram, greatest(0, least(pos, len(w) - size)) AS start, least(size, len(w)) AS n,
+         w[greatest(0, least(pos, len(w) - size)) + 1:greatest(0, least(pos, len(w) - size)) + least(size, len(w))] AS ws
+  FROM {p}hits JOIN {p}texts USING (t_row)),
+{p}bags AS (
+  SELECT t_row, item_id, start, g, row_number() OVER (PARTITION BY t_row, item_id, start, g) AS nth FROM (
+    SELECT t_row, item_id, start, unnest(list_transform(range(1, n - gram + 2), lambda i: array_to_string(ws[i:i + gram - 1], ' '))) AS g FROM {p}windows)),
+{p}common AS (SELECT t_row, item_id, start, count(*) AS common FROM {p}bags JOIN {p}grams USING (item_id, g, nth) GROUP BY ALL),
+{p}judged AS (
+  SELECT doc_id, t_row, item_id, start, n, common / ((n - v.gram + 1) + (i.size - i.gram + 1) - common) AS similarity
+  FROM {p}common JOIN {p}windows v USING (t_row, item_id, start) JOIN {p}items i USING (item_id)),
+{p}best AS (
+  SELECT doc_id, t_row, item_id, similarity, start AS first_word, n AS n_words FROM {p}judged WHERE similarity >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY t_row, item_id ORDER BY similarity DESC, start, n DESC) = 1)"""
+
+
+OP4 = f"""WITH {decontamination_sql()}
+SELECT doc_id, item_id, similarity, first_word::BIGINT AS first_word, n_words::BIGINT AS n_words FROM best"""
