@@ -420,3 +420,21 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return texts.join(of_class, (F.col("cls") == F.col("c_cls")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document that names each component, whole and in its own columns.
+
+    Rows that repeat a key are one document, of which one row stays; rows without a key
+    can't be named and stay.
+    """
+    judged = written_once(ngram_join(docs, key, text), "ngram-judged")
+    gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written_once(gone, "ngram-gone")
+    kept = docs.join(gone, docs[key] == gone["gone_id"], "left_anti")
+    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1")
+    again = written_once(again.select("again_id"), "ngram-again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[key] == again["again_id"], "left_semi").dropDuplicates([key])
+    return kept.join(again, kept[key] == again["again_id"], "left_anti").unionByName(once)

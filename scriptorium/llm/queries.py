@@ -19,11 +19,18 @@ from scriptorium.llm.ngram_join import ngram_join
 from scriptorium.llm.pii import pii_report
 from scriptorium.llm.quality_classifier import quality_classifier
 from scriptorium.llm.quality_rules import quality_rules
+from scriptorium.llm.tool_calls import SCHEMAS, as_tool_messages, link_tool_calls, parse
 from scriptorium.llm.url_filters import url_filters
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as tool calls, linked with their results, ordered and checked."""
+    calls, results = parse(as_tool_messages(read(spark, sf_dir, "conversations")))
+    return link_tool_calls(calls, results, SCHEMAS)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
     return ngram_join(read(spark, sf_dir, "documents"))
@@ -79,6 +86,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
