@@ -99,6 +99,7 @@ QUERIES: dict[str, Run] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": sql.OP2,
     "op4_decontamination": sql.OP4,
     "op8_quality_rules": sql.OP8,
     "op10_license_scan": sql.OP10,

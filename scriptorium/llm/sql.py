@@ -137,3 +137,21 @@ def decontamination_sql(documents: str = "documents", prefix: str = "") -> str:
 
 OP4 = f"""WITH {decontamination_sql()}
 SELECT doc_id, item_id, similarity, first_word::BIGINT AS first_word, n_words::BIGINT AS n_words FROM best"""
+
+OP2 = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM texts),
+flat AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.r AS a, b.r AS b FROM flat a JOIN flat b ON a.g = b.g AND a.r < b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT r, r AS root FROM sets UNION SELECT reach.r, edges.b FROM reach JOIN edges ON reach.root = edges.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM sets s JOIN reach USING (r) JOIN sets t ON t.r = reach.root GROUP BY s.r, s.doc_id, s.s"""
