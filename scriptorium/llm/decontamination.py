@@ -149,7 +149,8 @@ def matches(
             F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("first_word"), F.lit(0).cast("bigint").alias("n_words"),
         )
     hits = written_once(hits, "bench-hits")
-    h = hits.select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), "hits")
+    # hits grow with the corpus: a shuffled join at every size, which splits a hot key
+    h = hits.select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), "hits").hint("merge")
     held = own.join(h, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest")))
     held = held.select("doc_id", "digest", _lowered("text").alias("words"), "hits")
     # places as windows: the item's size, moved left where the text ends sooner
@@ -207,4 +208,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         "bench-found",
     )
     digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(found, docs[key].eqNullSafe(found["m_id"]) & (digest == found["m_digest"]), "left_anti")
+    return docs.join(found.hint("merge"), docs[key].eqNullSafe(found["m_id"]) & (digest == found["m_digest"]), "left_anti")
