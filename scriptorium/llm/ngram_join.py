@@ -205,7 +205,7 @@ def _centers(token: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that two classes or more share, each with its band's center.
+    """Rows of shingles that two classes or more share, each with its band's center and the row before.
 
     A partition is read in order, a batch at a time; the open tile is carried over, and
     of a tile longer than TILE_ROWS only the row of its last center.
@@ -225,8 +225,9 @@ def tiles(rows: DataFrame) -> DataFrame:
                 [
                     pa.array(token[keep]), pa.array(part[keep].astype(np.int32)), pa.array(cls[keep]),
                     pa.array(n[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(cls[center][keep]),
+                    pa.array(cls[np.where(center == np.arange(len(cls)), center, np.arange(len(cls)) - 1)][keep]),
                 ],
-                ["token", "part", "cls", "n", "at", "center"],
+                ["token", "part", "cls", "n", "at", "center", "last"],
             )
 
         held = np.zeros((5, 0), np.int64)
@@ -249,9 +250,10 @@ def tiles(rows: DataFrame) -> DataFrame:
             yield out
 
     sorted_rows = rows.select("token", "part", "n", "cls", "at").repartition("token", "part")
-    sorted_rows = sorted_rows.sortWithinPartitions("token", "part", "n", "cls")
+    # sets of one size stand in another order in each tile, so the row before differs too
+    sorted_rows = sorted_rows.sortWithinPartitions("token", "part", "n", F.xxhash64("cls", "token"), "cls")
     return written_once(
-        sorted_rows.mapInArrow(scan, "token long, part int, cls long, n int, at int, center long"), "ngram-tiles"
+        sorted_rows.mapInArrow(scan, "token long, part int, cls long, n int, at int, center long, last long"), "ngram-tiles"
     )
 
 
@@ -358,12 +360,16 @@ def links_among(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes:
 
 
 def center_pairs(tiled: DataFrame) -> DataFrame:
-    """Each class with its bands' centers, and the centers of a frequent shingle's parts with one of them."""
+    """Each class with its bands' centers and the classes before it, and centers of a frequent shingle with each other.
+
+    At most two pairs a tile row, however large a tile is.
+    """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = tiled.where("cls <> center").select(*pair("cls", "center"))
+    chains = tiled.where("cls <> last and last <> center").select(*pair("cls", "last"))
     many = tiled.groupBy("token").agg(F.min("center").alias("top"), F.max("part").alias("parts")).where("parts > 0")
     tops = tiled.select("token", "center").distinct().join(many, "token").where("center <> top").select(*pair("center", "top"))
-    return stars.union(tops).distinct()
+    return stars.union(chains).union(tops).distinct()
 
 
 def crossing_pairs(tiled: DataFrame, members: DataFrame) -> DataFrame:
@@ -431,7 +437,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     judged = written_once(ngram_join(docs, key, text), "ngram-judged")
     gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = written_once(gone, "ngram-gone")
-    kept = docs.join(gone, docs[key] == gone["gone_id"], "left_anti")
+    # the keys grow with the corpus: a shuffled join at every size
+    kept = docs.join(gone.hint("merge"), docs[key] == gone["gone_id"], "left_anti")
     again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1")
     again = written_once(again.select("again_id"), "ngram-again")
     if again.isEmpty():
