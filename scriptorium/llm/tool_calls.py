@@ -3,8 +3,9 @@
 Messages of assistants hold calls, `{"tool_calls": [{"id", "name", "arguments", "after"}]}`,
 messages of tools hold results, `{"tool_call_id", "content"}`. Calls and results are
 hash-joined by conversation and identifier. A call comes after the calls it names in
-`after`; levels of that order are found in rounds, each a join of the open dependencies
-with the calls placed so far, so a conversation is never gathered into one task. Sorting
+`after`; levels of that order are found by pointer doubling along chains and rounds of
+joins where a call has several dependencies, so a conversation is never gathered into one
+task and a long one takes few rounds. Sorting
 by (level, turn, call_id) is a topological order. Arguments are checked against the
 tool's schema (type, required, properties, additionalProperties, enum, minimum, maximum,
 minLength, maxLength, items) and written as canonical JSON: keys by code point, no blanks,
@@ -127,32 +128,75 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return calls, results
 
 
+def _known(frame: DataFrame, name: str) -> DataFrame:
+    """(d_conv, d_id, ...) of a frame keyed by conv_id, call_id, to be joined by a dependency."""
+    return frame.withColumnsRenamed({"conv_id": "d_conv", "call_id": name})
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, far): where the chain of single dependencies above a call ends.
+
+    Pointers double, so a chain of n calls takes log n rounds. A round in which no
+    pointer arrives leaves only calls on or behind a cycle; those are left out.
+    """
+    heads = _known(single.select("conv_id", "call_id"), "d_id").withColumn("more", F.lit(True))
+    at = (F.col("conv_id") == F.col("d_conv")) & (F.col("to") == F.col("d_id"))
+    pointers = single.join(heads, at, "left").select(
+        "conv_id", "call_id", "to", F.lit(1).alias("far"), F.coalesce("more", F.lit(False)).alias("more")
+    )
+    pointers = written_once(pointers, "call-pointers")
+    left = pointers.where("more").count()
+    while left:
+        next_ = _known(pointers, "d_id").withColumnsRenamed({"to": "n_to", "far": "n_far", "more": "n_more"})
+        moved = pointers.where("more").join(next_, at).select(
+            "conv_id", "call_id", F.col("n_to").alias("to"), (F.col("far") + F.col("n_far")).alias("far"), F.col("n_more").alias("more")
+        )
+        pointers = written_once(pointers.where("not more").unionByName(moved), "call-pointers")
+        before, left = left, pointers.where("more").count()
+        if left == before:
+            break
+    return pointers.where("not more").drop("more")
+
+
 def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(placed, unknown): the level of every call that can be placed, and dependencies on no call.
 
-    A round places the calls whose every dependency is placed; only calls still open are
-    joined again, and every round is written.
+    Chains of calls with one dependency are cut to a pointer at their end first. Then
+    rounds place the calls with several, each once all its dependencies are placed, so
+    rounds count the calls with several on a path, not the path.
     """
-    wanted = calls.where("conv_id is not null and call_id is not null").select(
-        "conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep")
-    )
-    known = calls.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"))
+    named = calls.where("conv_id is not null and call_id is not null")
+    wanted = named.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
+    known = _known(calls.select("conv_id", "call_id"), "d_id")
     same = (F.col("conv_id") == F.col("d_conv")) & (F.col("dep") == F.col("d_id"))
     unknown = wanted.join(known, same, "left_anti")
-    opened = written_once(wanted.join(known, same, "left_semi"), "call-edges")
-    placed = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id").join(
-        opened, ["conv_id", "call_id"], "left_anti"
+    edges = written_once(wanted.join(known, same, "left_semi"), "call-edges")
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("to"))
+    counted = written_once(counted, "call-degrees")
+    chains = _chains(counted.where("n = 1").select("conv_id", "call_id", "to"))
+    # what a call with several dependencies waits for: the end of each dependency's chain
+    several = edges.join(counted.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    one = _known(counted.where("n = 1").select("conv_id", "call_id"), "d_id").withColumn("single", F.lit(True))
+    ends = _known(chains, "e_id").withColumnRenamed("d_conv", "e_conv")
+    several = several.join(one, same, "left").join(
+        ends, (F.col("conv_id") == F.col("e_conv")) & (F.col("dep") == F.col("e_id")), "left"
     )
-    placed = fresh = written_once(placed.withColumn("level", F.lit(0)), "call-levels")
+    opened = several.select(
+        "conv_id", "call_id",
+        F.when(F.col("single").isNull(), F.col("dep")).otherwise(F.col("to")).alias("dep"),
+        F.coalesce("far", F.lit(0)).alias("far"), F.lit(-1).alias("high"), F.lit(False).alias("met"),
+    )  # fmt: skip  # a chain that ends in a cycle has no end: dep is null and never met
+    opened = written_once(opened, "call-open")
+    placed = fresh = named.select("conv_id", "call_id").join(counted, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    placed = fresh = written_once(placed, "call-levels")
     while not opened.isEmpty():
-        told = fresh.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"), F.col("level").alias("d_level"))
-        met = opened if "high" in opened.columns else opened.withColumn("high", F.lit(-1)).withColumn("met", F.lit(False))
-        met = met.join(told, same, "left").select(
-            "conv_id", "call_id", "dep",
-            F.greatest("high", F.coalesce("d_level", F.lit(-1))).alias("high"),
+        told = _known(fresh, "d_id").withColumnRenamed("level", "d_level")
+        met = opened.join(told, same, "left").select(
+            "conv_id", "call_id", "dep", "far",
+            F.greatest("high", F.coalesce(F.col("d_level") + F.col("far"), F.lit(-1))).alias("high"),
             (F.col("met") | F.col("d_level").isNotNull()).alias("met"),
         )
-        met = written_once(met, "call-edges")
+        met = written_once(met, "call-open")
         fresh = (
             met.groupBy("conv_id", "call_id")
             .agg(F.bool_and("met").alias("ready"), (F.max("high") + 1).alias("level"))
@@ -164,7 +208,10 @@ def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
             break  # what is open is on or behind a cycle
         placed = placed.unionByName(fresh)
         opened = met.join(fresh, ["conv_id", "call_id"], "left_anti")
-    return placed, unknown
+    along = chains.join(
+        _known(placed, "d_id"), (F.col("conv_id") == F.col("d_conv")) & (F.col("to") == F.col("d_id"))
+    ).select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
+    return placed.unionByName(along), unknown
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

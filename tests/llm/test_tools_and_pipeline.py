@@ -57,6 +57,22 @@ def test_a_long_chain_is_placed(spark):
     assert sorted(r.level for r in out) == list(range(12)) and all(r.level == r.turn for r in out)
 
 
+def test_levels_of_a_mixed_graph(spark):
+    """Chains, joins of chains, and calls behind cycles, against a plain longest path."""
+    after = {f"a{i}": [f"a{i - 1}"] if i else [] for i in range(40)}
+    after |= {"j1": ["a3", "a20"], "k1": ["j1"], "k2": ["k1"], "j2": ["k2", "a39", "j1"], "z": ["j2"]}
+    after |= {"c1": ["c2"], "c2": ["c3"], "c3": ["c1"], "d1": ["c1"], "d2": ["d1", "a0"], "d3": ["d2"], "s": ["s"]}
+    rows = [message(7, i, call(k, arguments='{"a":1}', after=a)) for i, (k, a) in enumerate(after.items())]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.level for r in tool_calls.link_tool_calls(*tool_calls.parse(frame), SCHEMA).collect()}
+
+    def level(k):
+        return max((level(d) + 1 for d in after[k]), default=0)
+
+    bad = {"c1", "c2", "c3", "d1", "d2", "d3", "s"}
+    assert got == {k: None if k in bad else level(k) for k in after}
+
+
 def test_every_turn_of_the_table_is_linked(spark, sf):
     turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     out = queries.op1_tool_calls(spark, sf).collect()
