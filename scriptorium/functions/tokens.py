@@ -15,10 +15,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(words(text))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once per row.
 

@@ -45,14 +45,14 @@ def _fingerprint(edges: DataFrame):
     ).first()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, component), the component named by its smallest node.
 
     Nodes without an edge do not appear; they are components of their own.
     """
     current = cut_lineage(edges.select("a", "b").where("a <> b").distinct())
     before = _fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         grown = _toward_minimum(current, smaller_only=False)
         current = cut_lineage(_toward_minimum(grown, smaller_only=True))
         after = _fingerprint(current)
@@ -61,4 +61,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("component"))
             return members.unionByName(roots).distinct()
         before = after
-    raise RuntimeError(f"components still moving after {max_rounds} rounds")

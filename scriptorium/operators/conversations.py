@@ -12,11 +12,12 @@ HISTORY_TURNS = 3
 TITLE_CHARS = 60
 
 
-def thread_paths(leaves: DataFrame, messages: DataFrame, max_rounds: int = 40) -> DataFrame:
+def thread_paths(leaves: DataFrame, messages: DataFrame) -> DataFrame:
     """Root-to-leaf paths by parent pointers: (leaf, id, depth, status).
 
     Path doubling: round r knows every message's 2^r-th ancestor and extends every
-    path by as much, so a thread of n messages takes log n rounds of equi-joins.
+    path by as much, so a thread of n messages takes log n rounds of equi-joins. A leaf
+    whose path meets a message again has gone round a cycle and grows no further.
     `depth` counts from the root; status is complete, missing parent or cycle.
     """
     parents = messages.select("id", "parent_id")
@@ -24,19 +25,18 @@ def thread_paths(leaves: DataFrame, messages: DataFrame, max_rounds: int = 40) -
     path = cut_lineage(
         leaves.select(F.col("leaf"), F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"))
     )
-    size = jump.count()
-    reach, looped = 1, False
-    for _ in range(max_rounds):
-        longer = path.join(jump, path.id == jump["at"]).where("to is not null").select(
+    growing, reach, looped = path, 1, False
+    while True:
+        longer = growing.join(jump, path.id == jump["at"]).where("to is not null").select(
             "leaf", F.col("to").alias("id"), (F.col("up") + reach).alias("up")
         )
         grown = cut_lineage(longer)
         if grown.isEmpty():
             break
-        if reach > size:
-            looped = True
-            break
+        again = cut_lineage(grown.join(path.select("leaf", "id"), ["leaf", "id"], "left_semi").select("leaf").distinct())
+        looped = looped or not again.isEmpty()
         path = cut_lineage(path.unionByName(grown))
+        growing = path.join(grown.select("leaf").distinct(), "leaf", "left_semi").join(again, "leaf", "left_anti")
         step = jump.select(F.col("at").alias("mid"), F.col("to").alias("far"))
         jump = cut_lineage(
             jump.where("to is not null")
@@ -46,7 +46,7 @@ def thread_paths(leaves: DataFrame, messages: DataFrame, max_rounds: int = 40) -
         reach *= 2
     known = parents.withColumn("known", F.lit(True))
     if looped:
-        # A path as long as the table can only be going round; each message shows once.
+        # a path that went round shows each message once
         path = path.groupBy("leaf", "id").agg(F.min("up").alias("up"))
     placed = path.join(known, "id", "left")
     by_leaf = placed.groupBy("leaf").agg(

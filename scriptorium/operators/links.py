@@ -77,7 +77,6 @@ def crawl_order(
     seeds: DataFrame,
     max_pages: int | None = None,
     follow: Column | None = None,
-    max_rounds: int = 1000,
 ) -> tuple[DataFrame, int]:
     """Breadth-first reach: ((page, hop, referrer), pages left queued at the cap).
 
@@ -96,7 +95,9 @@ def crawl_order(
         ).distinct()
     )
     visited, total, left = frontier, frontier.count(), 0
-    for hop in range(1, max_rounds + 1):
+    hop = 0
+    while True:
+        hop += 1
         reached = (
             frontier.join(usable, frontier.page == usable.src)
             .groupBy(F.col("dst").alias("page"))

@@ -107,7 +107,7 @@ def sample_with_minimum(
 def locale_cycle(
     rows: DataFrame, order: Sequence[str], cycle: Sequence[str] = LOCALE_CYCLE, prefix: str = "c"
 ) -> DataFrame:
-    """A sample's n-th row gets the n-th language of the cycle and the id `c00n`.
+    """A sample's n-th row gets the n-th language of the cycle and the id `c00n`, longer where n is.
 
     A sample is a quota's worth of rows, small by construction.
     """
@@ -116,6 +116,6 @@ def locale_cycle(
     return (
         rows.withColumn("n", place)
         .withColumn("locale", F.element_at(languages, (F.col("n") - 1) % len(cycle) + 1))
-        .withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 3, "0")))
+        .withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 3, "0"), F.substring(F.col("n").cast("string"), 4, 20)))
         .drop("n")
     )

@@ -69,20 +69,16 @@ def step_durations(entries: DataFrame) -> DataFrame:
     return entries.withColumn("ms", F.floor(micros(F.col("ts"), after) / 1000).cast("long"))
 
 
-def listed_tasks(tasks: DataFrame, limit: int) -> DataFrame:
-    """The first tasks as the page lists them: running newest first, then last over first.
+def listed_tasks(tasks: DataFrame) -> DataFrame:
+    """All tasks as the page lists them: running newest first, then last over first.
 
-    A sort with a limit keeps only `limit` rows per partition; they are numbered after.
+    A range-partitioned sort with the keys as columns; no task numbers all the others.
     """
     running = F.col("outcome") == "running"
-    keys = [
-        running.desc(),
-        F.when(running, F.col("began")).desc_nulls_last(),
-        F.col("last").desc(),
-        F.col("task").asc(),
-    ]
-    first = tasks.orderBy(*keys).limit(limit)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    keyed = tasks.withColumn("running", running).withColumn("since", F.when(running, F.col("began")))
+    return keyed.orderBy(
+        F.col("running").desc(), F.col("since").desc_nulls_last(), F.col("last").desc(), F.col("task").asc()
+    )
 
 
 def lease_state(entries: DataFrame, now: Column) -> DataFrame:

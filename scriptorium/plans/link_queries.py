@@ -77,7 +77,7 @@ def x19(spark, sf):
 
 REACH_SQL = """WITH RECURSIVE usable AS (SELECT DISTINCT src, dst FROM v_edges WHERE NOT is_pdf),
     reach AS (SELECT CAST(0 AS BIGINT) AS page, CAST(0 AS BIGINT) AS hop UNION
-              SELECT u.dst, r.hop + 1 FROM reach r JOIN usable u ON u.src = r.page WHERE r.hop < 40),
+              SELECT u.dst, r.hop + 1 FROM reach r JOIN usable u ON u.src = r.page WHERE r.hop < (SELECT count(*) FROM pages)),
     first AS (SELECT page, min(hop) AS hop FROM reach GROUP BY 1)
     SELECT f.page, f.hop, COALESCE(CAST(min(p.page) AS VARCHAR), 'none') AS referrer FROM first f LEFT JOIN (
         SELECT u.dst, x.page, x.hop FROM usable u JOIN first x ON x.page = u.src) p ON p.dst = f.page AND p.hop = f.hop - 1 GROUP BY 1, 2"""
@@ -222,7 +222,7 @@ def x23_minimum(spark, sf):
 
 @query(
     "w11_locale_cycle",
-    f"""SELECT 'c' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, url, (['it', 'en', 'zh', 'it', 'en'])[(n - 1) % 5 + 1] AS locale FROM (
+    f"""SELECT 'c' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS id, url, (['it', 'en', 'zh', 'it', 'en'])[(n - 1) % 5 + 1] AS locale FROM (
         SELECT url, row_number() OVER (ORDER BY section, place) AS n FROM {SAMPLE_SQL})""",
 )
 def w11(spark, sf):

@@ -17,10 +17,10 @@ VIEWS: dict[str, str] = {
         WHERE regexp_matches(line, '\S')""",
     "v_chunks": r"""
         SELECT doc_id, chunk_index, text,
-               lpad(CAST(doc_id AS VARCHAR), 9, '0') || '-' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS row_key,
+               lpad(CAST(doc_id AS VARCHAR), CAST(greatest(9, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '-' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(5, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') AS row_key,
                lang AS locale,
                CASE WHEN doc_id % 3 = 0 THEN 'slides' ELSE 'web' END AS kind,
-               CASE WHEN doc_id % 3 = 0 THEN 'C' || lpad(CAST(doc_id % 20 AS VARCHAR), 3, '0') ELSE source END AS course,
+               CASE WHEN doc_id % 3 = 0 THEN 'C' || lpad(CAST(doc_id % 20 AS VARCHAR), CAST(greatest(3, length(CAST(doc_id % 20 AS VARCHAR))) AS INTEGER), '0') ELSE source END AS course,
                CASE WHEN doc_id % 3 = 0 THEN (2020 + doc_id % 5) || '-' || (2021 + doc_id % 5) END AS academic_year,
                'd' || (doc_id % 400) || '.pdf' AS source_file,
                CASE WHEN doc_id % 3 <> 0 THEN 'https://' || source || '.example.org/g/guide-' || (2019 + doc_id % 6) || '-p' || (doc_id % 60) END AS url,
@@ -54,7 +54,7 @@ VIEWS: dict[str, str] = {
             UNION ALL SELECT page_id, 2, (page_id * page_id) % n FROM pages, (SELECT count(*) AS n FROM pages))
         WHERE src <> dst""",
     "v_gold": r"""
-        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id, item_id, text AS question,
+        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), CAST(greatest(4, length(CAST(item_id AS VARCHAR))) AS INTEGER), '0') AS question_id, item_id, text AS question,
                (['en', 'it', 'zh'])[item_id % 3 + 1] AS locale FROM benchmark""",
     "v_truth": r"""
         SELECT g.question_id, d.doc_id FROM v_gold g JOIN documents d ON contains(d.text, g.question)""",
@@ -156,13 +156,13 @@ VIEWS: dict[str, str] = {
                chunk_index // 3 + 1 AS page,
                CASE WHEN chunk_index % 25 = 0 AND doc_id % 4 = 0 THEN 'Notes ' || doc_id ELSE text END AS text FROM v_lines""",
     "v_point_rows": r"""
-        SELECT *, doc_id * 100000 + chunk_index AS seq, CASE WHEN academic_year IS NOT NULL THEN course || ':' || academic_year || ':' ELSE '' END
-            || left(source_sha256, 16) || ':' || parse_variant || ':' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id FROM v_chunks""",
+        SELECT *, doc_id * 1000000000 + chunk_index AS seq, CASE WHEN academic_year IS NOT NULL THEN course || ':' || academic_year || ':' ELSE '' END
+            || left(source_sha256, 16) || ':' || parse_variant || ':' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0') AS chunk_id FROM v_chunks""",
     "v_points": r"""
         SELECT * FROM (SELECT *, md5(chunk_id) AS point_id FROM v_point_rows)
         QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) = 1""",
     "v_batch": r"""
-        SELECT * REPLACE (CASE WHEN doc_id % 3 = 1 THEN point_id ELSE md5(point_id || 'v2') END AS point_id, text || ' (second edition)' AS text, seq + 1000000000 AS seq)
+        SELECT * REPLACE (CASE WHEN doc_id % 3 = 1 THEN point_id ELSE md5(point_id || 'v2') END AS point_id, text || ' (second edition)' AS text, seq + 500000000 AS seq)
         FROM v_points WHERE doc_id % 4 = 1""",
     "v_after_upsert": r"""
         SELECT point_id, kind, url, ingest_source, ingest_run_id, source_file, course, academic_year, source_sha256, text, seq FROM v_points
@@ -185,7 +185,7 @@ VIEWS: dict[str, str] = {
             UNION ALL SELECT c.user_id, m.course, m.academic_year, m.state, c.as_teacher FROM v_covered c JOIN v_marks m ON m.course = c.course AND m.day = DATE '1998-09-01')
         GROUP BY 1, 2, 3, 4""",
     "v_hits": r"""
-        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id, question, j + 1 AS rn, (item_id * 3 + j * 11) % n AS page
+        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), CAST(greatest(4, length(CAST(item_id AS VARCHAR))) AS INTEGER), '0') AS question_id, question, j + 1 AS rn, (item_id * 3 + j * 11) % n AS page
         FROM (SELECT item_id, text AS question FROM benchmark), (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS j), (SELECT count(*) AS n FROM pages)
         QUALIFY row_number() OVER (PARTITION BY item_id, page ORDER BY j) = 1""",
     "v_linked": r"""
@@ -201,7 +201,7 @@ VIEWS: dict[str, str] = {
               AND NOT (l.dst = (CAST(substr(h.question_id, 2) AS BIGINT) * 5) % (SELECT count(*) FROM pages)))
         QUALIFY row_number() OVER (PARTITION BY question_id, dst ORDER BY rn, pos, referrer) = 1""",
     "v_scores": r"""
-        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
+        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), CAST(greatest(4, length(CAST(item_id AS VARCHAR))) AS INTEGER), '0') AS question_id,
                (['en', 'it', 'zh'])[item_id % 3 + 1] AS locale,
                (['faithfulness', 'relevancy', 'precision', 'recall'])[m + 1] AS metric,
                CASE WHEN item_id % 19 = 0 THEN 'refused' WHEN (item_id + m) % 13 = 0 THEN 'failed'
@@ -209,7 +209,7 @@ VIEWS: dict[str, str] = {
                     ELSE CAST(CAST(((item_id * (m + 3)) % 101) AS DOUBLE) / 100 AS VARCHAR) END AS value
         FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS m)""",
     "v_routes": r"""
-        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id,
+        SELECT 'q' || lpad(CAST(item_id AS VARCHAR), CAST(greatest(4, length(CAST(item_id AS VARCHAR))) AS INTEGER), '0') AS question_id,
                (['slides', 'web', 'both'])[(item_id * 7) % 3 + 1] AS routed,
                (['slides', 'web'])[item_id % 2 + 1] AS target, item_id % 11 = 0 AS fallback FROM benchmark""",
     "v_headers": r"""
@@ -231,7 +231,7 @@ VIEWS: dict[str, str] = {
                'f' || (conv_id % 7) || '.pdf' AS source_file, pos + 1 AS page,
                CASE WHEN conv_id % 3 <> 1 THEN 'Heading ' || (conv_id % 4) END AS heading,
                '2024-2025' AS academic_year, sha256(body) AS source_sha256,
-               '2026-01-' || lpad(CAST(1 + (conv_id + pos) % 28 AS VARCHAR), 2, '0') AS fetch_date,
+               '2026-01-' || lpad(CAST(1 + (conv_id + pos) % 28 AS VARCHAR), CAST(greatest(2, length(CAST(1 + (conv_id + pos) % 28 AS VARCHAR))) AS INTEGER), '0') AS fetch_date,
                '[m' || (conv_id % 9) || '.' || (pos // 2) || ']' AS marker
         FROM v_assistant, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS pos)""",
     "v_answers": r"""

@@ -130,7 +130,7 @@ def f05(spark, sf):
 
 
 CHUNK_ID_SQL = """CASE WHEN academic_year IS NOT NULL THEN course || ':' || academic_year || ':' ELSE '' END
-    || left(source_sha256, 16) || ':' || parse_variant || ':' || lpad(CAST(chunk_index AS VARCHAR), 4, '0')"""
+    || left(source_sha256, 16) || ':' || parse_variant || ':' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INTEGER), '0')"""
 POINT_ID_SQL = f"""(SELECT row_key, chunk_id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-'
     || (['8','9','a','b'])[CAST('0x' || h[17] AS INTEGER) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM (
     SELECT row_key, chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM (

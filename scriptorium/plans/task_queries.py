@@ -59,12 +59,13 @@ def t02(spark, sf):
 
 @query(
     "o03_task_order",
-    f"""SELECT task, row_number() OVER (ORDER BY outcome = 'running' DESC, CASE WHEN outcome = 'running' THEN began END DESC NULLS LAST, last DESC, task) AS place FROM {TASK_SQL}
-        ORDER BY place LIMIT 100""",
+    f"""SELECT task, outcome = 'running' AS running, coalesce({STAMP_SQL.format("CASE WHEN outcome = 'running' THEN began END")}, '') AS since, {STAMP_SQL.format('last')} AS last FROM {TASK_SQL}
+        ORDER BY 2 DESC, 3 DESC, 4 DESC, 1""",
 )
 def o03_tasks(spark, sf):
-    """The first hundred tasks of the page: running newest first, then finished."""
-    return tasks.listed_tasks(tasks.task_rows(v.activity(spark, sf)), 100).select("task", "place")
+    """All tasks in the page's order: running newest first, then finished."""
+    listed = tasks.listed_tasks(tasks.task_rows(v.activity(spark, sf)))
+    return listed.select("task", "running", F.coalesce(stamp("since"), F.lit("")).alias("since"), stamp("last").alias("last"))
 
 
 @query(

@@ -18,22 +18,8 @@ LOCALES = ["en", "it", "zh"]
 TARGETS = ["slides", "web", "both"]
 
 
-# Tables whose rows carry whole texts, so that a task's work is the text, not the row.
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over every core when the scan has fewer splits than there are cores.
-
-    A table of many files or row groups already has enough splits and is left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def text_of(*parts: Column | str) -> Column:
@@ -48,7 +34,9 @@ def one_of(values: list[str], index: Column) -> Column:
 
 
 def padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+    """At least `width` digits; a longer number keeps all of its own."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
 def day_after(base: str, days: Column) -> Column:
@@ -568,7 +556,7 @@ def point_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("course"), F.col("academic_year"), F.col("source_sha256"), F.col("parse_variant"), F.col("chunk_index")
     )
     return rows.withColumn("point_id", F.md5(key)).withColumn(
-        "seq", F.col("doc_id") * 100000 + F.col("chunk_index")
+        "seq", F.col("doc_id") * 1000000000 + F.col("chunk_index")
     )
 
 
@@ -584,7 +572,7 @@ def batch(spark: SparkSession, sf: str) -> DataFrame:
         F.when(d % 3 == 1, F.col("point_id")).otherwise(F.md5(F.concat("point_id", F.lit("v2")))).alias("point_id"),
         *[c for c in POINT_COLUMNS if c not in ("point_id", "text", "seq")],
         F.concat("text", F.lit(" (second edition)")).alias("text"),
-        (F.col("seq") + 1000000000).alias("seq"),
+        (F.col("seq") + 500000000).alias("seq"),
     )
 
 
