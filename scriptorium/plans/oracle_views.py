@@ -236,9 +236,15 @@ VIEWS: dict[str, str] = {
         FROM v_assistant, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS pos)""",
     "v_answers": r"""
         SELECT answer_id, conv_id, turn,
-               body || ' [' || (turn % 4) || '][9]' || CASE conv_id % 4 WHEN 0 THEN ' (Excerpt 2)' WHEN 1 THEN ' `[1]`'
-                   WHEN 2 THEN ' a[1] [2](u)' ELSE ' [m' || (conv_id % 9) || '.1]' END AS answer
+               body || ' [' || (turn % 4) || '][9]' || CASE conv_id % 8 WHEN 0 THEN ' (Excerpt 2)' WHEN 1 THEN ' `[1]`'
+                   WHEN 2 THEN ' a[1] [2](u)' WHEN 3 THEN ' [m' || (conv_id % 9) || '.1]' WHEN 4 THEN ' (Excerpt 1, 2)'
+                   WHEN 5 THEN ' (Excerpt 9, 2)' WHEN 6 THEN ' 【Excerpt 1 和 2】 end' ELSE ' see [Excerpt 2 e Excerpt 3].' END AS answer
         FROM v_assistant""",
+    # what each answer of v_answers was written to cite, by number
+    "v_cited": r"""
+        SELECT DISTINCT n.answer_id, c.marker FROM (
+            SELECT answer_id, unnest(list_append(CASE conv_id % 8 WHEN 0 THEN [2] WHEN 3 THEN [3] WHEN 4 THEN [1, 2] WHEN 6 THEN [1, 2] WHEN 7 THEN [2, 3] ELSE [] END, turn % 4)) AS number
+            FROM v_assistant) n JOIN v_citations c ON c.answer_id = n.answer_id AND c.pos + 1 = n.number""",
     "v_messages": r"""
         SELECT conv_id, turn, role, text, conv_id || '-' || turn AS id,
                lag(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id,

@@ -366,16 +366,10 @@ def f31_history(spark, sf):
     return history_block(conv.recent_turns(v.messages(spark, sf)), "conv_id")
 
 
-CITED_SQL = r"""(SELECT DISTINCT a.answer_id, c.marker FROM (
-    SELECT answer_id, regexp_replace(answer, '`[^`\n]*`', ' ', 'g') AS t FROM v_answers) a JOIN v_citations c USING (answer_id)
-    WHERE contains(t, c.marker) OR list_contains(list_concat(
-        regexp_extract_all(replace(t, '][', ']  ['), '(?:^|[^A-Za-z0-9_])\[(\d+)\](?:[^(]|$)', 1), regexp_extract_all(t, 'Excerpt\s+(\d+)', 1)), CAST(pos + 1 AS VARCHAR)))"""
-
-
 @query(
     "w10_sources_of",
-    f"""SELECT answer_id, marker, pos, cited, row_number() OVER (PARTITION BY answer_id ORDER BY cited DESC, pos) AS place FROM (
-        SELECT answer_id, marker, min(pos) AS pos, (answer_id, marker) IN (SELECT (answer_id, marker) FROM {CITED_SQL}) AS cited FROM v_citations GROUP BY 1, 2)""",
+    """SELECT answer_id, marker, pos, cited, row_number() OVER (PARTITION BY answer_id ORDER BY cited DESC, pos) AS place FROM (
+        SELECT answer_id, marker, min(pos) AS pos, (answer_id, marker) IN (SELECT (answer_id, marker) FROM v_cited) AS cited FROM v_citations GROUP BY 1, 2)""",
 )
 def w10(spark, sf):
     held = v.citations(spark, sf)

@@ -181,3 +181,17 @@ def e05_shingles(spark, sf):
         "SELECT c.conv_id, c.turn, count(*) AS shingles FROM {rows} c, LATERAL shingles(c.text) s GROUP BY c.conv_id, c.turn",
         rows=rows,
     )
+
+
+@query(
+    "e05_citation_refs",
+    """SELECT DISTINCT answer_id, CAST(n AS INTEGER) AS number FROM (
+        SELECT answer_id, unnest(list_concat([turn % 4, 9], CASE conv_id % 8 WHEN 0 THEN [2] WHEN 4 THEN [1, 2] WHEN 5 THEN [9, 2] WHEN 6 THEN [1, 2] WHEN 7 THEN [2, 3] ELSE [] END)) AS n
+        FROM v_answers)""",
+)
+def e05_citations(spark, sf):
+    """Every number an answer refers to, by the generator called from SQL."""
+    register_table_functions(spark)
+    return spark.sql(
+        "SELECT a.answer_id, r.number FROM {rows} a, LATERAL citation_refs(a.answer) r", rows=v.answers(spark, sf)
+    )

@@ -326,10 +326,14 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     tail = (
-        F.when(c % 4 == 0, " (Excerpt 2)")
-        .when(c % 4 == 1, " `[1]`")
-        .when(c % 4 == 2, " a[1] [2](u)")
-        .otherwise(text_of(" [m", c % 9, ".1]"))
+        F.when(c % 8 == 0, " (Excerpt 2)")
+        .when(c % 8 == 1, " `[1]`")
+        .when(c % 8 == 2, " a[1] [2](u)")
+        .when(c % 8 == 3, text_of(" [m", c % 9, ".1]"))
+        .when(c % 8 == 4, " (Excerpt 1, 2)")
+        .when(c % 8 == 5, " (Excerpt 9, 2)")
+        .when(c % 8 == 6, " 【Excerpt 1 和 2】 end")
+        .otherwise(" see [Excerpt 2 e Excerpt 3].")
     )
     return assistant(spark, sf).select(
         "answer_id",

@@ -252,3 +252,32 @@ def test_primary_subtags(spark, tag, want):
 @pytest.mark.parametrize("text,want", [("the cat and the dog", "en"), ("il gatto e la casa per sempre", "it"), ("这是一个测试 ok", "zh"), ("", "en")])
 def test_locales(spark, text, want):
     assert one(spark, tx.detect_locale(F.lit(text))) == want
+
+
+def test_generators_follow_the_column_rules(spark):
+    from scriptorium.functions import text as tx
+    from scriptorium.operators.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    text = "one didat-\ntici two three"
+    rows = spark.sql("SELECT shingle FROM shingles(:text)", {"text": text}).collect()
+    listed = spark.createDataFrame([(text,)], "text string").select(tx.shingles(F.col("text")).alias("s")).first().s
+    assert sorted(r.shingle for r in rows) == sorted(listed)
+    answer = "see (Excerpt 4, 2), 【Excerpt 5】 `[9]` and [3], Excerpt 3"
+    rows = spark.sql("SELECT number FROM citation_refs(:answer)", {"answer": answer}).collect()
+    assert [r.number for r in rows] == [4, 2, 5, 3]
+
+
+def test_lists_of_references_are_whole(spark):
+    from scriptorium.functions import citations as cite
+
+    rows = [
+        ("a", "see (Excerpt 1, 2) and 【Excerpt 3 和 1】.", [1, 2, 3], ["[m]"], "see and."),
+        ("b", "see (Excerpt 9, 2), (Excerpt 2) [m1] x", [1, 2], ["[m]", "[m1]"], "see (Excerpt 9, 2), x"),
+        ("c", " two  words here [1]. ", None, None, "two  words here [1]."),
+    ]
+    frame = spark.createDataFrame(rows, "id string, answer string, numbers array<long>, markers array<string>, want string")
+    out = frame.select("want", cite.strip_citations(F.col("answer"), F.col("numbers"), F.col("markers")).alias("got")).collect()
+    assert [r.got for r in out] == [r.want for r in out]
+    found = frame.select(cite.referenced_numbers(F.col("answer"), F.coalesce(F.size("numbers"), F.lit(0))).alias("n")).collect()
+    assert [sorted(r.n) for r in found] == [[1, 2, 3], [2], []]
