@@ -146,6 +146,8 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshol
     index = spark.createDataFrame(
         entries, "token string, t_at int, template int, label string, need int, t_tokens array<string>"
     )
+    # a few rows a template, and templates are a parameter: small by construction
+    index = F.broadcast(index)
     blocks = _blocks(docs, vocabulary, least)
     # the shortest prefix any template can ask of a block
     heads = blocks.select(
