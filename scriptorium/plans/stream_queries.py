@@ -19,6 +19,9 @@ from scriptorium.streaming.replay import (
     write_in_order,
 )
 
+# partitions of the streams' state in these queries; a stream keeps what it starts with
+STATE_PARTITIONS = 8
+
 
 def activity_stream(spark, sf, extra=()):
     rows = v.activity(spark, sf).select(
@@ -57,7 +60,7 @@ CLOSED_SQL = f"""SELECT task, kind, {STAMP_SQL.format('began')} AS began, {STAMP
 @query("t02_task_lifecycle_stream", CLOSED_SQL)
 def t02_stream(spark, sf):
     """Tasks folded by a stateful stream; the closed ones equal the batch twin's."""
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         rows = run_to_table(
             lifecycle.task_lifecycles(
                 activity_stream(spark, sf), late="2 days", question_lease=86400, upload_lease=86400
@@ -78,7 +81,7 @@ def t02_stream(spark, sf):
 )
 def t03_stream(spark, sf):
     """Task sessions broken by four silent hours, emitted once the watermark passes them."""
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         rows = run_to_table(windows.session_leases(activity_stream(spark, sf), "4 hours"))
     return rows.select("task", stamp("began").alias("began"), stamp("ended").alias("ended"), "entries")
 
@@ -87,7 +90,7 @@ def t03_stream(spark, sf):
 def t04_stream(spark, sf):
     """Questions and uploads admitted under a cap per kind: verdicts and the highest load."""
     entries = activity_stream(spark, sf).withColumn("tenant", F.col("kind"))
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         rows = run_to_table(lifecycle.admissions(entries, lease=6 * 3600))
     return rows.groupBy("tenant", "verdict").agg(
         F.count("*").alias("tasks"), F.max("running").alias("most_running")
@@ -103,7 +106,7 @@ def t05_stream(spark, sf):
     """The rate windows of a stream, as far as its watermark has closed them."""
     rows = v.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     stream = read_stream(spark, write_in_order(rows), rows.schema)
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         found = run_to_table(windows.rate_windows(stream, "user_id", "1 hour", 4))
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -115,7 +118,7 @@ def t06(spark, sf):
     entries = activity_stream(spark, sf).select("event_id", "task", "event", "ts")
     twice = entries.unionByName(entries)
     once = twice.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         run_batches(once.drop("ts"), ingest.tail_batch(path, 2000))
     return ingest.read_after(spark, path, -1).select("event_id", "task", "event")
 
@@ -150,7 +153,7 @@ def t08_stream(spark, sf):
         .select(F.col("ts").cast("timestamp").alias("ts"), "event", (F.col("event_id") % 900).alias("ms"))
     )
     stream = read_stream(spark, write_in_order(rows), rows.schema)
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, STATE_PARTITIONS):
         found = run_to_table(windows.latency_windows(stream, "1 day", accuracy=1_000_000))
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event", "n", "p50", "p95")
 

@@ -53,9 +53,13 @@ def _before(spark: SparkSession, path: str, schema: T.StructType, batch: int) ->
 
 
 def current_points(log: DataFrame) -> DataFrame:
-    """The index a log of batches amounts to: per (url, source) its latest batch's points."""
+    """The index a log of batches amounts to: per (url, source) its latest batch's points.
+
+    A batch that leaves a page without points logs it with a null id, so the points
+    before it are not current.
+    """
     newest = log.groupBy(*WEB_KEY).agg(F.max("batch").alias("batch"))
-    return log.join(newest, [*WEB_KEY, "batch"], "left_semi")
+    return log.join(newest, [*WEB_KEY, "batch"], "left_semi").where("point_id is not null")
 
 
 def compact(spark: SparkSession, path: str, into: str, upto: int) -> None:
@@ -85,16 +89,19 @@ def ingest_batch(path: str, split: Callable[[DataFrame], DataFrame] = paragraphs
         ledger = _before(spark, f"{path}/ledger", LEDGER, number)
         log = _before(spark, f"{path}/points", POINTS, number)
         fetched = keep_last(batch, "url", "seq")
-        known = latest_by_url(ledger.where("action <> 'ephemeral'")).select(
+        # only what the batch's addresses have in the ledger and the log is grouped
+        asked = fetched.select("url").distinct()
+        known = latest_by_url(ledger.where("action <> 'ephemeral'").join(asked, "url", "left_semi")).select(
             "url", F.col("content_hash").alias("known_hash")
         )
-        counts = current_points(log).groupBy(*WEB_KEY).agg(F.count("*").alias("points"))
+        counts = current_points(log.join(asked, "url", "left_semi")).groupBy(*WEB_KEY).agg(F.count("*").alias("points"))
         plan = incremental_plan(
             fetched, known, counts, carry=["seq", "content_hash", "text"]
         ).persist()
         try:
             kept = plan.where(~F.col("action").isin("unchanged", "ephemeral"))
-            split(kept).write.mode("overwrite").parquet(f"{path}/points/batch={number}")
+            points = kept.select(*WEB_KEY).distinct().join(split(kept), WEB_KEY, "left")
+            points.select(*WEB_KEY, "point_id", "text").write.mode("overwrite").parquet(f"{path}/points/batch={number}")
             plan.select("seq", "url", "ingest_source", "content_hash", "action").write.mode(
                 "overwrite"
             ).parquet(f"{path}/ledger/batch={number}")

@@ -10,23 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.session import ROCKSDB_PROVIDER, scratch_path
 
-ROWS_PER_FILE = 1000
+ROWS_PER_FILE = 50_000
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+def rocksdb_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """State in RocksDB while the block runs: it spills to disk and snapshots changes only.
 
-    A stream's state keeps the partitions it starts with; more of them than cores only
-    adds a store and a commit each per batch, so their number is held to the cores.
+    A stream's state keeps the partitions it starts with for good: `partitions`, else
+    the session's setting.
     """
-    cores = spark.sparkContext.defaultParallelism
-    wanted = {
-        PROVIDER_KEY: ROCKSDB_PROVIDER,
-        PARTITIONS_KEY: str(min(cores, int(spark.conf.get(PARTITIONS_KEY)))),
-    }
+    wanted = {PROVIDER_KEY: ROCKSDB_PROVIDER}
+    if partitions is not None:
+        wanted[PARTITIONS_KEY] = str(partitions)
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -42,34 +40,32 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 @dataclass(frozen=True)
 class Replay:
-    """Files in event-time order: a trigger reads one slice's files."""
+    """Files in event-time order: a trigger reads as many as the largest slice has."""
 
     path: str
     files_per_trigger: int
 
 
-def write_in_order(rows: DataFrame, ts: str = "ts", slices: int = 8) -> Replay:
+def write_in_order(
+    rows: DataFrame, ts: str = "ts", slices: int = 8, rows_per_file: int = ROWS_PER_FILE
+) -> Replay:
     """Rows as files in event-time order, one append per slice of time.
 
-    Every slice is the same number of files, so a trigger of that many files is one
-    slice and no row is later than the slice before it.
+    A slice has the files its rows ask for. Triggers take files in the order written,
+    so a trigger may span slices but never reads a row before an earlier slice's rows.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "replay")
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    held = rows.withColumn("_at", micros).persist()
-    try:
-        low, high = held.agg(F.min("_at"), F.max("_at")).first()
-        span = max(1, (high - low) // slices + 1)
-        place = F.floor((F.col("_at") - low) / span)
-        sizes = [r["count"] for r in held.groupBy(place.alias("slice")).count().collect()]
-        cores = spark.sparkContext.defaultParallelism
-        files = max(1, min(cores, min(sizes) // ROWS_PER_FILE))
-        for i in range(slices):
-            held.where(place == i).drop("_at").repartition(files).write.mode("append").parquet(path)
-    finally:
-        held.unpersist()
-    return Replay(path, files)
+    held = rows.withColumn("_at", micros)
+    low, high = held.agg(F.min("_at"), F.max("_at")).first()
+    span = max(1, (high - low) // slices + 1)
+    place = F.floor((F.col("_at") - low) / span)
+    sizes = {r["slice"]: r["count"] for r in held.groupBy(place.alias("slice")).count().collect()}
+    files = {i: -(-n // rows_per_file) for i, n in sizes.items()}
+    for i in sorted(files):
+        held.where(place == i).drop("_at").repartition(files[i]).write.mode("append").parquet(path)
+    return Replay(path, max(files.values()))
 
 
 def read_stream(spark: SparkSession, replay: Replay, schema) -> DataFrame:

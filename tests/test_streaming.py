@@ -116,3 +116,23 @@ def test_a_tail_keeps_the_newest_once_and_resumes_after_an_id(spark):
     run_batches(once.drop("ts"), ingest.tail_batch(path, 10))
     assert [r.event_id for r in ingest.read_after(spark, path, 44).collect()] == [45, 46, 47, 48, 49]
     assert ingest.read_after(spark, path, -1).count() == 10
+
+
+def test_a_page_that_turns_empty_leaves_the_index(spark):
+    path = scratch_path(spark, "live")
+    each = ingest.ingest_batch(path)
+    batches = [[page(1, "u", "h1", "one\ntwo"), page(2, "v", "h2", "three")], [page(3, "u", "h3", " \n ")], [page(4, "u", "h4", "five")]]
+    seen = []
+    for number, rows in enumerate(batches):
+        each(spark.createDataFrame(rows, ingest.FETCH), number)
+        held = ingest.current_points(spark.read.parquet(f"{path}/points"))
+        seen.append(sorted((r.url, r.text) for r in held.collect()))
+    assert seen == [[("u", "one"), ("u", "two"), ("v", "three")], [("v", "three")], [("u", "five"), ("v", "three")]]
+
+
+def test_a_lone_row_in_a_slice_does_not_set_the_files_of_others(spark):
+    rows = spark.range(4001).select(
+        F.col("id"), F.timestamp_seconds(F.when(F.col("id") == 4000, 800).otherwise(F.col("id") % 90)).cast("timestamp_ntz").alias("ts")
+    )
+    replay = write_in_order(rows, slices=8, rows_per_file=500)
+    assert replay.files_per_trigger == 8 and spark.read.parquet(replay.path).count() == 4001
