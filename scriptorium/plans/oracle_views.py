@@ -59,11 +59,11 @@ VIEWS: dict[str, str] = {
     "v_truth": r"""
         SELECT g.question_id, d.doc_id FROM v_gold g JOIN documents d ON contains(d.text, g.question)""",
     "v_dense": r"""
-        SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label, c.row_key, c.text, c.kind, c.course,
+        SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label, c.row_key, d.text, c.text AS title, c.kind, c.course,
                c.academic_year, c.locale, c.ingest_source, c.ingest_run_id, c.url
         FROM embeddings e JOIN (
             SELECT * FROM v_chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) = 1) c
-        ON c.doc_id = e.vec_id""",
+        ON c.doc_id = e.vec_id JOIN documents d ON d.doc_id = c.doc_id""",
     "v_postings": r"""
         SELECT row_key, term, count(*) AS tf FROM (
             SELECT row_key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM v_chunks)

@@ -292,7 +292,7 @@ def x04(spark, sf):
 DENSE_SPARSE_SQL = r"""SELECT query_id, row_key, score, rn FROM (
     SELECT query_id, row_key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_key) AS rn FROM (
         SELECT q.row_key AS query_id, p.row_key, round(sum(t.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.doc_len / a.avg_len))), 9) AS score
-        FROM dp p JOIN dt t USING (term) JOIN (SELECT DISTINCT row_key, term FROM dp) q USING (term)
+        FROM dp p JOIN dt t USING (term) JOIN (SELECT DISTINCT row_key, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS term FROM v_dense) q USING (term)
              JOIN dl l ON l.row_key = p.row_key JOIN v_dense d ON d.row_key = p.row_key, (SELECT avg(doc_len) AS avg_len FROM dl) a
         WHERE q.row_key <> p.row_key AND d.ingest_source = 'crawl' GROUP BY 1, 2)) WHERE rn <= 20"""
 DENSE_SPARSE_WITH = r"""WITH dp AS (SELECT row_key, term, count(*) AS tf FROM (SELECT row_key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM v_dense) GROUP BY 1, 2),
@@ -310,11 +310,11 @@ DENSE_SPARSE_WITH = r"""WITH dp AS (SELECT row_key, term, count(*) AS tf FROM (S
 def x07(spark, sf):
     # The index at rest: both branches and their counts read it.
     points = written_once(
-        v.dense(spark, sf).select("row_key", "text", "embedding", "ingest_source", "ingest_run_id"), "points"
+        v.dense(spark, sf).select("row_key", "text", "title", "embedding", "ingest_source", "ingest_run_id"), "points"
     )
-    asked = points.select(F.col("row_key").alias("query_id"), "embedding", F.col("text").alias("question"))
+    asked = points.select(F.col("row_key").alias("query_id"), "embedding", F.col("title").alias("question"))
     return retrieval.hybrid_search(
-        points,
+        points.drop("title"),
         asked,
         payload_filter(**CRAWLED_WEB),
         query="query_id",
@@ -642,7 +642,7 @@ def j07(spark, sf):
         "row_key", "url", "source_file", F.array("page", F.col("page") + 1).alias("pages")
     )
     hits = sparse_hits(spark, sf).join(payload, "row_key")
-    lead = v.lead_chunks(spark, sf).select(
+    lead = v.whole_chunks(spark, sf).select(
         "doc_id",
         F.concat(F.col("url"), F.lit("/")).alias("url"),
         F.col("source_file"),

@@ -96,23 +96,20 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return with_payload(lines(spark, sf))
 
 
-def lead_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The first non-blank line of every document, without a shuffle."""
+def whole_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as one chunk of its whole text, keyed by its first non-blank line."""
     split = F.split("text", "\n", -1)
     first = table(spark, sf, "documents").select(
         "doc_id",
         "lang",
         "source",
         F.sha2("text", 256).alias("sha"),
-        split.alias("parts"),
+        "text",
         (
             F.array_position(F.transform(split, lambda s: s.rlike(r"\S")), True) - 1
         ).alias("chunk_index"),
     )
-    picked = first.where("chunk_index >= 0").withColumn(
-        "text", F.get("parts", F.col("chunk_index").cast("int"))
-    )
-    return with_payload(picked)
+    return with_payload(first.where("chunk_index >= 0"))
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,12 +209,14 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors with the payload of their document's first line."""
+    """Vectors with the payload and whole text of their document."""
     vectors = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label"
     )
-    lead = lead_chunks(spark, sf)
-    return vectors.join(lead, vectors.vec_id == lead.doc_id).drop("doc_id")
+    whole = whole_chunks(spark, sf)
+    joined = vectors.join(whole, vectors.vec_id == whole.doc_id).drop("doc_id")
+    # a question for searches that ask with the documents: the first non-blank line
+    return joined.withColumn("title", F.get(F.split("text", "\n", -1), F.col("chunk_index").cast("int")))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
