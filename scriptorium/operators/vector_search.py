@@ -17,7 +17,6 @@ from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
 
 BLOCK_ROWS = 8192
 SMALL_BLOCK = 512
-BUCKET_ROWS = 64
 SCORES_AT_ONCE = 4_000_000
 
 
@@ -162,18 +161,17 @@ def approximate_search(
     width: int = 64,
     k: int = PREFETCH,
     tables: int = 24,
-    bits: int | None = None,
+    bits: int = 3,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top-k among points that share a hyperplane bucket with the query.
 
-    `bits` defaults to what keeps a bucket's size as the corpus grows. A bucket is
+    Recall depends on `tables` and `bits` alone, not on the number of rows: more bits are
+    less work and lower recall, more tables the reverse; measure with `recall_at_k`. A bucket is
     scored in blocks that hand on k points per query, so no pairs are written; one
     that is hot, its vectors being alike, is cut into more blocks, never left out.
     """
-    if bits is None:
-        bits = max(1, math.ceil(math.log2(max(2, points.count() / BUCKET_ROWS))))
 
     def coded(rows: DataFrame, name: str, key_as: str, vec_as: str) -> DataFrame:
         codes = hyperplane_codes(rows.select(name, vector), vector, width, tables, bits)
