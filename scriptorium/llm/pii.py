@@ -4,8 +4,9 @@ The field labels whole segments of words (up to MAX_SEGMENT each) as one kind or
 other. A segment is scored by features of the whole span (its digits, separators,
 parts, check digit, at and dot words) plus the step between labels, and dynamic
 programming over a run of words chooses boundaries and kinds jointly. Only runs around a
-digit, an at sign or a spelled-out dot are decoded: every other word has no feature of
-any kind and stays other. Weights maximise the likelihood of runs labelled by the fixed
+digit, an at sign or a spelled-out address are decoded: the shapes of numbers ask for a
+digit, the shape of an address for its at and host, in any of the spellings that feature
+knows; a word near none of them has no shape of any kind and stays other. Weights maximise the likelihood of runs labelled by the fixed
 patterns, and of copies of them written evasively ("name at host dot com", a number
 without its plus), so spans the patterns miss are found. Spans of the field that touch a
 pattern's span are left out; pattern spans always stay.
@@ -83,7 +84,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- runs of words the field decodes ------------------------------------------------
 
 LIVE = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
-SPELLED = re.compile(r"[\[(\x20]at[\])\x20]\x20?[A-Za-z0-9-]+\x20?[\[(\x20]dot[\])\x20]", re.I)
+# the parts of an address; the feature and the gate before it are made of the same ones
+SPELLED_AT = r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)"
+HOST = r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+"
+# an address from its at on: [\[(\x20]at[\])\x20] holds wherever SPELLED_AT does
+SPELLED = re.compile(r"[\[(\x20]at(?:(?<=[\[(]at)[\])]\x20?|(?<=\x20at)\x20)" + HOST, re.I)
+SIGNED = re.compile("@" + HOST, re.I)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = frozenset(" \t\n\x0b\x0c\r")
 AROUND = 40  # characters on either side of a live word that its run may take words from
@@ -101,9 +107,11 @@ def _line_words(text: str, start: int, end: int) -> tuple[int, int]:
 def runs(text: str) -> list[list[tuple[int, int]]]:
     """Runs of word spans around live words; runs that touch are one."""
     live = [m.span() for m in LIVE.finditer(text)]
-    if "dot" in text or "DOT" in text:
-        live += [m.span() for m in SPELLED.finditer(text)]
-        live.sort()
+    spelled = [m.span() for m in SPELLED.finditer(text)]
+    if "@" in text:
+        spelled += [m.span() for m in SIGNED.finditer(text)]
+    if spelled:
+        live = sorted(live + spelled)
     out: list[list[int]] = []
     for start, end in live:
         wide = AROUND if not text[start].isdigit() else 4
@@ -122,9 +130,7 @@ DIGIT_BINS = (0, 1, 4, 7, 10, 14, 20)
 PHONE_ONLY = re.compile(r"[+0-9(][\x20().0-9-]*[0-9]")
 CARD_ONLY = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PARTS = re.compile(r"([0-9]{1,3})(?:\.|\[\.\]|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)([0-9]{1,3})(?:\.|\[\.\]|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)([0-9]{1,3})(?:\.|\[\.\]|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)([0-9]{1,3})", re.I)
-ADDRESS = re.compile(
-    r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+", re.I
-)
+ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?:@|{SPELLED_AT}){HOST}", re.I)
 DASHED = re.compile(r"(?:00[0-9]{1,3}[\x20-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")
 NAMES = (
     "bias", "one_word", "many_words", *(f"digits_{b}" for b in DIGIT_BINS), "letters", "at", "spelled",
@@ -372,8 +378,10 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out = []
         for text in batch.column(0).to_pylist():
             for words in runs(text or ""):
-                if len(words) <= TRAIN_WORDS:
-                    out.append(text[words[0][0] : words[-1][1]])
+                line = text[words[0][0] : words[-1][1]]
+                # the patterns can't label a spelled address: as "other" it would teach the field to miss it
+                if len(words) <= TRAIN_WORDS and not SPELLED.search(line):
+                    out.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(sorted(set(out)), pa.string())], ["line"])
 
 

@@ -55,6 +55,33 @@ def test_the_field_finds_what_patterns_miss(field, text, found):
     assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, field)[1]] == found
 
 
+SPELLINGS = [" at | dot ", " [at] | [dot] ", "(at)|.", " (at) | (dot) ", " at |.", "[at]| dot ", "(AT)|(DOT)", " At | Dot ", " (at)|."]
+
+
+@pytest.mark.parametrize("spelling", SPELLINGS)
+@pytest.mark.parametrize("host", ["example.com", "mail.example.org"])
+def test_every_spelling_is_found_without_a_digit(field, spelling, host):
+    at, dot = spelling.split("|")
+    own = "jo.smith" + at + host.replace(".", dot)
+    text = f"so please do write to {own} about it"
+    assert [(k, text[a:b]) for k, a, b in field.spans(text)] == [("email", own)]
+    assert pii.ADDRESS.fullmatch(own)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b-c", " ", "  ", "at", "At", "dot", "DOT", "(", ")", "[", "]", ".", "@", "\n", "7"]), max_size=14).map("".join))
+def test_runs_hold_every_address(text):
+    held = [(words[0][0], words[-1][1]) for words in pii.runs(text)]
+    for m in pii.ADDRESS.finditer(text):
+        assert any(a <= m.start() and m.end() <= b for a, b in held)
+
+
+def test_spelled_addresses_are_not_trained_as_other():
+    batch = pa.RecordBatch.from_arrays([pa.array(["room 7 then", "ask jo(at)example.com now", None])], ["text"])
+    out = [x for b in pii._training_lines(iter([batch])) for x in b.column(0).to_pylist()]
+    assert out == ["room 7 then"]
+
+
 def test_decoding_equals_every_segmentation(field):
     """Viterbi against a recursion over all segmentations of short runs."""
     size = len(pii.LABELS)
