@@ -12,7 +12,8 @@ minLength, maxLength, items) and written as canonical JSON: keys by code point,
 whole floats as integers, no escapes but those JSON asks for.
 
 Defined results: messages that are no such JSON, or null, hold no call and no result; a
-null conversation or identifier links with nothing and keeps its status; of calls (or
+call with a null conversation or identifier links with nothing and is a row of its own,
+unanswered, as is such a result, unasked; of calls (or
 results) that repeat an identifier the first by turn, then by text, is linked, the count
 is kept in `n_calls` and `n_results`; a dependency on an unknown call is named as a problem
 and not waited for; calls on or behind a cycle have no level; empty tables give no rows;
@@ -119,11 +120,13 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         .select("conv_id", "turn", F.explode(F.from_json("text", CALLS)["tool_calls"]).alias("c"))
         .select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
     )
+    # a result may hold nulls under its keys
+    has_key = F.arrays_overlap(F.json_object_keys("text"), F.array(F.lit("tool_call_id"), F.lit("content")))
     results = (
         own.where("role = 'tool' and text like '{%'")
-        .select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
+        .select("conv_id", "turn", F.from_json("text", RESULT).alias("r"), has_key.alias("has_key"))
+        .where("r.tool_call_id is not null or r.content is not null or has_key")
         .select("conv_id", F.col("turn").alias("result_turn"), F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
-        .where("call_id is not null")
     )
     return calls, results
 
@@ -215,16 +218,17 @@ def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row a call identifier, or a result without a call.
+    """One row a call identifier, or a result without a call; calls and results without a key stay single.
 
     Columns: conv_id, call_id, turn, name, level, status (linked, unanswered, cycle,
     unasked), problems, n_calls, n_results, result_turn, line (canonical JSON of the call
     with its result).
     """
     first = F.struct("turn", "name", "arguments", "after")
-    called = calls.groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("n_calls"))
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    called = calls.where(keyed).groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("n_calls"))
     called = written_once(called.select("conv_id", "call_id", "c.*", "n_calls"), "calls")
-    told = results.groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id")).agg(
+    told = results.where(keyed).groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id")).agg(
         F.min(F.struct("result_turn", "content")).alias("r"), F.count("*").alias("n_results")
     )
     placed, unknown = levels(called)
@@ -241,7 +245,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         "name",
         "level",
         F.when(F.col("n_calls").isNull(), "unasked")
-        .when(F.col("level").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), "cycle")
+        .when(F.col("level").isNull(), "cycle")
         .when(F.col("n_results").isNull(), "unanswered")
         .otherwise("linked")
         .alias("status"),
@@ -253,6 +257,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         F.col("r.content").alias("content"),
     )
 
+    # what has no key meets nothing: it goes through neither grouping nor join
+    none = F.array().cast("array<string>")
+    call = calls.where(~keyed).select(
+        "conv_id", "call_id", "turn", "name", F.lit("unanswered").alias("status"), "arguments",
+        none.alias("lost"), F.lit(1).cast("bigint").alias("n_calls"), F.lit(0).cast("bigint").alias("n_results"),
+    )
+    result = results.where(~keyed).select(
+        "conv_id", "call_id", F.lit("unasked").alias("status"), none.alias("lost"), F.lit(0).cast("bigint").alias("n_calls"),
+        F.lit(1).cast("bigint").alias("n_results"), "result_turn", "content",
+    )
+    rows = rows.unionByName(call, True).unionByName(result, True)
+
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "call_id", "turn", "name", "level", "status", "n_calls", "n_results", "result_turn"]
         for batch in batches:
@@ -300,7 +316,10 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
     A call waits for the call two turns before it; texts are carried whole.
     """
-    name = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
+    def name(t):
+        """None without a turn: calls of unknown turns are not one call."""
+        return F.when(t.isNotNull(), F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string")))
+
     turn = F.col("turn")
     question = F.to_json(
         F.struct(F.col("text").alias("question"), turn.alias("turn"), F.size(F.split("text", r"\s+")).alias("words"))
@@ -317,7 +336,7 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
             ).alias("tool_calls")
         )
     )
-    result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.col("text").alias("content")), {"ignoreNullFields": "false"})
     asked = conversations.where("role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), call.alias("text"))
     told = conversations.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text"))
     return asked.unionByName(told)

@@ -50,6 +50,35 @@ def test_linking_order_and_checks(spark):
     assert tool_calls.link_tool_calls(*tool_calls.parse(empty), SCHEMA).isEmpty()
 
 
+def test_calls_and_results_without_a_key_stay_single(spark):
+    rows = [
+        message(1, 0, call(None, arguments='{"a": 1}'), call(None, arguments='{"a": 2}'), call("x", arguments='{"a": 3}')),
+        message(None, 0, call("x", arguments='{"a": 4}')), message(None, 0, call("x", arguments='{"a": 5}'), call(None, arguments="no")),
+        answer(1, 1, None, "r1"), answer(1, 1, None, "r2"), answer(1, 1, "x", "r3"), answer(1, 2, None, None),
+        answer(None, 1, "x", "r4"), answer(None, 1, "x", "r5"), answer(None, 1, None, "r5"), (1, 3, "tool", "{}"), (1, 3, "tool", "{no"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = tool_calls.link_tool_calls(*tool_calls.parse(frame), SCHEMA).collect()
+    lines = [(r.status, (json.loads(r.line)["call"] or {}).get("arguments"), json.loads(r.line)["result"]) for r in out]
+    assert sorted(lines, key=str) == sorted([
+        ("linked", {"a": 3}, "r3"),
+        *(("unanswered", {"a": i}, None) for i in (1, 2, 4, 5)), ("unanswered", None, None),
+        *(("unasked", None, x) for x in ("r1", "r2", "r4", "r5", "r5", None)),
+    ], key=str)
+    assert all(r.n_calls + r.n_results == 1 and r.level is None for r in out if r.status != "linked")
+
+
+def test_turns_without_a_conversation_or_number_stay_single(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (4, None, "user", "c"), (4, None, "user", "d"),
+            (4, 0, "user", "e"), (4, 1, "assistant", "f"), (None, 1, "assistant", "g"), (None, 1, "assistant", "h"), (4, None, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = tool_calls.link_tool_calls(*tool_calls.parse(tool_calls.as_tool_messages(turns)), tool_calls.SCHEMAS).collect()
+    lines = [json.loads(r.line) for r in out]
+    asked = {(x["call"] or {"arguments": {}})["arguments"].get("question"): x["result"] for x in lines if x["call"]}
+    assert asked == {"a": None, "b": None, "c": None, "d": None, "e": "f"}
+    assert sorted(str(x["result"]) for x in lines if not x["call"]) == ["None", "g", "h"] and len(out) == 8
+
+
 def test_a_long_chain_is_placed(spark):
     rows = [message(1, i, call(f"c{i}", arguments='{"a":1}', after=[f"c{i - 1}"] if i else [])) for i in range(12)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
