@@ -1,12 +1,14 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block is a line of a text, as the set of its words. A template meets a block when the
-block holds at least `threshold` of the template's words. The join is a prefix join:
+A block is a line of a text, or a window: as many words in a row as the template has,
+wherever lines break. A template meets a block when the block holds at least `threshold`
+of the template's words, as sets. The join is a prefix join:
 tokens in one global order, rarest first by their count over all blocks of the corpus; a
 block that reaches the overlap o = ceil(threshold * |T|) must hold one of the |T| - o + 1
 first tokens of T among its own first |B| - o + 1; lengths and positions bound the rest,
 and an exact intersection decides. Words of no template can't add to an overlap, so a
-block is kept as its template words only. DataFrame functions only.
+block is kept as its template words only. For windows whole texts are joined first, as a
+window holds no word its text lacks; only texts met are walked. DataFrame functions only.
 
 The templates are a parameter, a few hundred short lines at most; the corpus is never
 gathered. Besides, phrases are looked up word by word wherever they stand (`n_base`).
@@ -24,6 +26,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.llm.columns import let
 from scriptorium.session import written_once
 
 # Phrases whose consecutive words name a license.
@@ -118,14 +121,55 @@ def _blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
     return sets.where(F.size("tokens") >= least)
 
 
+def _texts(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
+    """Texts of several lines, with their distinct template words in the order of `vocabulary`."""
+    order = F.array(*(F.lit(w) for w in vocabulary))
+    sets = docs.where(F.contains("text", F.lit("\n"))).select(
+        "doc_id", "digest", F.lit(None).cast("int").alias("line"), "text",
+        F.array_intersect(order, license_words(F.col("text"))).alias("tokens"),
+    )
+    return sets.where(F.size("tokens") >= least)
+
+
+def _best_window(text: Column, tokens: Column, size: Column) -> Column:
+    """The most distinct `tokens` in `size` words in a row; a best window begins with one of them."""
+
+    def best(words: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(tokens, F.get(words, i)))
+        return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(tokens, F.slice(words, i + 1, size)))))
+
+    return let(license_words(text), best)
+
+
+def _met(blocks: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """Every block with every template it meets as a whole, once, and the words they share."""
+    # the shortest prefix any template can ask of a block
+    heads = blocks.select(
+        "*", F.posexplode(F.slice("tokens", 1, F.greatest(F.lit(1), F.size("tokens") - least + 1))).alias("b_at", "token")
+    )
+    return (
+        heads.join(index, "token")
+        .where(F.size("tokens") >= F.col("need"))
+        .where(F.col("b_at") <= F.size("tokens") - F.col("need"))
+        .where(
+            1 + F.least(F.size("tokens") - F.col("b_at") - 1, F.size("t_tokens") - F.col("t_at") - 1) >= F.col("need")
+        )
+        .withColumn("common", F.array_intersect("t_tokens", "tokens"))
+        # a pair is judged at its first common token only
+        .where(F.element_at("common", 1) == F.col("token"))
+        .where(F.size("common") >= F.col("need"))
+    )
+
+
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(doc_id, digest, line, template, label, containment) of every block that meets a template.
 
-    `docs` has doc_id, digest and text.
+    `docs` has doc_id, digest and text. A text's windows are one row a template, without a
+    line, with the containment of the best.
     """
     spark = docs.sparkSession
-    sets = [(i, label, sorted(set(text.split(" ")))) for i, (label, text) in enumerate(templates)]
-    least = min(_overlap_needed(len(s), threshold) for _, _, s in sets)
+    sets = [(i, label, text.split(" ")) for i, (label, text) in enumerate(templates)]
+    least = min(_overlap_needed(len(set(s)), threshold) for _, _, s in sets)
     vocabulary = sorted({w for _, _, s in sets for w in s})
     counts = {
         r["token"]: r["n"]  # at most one row a template word
@@ -138,35 +182,24 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshol
     vocabulary.sort(key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(vocabulary)}
     entries = []
-    for i, label, tokens in sets:
-        tokens = sorted(tokens, key=rank.get)
+    for i, label, words in sets:
+        tokens = sorted(set(words), key=rank.get)
         need = _overlap_needed(len(tokens), threshold)
         for at, token in enumerate(tokens[: len(tokens) - need + 1]):
-            entries.append((token, at, i, label, need, tokens))
+            entries.append((token, at, i, label, need, tokens, len(words)))
     index = spark.createDataFrame(
-        entries, "token string, t_at int, template int, label string, need int, t_tokens array<string>"
+        entries, "token string, t_at int, template int, label string, need int, t_tokens array<string>, t_words int"
     )
     # a few rows a template, and templates are a parameter: small by construction
     index = F.broadcast(index)
-    blocks = _blocks(docs, vocabulary, least)
-    # the shortest prefix any template can ask of a block
-    heads = blocks.select(
-        "*", F.posexplode(F.slice("tokens", 1, F.greatest(F.lit(1), F.size("tokens") - least + 1))).alias("b_at", "token")
-    )
-    met = (
-        heads.join(index, "token")
-        .where(F.size("tokens") >= F.col("need"))
-        .where(F.col("b_at") <= F.size("tokens") - F.col("need"))
-        .where(
-            1 + F.least(F.size("tokens") - F.col("b_at") - 1, F.size("t_tokens") - F.col("t_at") - 1) >= F.col("need")
-        )
-        .withColumn("common", F.array_intersect("t_tokens", "tokens"))
-        # a pair is judged at its first common token only
-        .where(F.element_at("common", 1) == F.col("token"))
-        .where(F.size("common") >= F.col("need"))
+    found = ["doc_id", "digest", "line", "template", "label", "need", "t_tokens"]
+    lines = _met(_blocks(docs, vocabulary, least), index, least).select(*found, F.size("common").alias("held"))
+    windows = _met(_texts(docs, vocabulary, least), index, least).select(
+        *found, _best_window(F.col("text"), F.col("t_tokens"), F.col("t_words")).alias("held")
     )
+    met = lines.unionByName(windows.where(F.col("held") >= F.col("need")))
     return met.select(
-        "doc_id", "digest", "line", "template", "label", (F.size("common") / F.size("t_tokens")).alias("containment")
+        "doc_id", "digest", "line", "template", "label", (F.col("held") / F.size("t_tokens")).alias("containment")
     )
 
 

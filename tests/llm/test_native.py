@@ -46,6 +46,23 @@ def test_edges(edge, none, spark):
     assert decontamination.drop_contaminated(edge, bench).count() == edge.count() - 3
 
 
+def test_wrapped_license_templates_are_found(spark):
+    """Every template broken after each of its words, with and without words around; scattered words aren't one."""
+    rows, want = [], {}
+    for i, (label, template) in enumerate(license_scan.TEMPLATES):
+        words = template.split(" ")
+        for k in range(1, len(words)):
+            rows.append((100 * i + k, f"some words\n * {' '.join(words[:k])}\n * {' '.join(words[k:])} and more\nlast"))
+            want[100 * i + k] = label
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    rows += [(1000, bsd), (1001, bsd.replace(" ", "\n")), (1002, bsd.replace("\n", "\nx y z w\n")), (1003, bsd.replace(" ", " x\n"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in license_scan.license_scan(frame).collect()}
+    assert all(label in out[i].labels.split(",") for i, label in want.items())
+    assert [(out[i].labels, out[i].score) for i in (1000, 1001)] == [("bsd-3", 1.0)] * 2
+    assert [(out[i].labels, out[i].score) for i in (1002, 1003)] == [("", 0.0)] * 2
+
+
 def test_license_of_its_own_kind(spark):
     rows = [
         (1, "Released under the MIT License."),
