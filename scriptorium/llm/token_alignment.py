@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,8 +40,8 @@ from scriptorium.session import written_once
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-#: bytes of text in a block, and steps of the merge in a piece
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 16
+#: bytes of text aligned at once, and in a block, and steps of the merge in a piece
+SLAB_BYTES, BLOCK_BYTES, PIECE = 1 << 20, 8 << 20, 1 << 16
 #: Fixed value: how a byte-level vocabulary splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: a run of blanks this long is left to the vocabulary's own library
@@ -70,15 +72,10 @@ class Pair:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, files: Files):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(files.a)
-        self.library.encode_special_tokens = True
+        self.files, self._library = files, None
         model, letters = json.loads(files.a)["model"], byte_letters()
         ranks = {bytes(letters[c] for c in word): k for word, k in model["vocab"].items() if all(c in letters for c in word)}
         special = {t["id"] for t in json.loads(files.a)["added_tokens"]}
@@ -94,6 +91,17 @@ class Pair:
         self.b_bytes = [self._piece(k) for k in range(self.pieces.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
 
+    @property
+    def library(self):
+        """The vocabulary's own library, opened when a text asks for it."""
+        if self._library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.files.a)
+            self._library.encode_special_tokens = True
+        return self._library
+
     def _piece(self, k: int) -> bytes:
         if self.pieces.is_byte(k):
             return bytes([int(self.pieces.id_to_piece(k)[3:-1], 16)])
@@ -120,8 +128,6 @@ class Pair:
 
 def _blanks(text: str) -> bool:
     """Whether a run of LONG_BLANKS blanks of any kind stands in a text."""
-    import re
-
     return re.search(r"\s{%d}" % LONG_BLANKS, text) is not None
 
 
@@ -264,29 +270,44 @@ def alignments(docs: DataFrame, key: str, text: str, files: Files) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, block = Pair(shared.value), TaskContext.get().partitionId() << 32
+        parts, taken = [], 0
+
+        def rows(ids: pa.Array, out: dict, whole: bool) -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    *(pa.array(out.get(c, np.zeros(n, np.int64))) for c in counts),
+                    pa.array(out.get("groups_sha256", [""] * n)),
+                    pa.array(np.full(n, block)),
+                    pa.array([whole] * n),
+                    _lists(out["pairs"], out["ends"]),
+                    _lists(out["times"], out["ends"]),
+                ],
+                ["doc_id", *counts, "groups_sha256", "block", "whole", "pairs", "times"],
+            )
+
+        def summed() -> dict:
+            pairs, times = (np.concatenate(x) for x in zip(*parts))
+            pairs, at = np.unique(pairs, return_inverse=True)
+            return {"pairs": pairs, "times": np.bincount(at, times, len(pairs)).astype(np.int64), "ends": np.array([len(pairs)])}
+
         for batch in batches:
             sizes = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:
                 before = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, "right")))
+                to = max(at + 1, int(np.searchsorted(sizes, before + SLAB_BYTES, "right")))
                 out = aligned(batch.column(1).slice(at, to - at).to_pylist(), both)
-                pairs, times = np.unique(out["pairs"], return_counts=True)
-                rows = to - at
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([batch.column(0).slice(at, rows), pa.nulls(1, batch.schema.field(0).type)]),
-                        *(pa.array(np.append(out[c], 0)) for c in counts),
-                        pa.array([*out["groups_sha256"], ""]),
-                        pa.array(np.full(rows + 1, block)),
-                        pa.array([False] * rows + [True]),
-                        _lists(np.concatenate((out["pairs"], pairs)), np.append(out["ends"], len(out["pairs"]) + len(pairs))),
-                        _lists(np.concatenate((out["times"], times)), np.append(out["ends"], len(out["pairs"]) + len(pairs))),
-                    ],
-                    ["doc_id", *counts, "groups_sha256", "block", "whole", "pairs", "times"],
-                )
-                block += 1
+                yield rows(batch.column(0).slice(at, to - at), out, False)
+                parts.append(np.unique(out["pairs"], return_counts=True))
+                taken += int(sizes[to - 1] - before)
+                if taken >= BLOCK_BYTES:
+                    yield rows(pa.nulls(1, batch.schema.field(0).type), summed(), True)
+                    parts, taken, block = [], 0, block + 1
                 at = to
+        if parts:
+            yield rows(pa.nulls(1, batch.schema.field(0).type), summed(), True)
 
     schema = f"doc_id {id_type}, {', '.join(f'{c} long' for c in counts)}, groups_sha256 string, block long, whole boolean"
     return written_once(own.mapInArrow(scan, f"{schema}, pairs array<long>, times array<long>"), "alignments")
