@@ -19,6 +19,7 @@ from scriptorium.llm.ngram_join import ngram_join
 from scriptorium.llm.pii import pii_report
 from scriptorium.llm.quality_classifier import quality_classifier
 from scriptorium.llm.quality_rules import quality_rules
+from scriptorium.llm.spelling_variants import spelling_variants
 from scriptorium.llm.token_alignment import token_alignment
 from scriptorium.llm.tool_calls import SCHEMAS, as_tool_messages, link_tool_calls, parse
 from scriptorium.llm.url_filters import url_filters
@@ -86,6 +87,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its more frequent form one edit away, and the last form."""
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document."""
     return token_alignment(read(spark, sf_dir, "documents"))
@@ -102,6 +108,7 @@ QUERIES: dict[str, Run] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_alignment": op12_token_alignment,
 }
 
