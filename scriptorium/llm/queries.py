@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium.llm import sql
 from scriptorium.llm.columns import read
 from scriptorium.llm.decontamination import matches
+from scriptorium.llm.language_id import language_id
 from scriptorium.llm.license_scan import license_scan
 from scriptorium.llm.lm_scoring import lm_scores
 from scriptorium.llm.mixing import mix
@@ -97,6 +98,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(read(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_tool_calls": op1_tool_calls,
     "op2_ngram_join": op2_ngram_join,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Run] = {
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_token_alignment": op12_token_alignment,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {

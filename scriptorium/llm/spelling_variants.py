@@ -121,7 +121,7 @@ def groups(words: DataFrame, group: int = GROUP) -> DataFrame:
     rows = _placed(rows.select("word", "n", "long", F.explode(cut).alias("s")).select("word", "n", "long", "s.head", "s.tail"))
     settled = None
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+        sizes = rows.where("long - head - tail > 1").groupBy("key").agg(F.count("*").alias("size"))
         hot = written_once(sizes.where(F.col("size") > group).select("key"), "hot-groups")
         if hot.isEmpty():
             break
