@@ -20,18 +20,20 @@ Work is on classes of equal sets, so copies are never compared:
 
 Defined results: a null text, or one without words, has 0 shingles and is its own
 component; below five words the whole sequence is the one shingle; a component is named
-by its smallest key, keys that are null never name one; repeated rows return once each;
+by its smallest key, keys that are null never name one, and rows without a key link as any
+other (their component is null where no key is in it); repeated rows return once each;
 an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from scriptorium.llm.word_arrays import mixed, run_hashes, word_hashes
 from scriptorium.operators.components import connected_components
@@ -288,11 +290,9 @@ def _narrowed(packed: np.ndarray, size: int) -> np.ndarray:
 
 
 def _filter_words(keys: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the column `key`: at most FILTER_BITS / 64 numbers."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    """A filter of FILTER_BITS bits over the column `bit`: at most FILTER_BITS / 64 numbers."""
     rows = (
-        keys.select(bit.alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
+        keys.groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
         .toPandas()
     )
@@ -301,37 +301,48 @@ def _filter_words(keys: DataFrame) -> np.ndarray:
     return words
 
 
+def _passes(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (words[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def _arrays(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the texts in `wanted` (doc_id, cls), one text a class.
 
-    The texts are read where they lie; the filter lets through those wanted and a few
-    more, which the join by key drops.
+    The texts are read where they lie; a filter of their keys lets through those wanted
+    and a few more, which the join drops. A class that only rows without a key hold has no
+    key to filter by: of such rows the set is made first, and its class is filtered.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.select(F.col("doc_id").alias("key"))))
+    by_key = wanted.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    by_class = wanted.where("doc_id is null").select(F.pmod("cls", F.lit(FILTER_BITS)).alias("bit"))
+    shared = docs.sparkSession.sparkContext.broadcast((_filter_words(by_key), _filter_words(by_class)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        by_key, by_class = shared.value
+        unkeyed = by_class.any()
         for batch in batches:
             bit = batch.column(0).to_numpy(zero_copy_only=False)
-            passed = (words[bit >> 6] >> (bit & 63)) & 1 == 1
-            chosen = batch.filter(pa.array(passed))
+            chosen = batch.filter(pa.array(np.where(bit < 0, unkeyed, _passes(by_key, np.maximum(bit, 0)))))
             for at, to in _slices(chosen, 2) if chosen.num_rows else ():
                 sets = list(shingle_sets(chosen.column(2).slice(at, to - at).fill_null("")))
+                classes = np.array([class_of(s) for s in sets], np.int64)
+                keep = chosen.column(1).slice(at, to - at).is_valid().to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(keep | _passes(by_class, classes % FILTER_BITS))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        chosen.column(1).slice(at, to - at),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        chosen.column(1).slice(at, to - at).take(pa.array(keep)),
+                        pa.array(classes[keep]),
+                        pa.array([sets[k].view(np.int64) for k in keep.tolist()], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "cls", "shingles"],
                 )
 
-    own = docs.where(F.col(key).isNotNull()).select(
-        F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit"), F.col(key).alias("doc_id"), F.col(text).alias("text")
-    )
+    hashed = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))).otherwise(-1)
+    own = docs.select(hashed.alias("bit"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
     made = own.mapInArrow(scan, f"doc_id {id_type}, cls long, shingles array<long>")
-    made = written_once(made.join(wanted, ["doc_id", "cls"], "left_semi"), "ngram-arrays")
+    asked = wanted.select(F.col("doc_id").alias("w_id"), F.col("cls").alias("w_cls"))
+    same = (F.col("cls") == F.col("w_cls")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
+    made = written_once(made.join(asked, same, "left_semi"), "ngram-arrays")
     return made.dropDuplicates(["cls"]).select("cls", "shingles")
 
 
@@ -403,8 +414,11 @@ def crossing_pairs(tiled: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, cls, group, component_id) of every document.
+
+    `group` is the component as a name of its classes, which also those without a key have.
+    """
     sketches = sketch(docs, key, text)
     texts = sketches.where("hot is null").select("doc_id", "n", "cls")
     classes = written_once(
@@ -419,29 +433,73 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     across = links_among(crossing_pairs(tiled, members), docs, key, text, classes)
     members = connected_components(stars.union(across)) if not across.isEmpty() else members
     named = classes.join(members.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "doc_id", F.coalesce("component", "cls").alias("component")
+        "cls", "doc_id", F.coalesce("component", "cls").alias("group")
     )
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = written_once(named.join(lowest, "component").select(F.col("cls").alias("c_cls"), "component_id"), "ngram-named")
+    lowest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_class = written_once(named.join(lowest, "group").select(F.col("cls").alias("c_cls"), "group", "component_id"), "ngram-named")
     return texts.join(of_class, (F.col("cls") == F.col("c_cls")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), "cls", "group", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return judged(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_class(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The documents with the class of their set as one more column."""
+    names, at = docs.columns, docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [
+                class_of(s) for i, j in _slices(batch, at) for s in shingle_sets(batch.column(at).slice(i, j - i).fill_null(""))
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], [*names, name])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document that names each component, whole and in its own columns.
+    """One document of each component, whole and in its own columns: that of smallest key, then class.
 
-    Rows that repeat a key are one document, of which one row stays; rows without a key
-    can't be named and stay.
+    A row is told by its key and its text's class, not by its key alone: of rows that share a
+    key, each text that no other kept one resembles stays. Rows of one key and one class are
+    one document. A row without a key goes only where a row of its component stays; without
+    a key and without words it always stays.
     """
-    judged = written_once(ngram_join(docs, key, text), "ngram-judged")
-    gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written_once(gone, "ngram-gone")
+    rows = written_once(judged(docs, key, text), "ngram-judged")
+    named = rows.where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls")
+    keepers = named.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.cls").alias("k_cls"))
+    same = (F.col("cls") == F.col("k_cls")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    stays = rows.join(keepers, same, "left").select(
+        "doc_id", "cls", ((F.col("n_shingles") == 0) | F.col("k_cls").isNotNull()).alias("stays")
+    )
+    stays = written_once(stays, "ngram-stays")
+    fates = stays.where("doc_id is not null").groupBy(F.col("doc_id").alias("f_id"))
+    fates = fates.agg(F.count("*").alias("rows"), F.max("stays").alias("some"))
+    # a key of one row, or of none that stays, is settled by itself
+    gone = written_once(fates.where("not some").select("f_id"), "ngram-gone")
+    again = written_once(fates.where("some and rows > 1").select("f_id"), "ngram-again")
     # the keys grow with the corpus: a shuffled join at every size
-    kept = docs.join(gone.hint("merge"), docs[key] == gone["gone_id"], "left_anti")
-    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1")
-    again = written_once(again.select("again_id"), "ngram-again")
-    if again.isEmpty():
+    kept = docs.where(F.col(key).isNotNull()).join(gone.hint("merge"), docs[key] == gone["f_id"], "left_anti")
+    unkeyed = docs.where(F.col(key).isNull())
+    more = []
+    if not again.isEmpty():
+        more.append(docs.join(again, docs[key] == again["f_id"], "left_semi"))
+        kept = kept.join(again, kept[key] == again["f_id"], "left_anti")
+    if not stays.where("doc_id is null").isEmpty():
+        more.append(unkeyed)
+    if not more:
         return kept
-    once = kept.join(again, kept[key] == again["again_id"], "left_semi").dropDuplicates([key])
-    return kept.join(again, kept[key] == again["again_id"], "left_anti").unionByName(once)
+    name = "class"
+    while name in docs.columns:
+        name += "_"
+    told = _with_class(reduce(DataFrame.unionByName, more), text, name)
+    asked = stays.where("stays").select(F.col("doc_id").alias("s_id"), F.col("cls").alias("s_cls")).distinct()
+    told = told.join(asked, (F.col(name) == F.col("s_cls")) & told[key].eqNullSafe(F.col("s_id")), "left_semi")
+    wordless = (F.col(name) == 0) & F.col(key).isNull()
+    once = told.where(~wordless).dropDuplicates([key, name]).unionByName(told.where(wordless))
+    return kept.unionByName(once.select(*(F.col(f"`{c}`") for c in docs.columns)))

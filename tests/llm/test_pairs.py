@@ -104,3 +104,66 @@ def test_the_model_is_a_distribution():
     assert abs((10**a.root).sum() - 1) < 1e-9
     # word 0 was followed three times of five in this toy; the two others leave that share
     assert abs(arcs.sum() + rest.sum() - (3 + lm_scoring.K) / (5 + lm_scoring.K)) < 1e-9
+
+
+def linked(first: list[str], seed: int, changes: int = 1) -> list[str]:
+    """A copy whose set is near enough to link."""
+    rng = random.Random(seed)
+    out = list(first)
+    for _ in range(changes):
+        out[rng.randrange(len(out))] = f"n{seed}x{rng.randrange(10**6)}"
+    return out
+
+
+def test_rows_without_a_key_link(spark):
+    """A text that only a keyless row holds joins its two neighbours."""
+    words = [f"w{i}" for i in range(75)]
+    a, b, c = words[:64], words, words[11:]
+    texts = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "alone " * 9)]
+    a, b, c = (brute.shingles(t) for _, t in texts[:3])
+    assert min(len(a & b) / len(a | b), len(b & c) / len(b | c)) >= 0.75 > len(a & c) / len(a | c)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = [(r.doc_id, r.component_id) for r in ngram_join.ngram_join(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1), (2, 1), (None, None)], key=str)
+    assert [r.doc_id for r in ngram_join.drop_near_copies(docs).where("text not like 'alone%'").collect()] == [1]
+
+
+def keyless(seed: int) -> list[tuple[int | None, str | None]]:
+    """Texts of which a third have no key and a third share a key with another text."""
+    rng = random.Random(seed)
+    return [(None if k % 3 == 0 else rng.randrange(20) if k % 3 == 1 else 1000 + k, t) for k, (_, t) in enumerate(near_copies(seed))]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_null_and_repeated_keys_equal_brute_force(spark, seed):
+    texts = keyless(seed)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = brute.components(list(enumerate(t for _, t in texts)))
+    lowest: dict = {}
+    for k, (i, _) in enumerate(texts):
+        if i is not None:
+            lowest[rows[k]] = min(i, lowest.get(rows[k], i))
+    want = [(str(i), len(brute.shingles(t)), str(lowest.get(rows[k]) if brute.shingles(t) else i)) for k, (i, t) in enumerate(texts)]
+    got = [(str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_join(docs).collect()]
+    assert sorted(got) == sorted(want)
+    # one row of each group stays, that of the smallest key
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs).collect())
+    groups: dict = {}
+    for k, (i, t) in enumerate(texts):
+        groups.setdefault(rows[k], []).append((i, t))
+    place = {t: k for k, (_, t) in enumerate(texts)}
+    named = {}
+    for i, t in kept:
+        if brute.shingles(t):
+            assert named.setdefault(rows[place[t]], i) == i and kept[i, t] == 1
+    assert set(named) == {g for g, own in groups.items() if brute.shingles(own[0][1])}
+    assert all(named[g] == lowest.get(g) for g in named)
+
+
+def test_a_text_that_occurs_nowhere_else_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    unique = " ".join(f"u{i}" for i in range(30))
+    rows = [(1, " ".join(words)), (7, " ".join(linked(words, 1))), (7, unique), (8, None), (8, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, rows[0][1]), (7, unique), (8, None), (None, None), (None, "")], key=str)
