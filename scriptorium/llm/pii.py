@@ -11,11 +11,13 @@ patterns, and of copies of them written evasively ("name at host dot com", a num
 without its plus), so spans the patterns miss are found. Spans of the field that touch a
 pattern's span are left out; pattern spans always stay.
 
-Training takes at most TRAIN_RUNS runs of the corpus, those of lowest hash; it is a
-bounded sample by documented parameter. All texts are read whole.
+Training takes at most TRAIN_RUNS runs of the corpus, the distinct ones of lowest hash; it
+is a bounded sample by documented parameter. All texts are read whole, the field decodes
+words up to AROUND characters from a sign or spelling and AROUND_DIGIT from a number, and
+gives no label to several words over MAX_SPAN characters; the patterns know no such bounds.
 
 Defined results: a null or empty text has no spans; equal rows have equal spans and all
-return; an empty table returns no rows; without a run to train on the field adds nothing; other columns pass through `redact`
+return; an address part may have any number of digits; an empty table returns no rows; without a run to train on the field adds nothing; other columns pass through `redact`
 untouched, whatever their names.
 """
 
@@ -53,6 +55,12 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, digits[-1::-2])) + sum(doubled)) % 10 == 0
 
 
+def _part(digits: str) -> int:
+    """The value of an address part, 1000 for any larger: a part may have thousands of zeros."""
+    digits = digits.lstrip("0")
+    return int(digits or "0") if len(digits) <= 3 else 1000
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns: per kind leftmost, non-overlapping; by start, then kind."""
     found: list[tuple[int, int, str, int]] = []
@@ -66,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 last = m.end()
                 found.append((start, 0, "email", last))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(_part(p) <= 255 for p in m.groups()):
             found.append((m.start(), 1, "ip", m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() < 14:
@@ -92,7 +100,9 @@ SPELLED = re.compile(r"[\[(\x20]at(?:(?<=[\[(]at)[\])]\x20?|(?<=\x20at)\x20)" +
 SIGNED = re.compile("@" + HOST, re.I)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = frozenset(" \t\n\x0b\x0c\r")
-AROUND = 40  # characters on either side of a live word that its run may take words from
+#: characters on either side of a live word that its run may take words from, for words of
+#: a sign or spelling and for those that begin with a digit, and of the longest added span
+AROUND, AROUND_DIGIT, MAX_SPAN = 40, 4, 254
 
 
 def _line_words(text: str, start: int, end: int) -> tuple[int, int]:
@@ -114,7 +124,7 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
         live = sorted(live + spelled)
     out: list[list[int]] = []
     for start, end in live:
-        wide = AROUND if not text[start].isdigit() else 4
+        wide = AROUND if not text[start].isdigit() else AROUND_DIGIT
         start, end = _line_words(text, max(0, start - wide), min(len(text), end + wide))
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
@@ -172,7 +182,7 @@ def features(span: str, words: int) -> tuple[int, ...]:
         on.append("parts")
         if all(int(p) <= 255 for p in m.groups()):
             on.append("parts_fit")
-    if len(span) <= 254 and ADDRESS.fullmatch(span):
+    if len(span) <= MAX_SPAN and ADDRESS.fullmatch(span):
         on.append("address")
         if "@" not in span:
             on.append("spelled")
@@ -209,7 +219,7 @@ class Field:
             top, link = [-np.inf] * size, [(0, 0)] * size
             for length in range(1, min(MAX_SEGMENT, j) + 1):
                 start, end = trimmed(text, words[j - length][0], words[j - 1][1])
-                if length > 1 and ("\n" in text[start:end] or end - start > 254):
+                if length > 1 and ("\n" in text[start:end] or end - start > MAX_SPAN):
                     break
                 own = self.score(text, start, end, length)
                 before = best[j - length]
@@ -387,9 +397,9 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, text: str = "text", max_runs: int = TRAIN_RUNS) -> Field:
     """A field trained on at most `max_runs` runs, the distinct ones of lowest hash."""
-    lines = docs.select(F.col(text).alias("text")).mapInArrow(_training_lines, "line string")
-    chosen = lines.orderBy(F.xxhash64("line"), "line").limit(2 * max_runs).collect()  # bounded: short runs
-    return train(list(dict.fromkeys(r["line"] for r in chosen))[:max_runs])
+    lines = docs.select(F.col(text).alias("text")).mapInArrow(_training_lines, "line string").distinct()
+    chosen = lines.orderBy(F.xxhash64("line"), "line").limit(max_runs).collect()  # bounded: short runs
+    return train([r["line"] for r in chosen])
 
 
 # ---- the operators ------------------------------------------------------------------
