@@ -16,8 +16,9 @@ call with a null conversation or identifier links with nothing and is a row of i
 unanswered, as is such a result, unasked; of calls (or
 results) that repeat an identifier the first by turn, then by text, is linked, the count
 is kept in `n_calls` and `n_results`; a dependency on an unknown call is named as a problem
-and not waited for; calls on or behind a cycle have no level; empty tables give no rows;
-other columns are not read.
+and not waited for; calls on or behind a cycle have no level; arguments nested deeper than
+DEPTH are no JSON here; texts are read whole; empty tables give no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ TYPES = {
 }
 
 
+#: levels of containers that arguments may have
+DEPTH = 500
+
+
 def _unique(pairs: list[tuple[str, object]]) -> dict:
     out = dict(pairs)
     if len(out) < len(pairs):
@@ -61,6 +66,16 @@ def canonical(value) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def too_deep(value, most: int = DEPTH) -> bool:
+    """Whether containers are nested deeper than `most`; by levels, not by recursion."""
+    level = [value]
+    for _ in range(most):
+        level = [v for x in level if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return True
+
+
 def problems_of(value, schema: dict, at: str = "$") -> list[str]:
     """What of `value` the schema does not allow, each with its place."""
     kind = schema.get("type")
@@ -101,6 +116,8 @@ def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -
     """(canonical arguments, problems) of one call; no arguments count as an empty object."""
     try:
         value = json.loads(arguments or "{}", object_pairs_hook=_unique, parse_constant=_no_constant)
+        if too_deep(value):
+            raise RecursionError
         spelled = canonical(value)
         spelled.encode()
     except (ValueError, RecursionError) as error:
@@ -282,8 +299,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                     spelled, wrong = checked(name, arguments, schemas)
                     found += wrong
                 problems.append("; ".join(found))
-                call = {"id": key, "name": name, "arguments": None if spelled is None else json.loads(spelled)}
-                lines.append(canonical({"call": None if status == "unasked" else call, "result": content}))
+                # put together as text: nested in two levels more, arguments might be too deep to write
+                call = f'{{"arguments":{spelled or "null"},"id":{canonical(key)},"name":{canonical(name)}}}'
+                lines.append(f'{{"call":{"null" if status == "unasked" else call},"result":{canonical(content)}}}')
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(problems, pa.string()), pa.array(lines, pa.string())], [*names, "problems", "line"]

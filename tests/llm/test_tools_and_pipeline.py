@@ -50,6 +50,22 @@ def test_linking_order_and_checks(spark):
     assert tool_calls.link_tool_calls(*tool_calls.parse(empty), SCHEMA).isEmpty()
 
 
+def test_deep_arguments_and_clashing_columns(spark):
+    deep = lambda n: '{"a":' + "[" * n + "]" * n + "}"
+    depths = [1, tool_calls.DEPTH - 1, tool_calls.DEPTH, 900, 990, 995, 997, 999, 5000, 200_000]
+    rows = [(*message(1, k, call(str(n), arguments=deep(n))), "clash") for k, n in enumerate(depths)]
+    rows.append((*message(1, 99, call("long", arguments=json.dumps({"a": "x" * 2_000_000}))), "clash"))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string")
+    for name in ("call_id", "status", "line", "problems", "r_conv"):
+        frame = frame.withColumn(name, frame["level"])
+    out = {r.call_id: r for r in tool_calls.link_tool_calls(*tool_calls.parse(frame), {}).collect()}
+    for n in depths:
+        fits = n + 1 <= tool_calls.DEPTH
+        assert out[str(n)].problems.startswith("$: unknown tool" if fits else "$: not JSON")
+        assert (f'"arguments":{deep(n)},' if fits else '"arguments":null,') in out[str(n)].line
+    assert len(out["long"].line) > 2_000_000 and len(out) == len(rows)
+
+
 def test_calls_and_results_without_a_key_stay_single(spark):
     rows = [
         message(1, 0, call(None, arguments='{"a": 1}'), call(None, arguments='{"a": 2}'), call("x", arguments='{"a": 3}')),
