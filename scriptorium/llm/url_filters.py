@@ -13,8 +13,9 @@ The labels come from `labels` by the document number in the url's path (the last
 that is a number), block for low quality or toxic.
 
 Defined results: a null url, or one without `://`, has empty host and path and no token,
-so no rule and the verdict allow; rows are judged each by their own url, repeated rows
-repeat; with empty pages or labels no rule is mined; other columns are not read.
+so no rule and the verdict allow; rows are judged each by their own url, whole, however
+long; repeated rows repeat; with empty pages or labels no rule is mined; other columns,
+whatever their names, are not read. Support is one absolute count at every size.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-MIN_SUPPORT = 0.002
-#: urls that must hold a combination, however few are labelled
-MIN_COUNT = 20
+#: labelled urls of a verdict that must hold a combination, however many are labelled
+MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.2
 
@@ -93,7 +93,7 @@ def tokens_of() -> Column:
 
 
 def mined_rules(
-    tokens: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_lift: float
+    tokens: DataFrame, labels: DataFrame, min_count: int, min_confidence: float, min_lift: float
 ) -> DataFrame:
     """(antecedent, verdict, confidence, support) of the rules that pass, and their index token.
 
@@ -106,8 +106,9 @@ def mined_rules(
         F.concat("tokens", F.array(F.when(F.col("bad"), "verdict:block").otherwise("verdict:allow"))).alias("items")
     )
     baskets = written_once(baskets, "url-baskets")
-    floor = min(1.0, MIN_COUNT / max(1, baskets.count()))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, floor), minConfidence=min_confidence).fit(baskets)
+    # the miner counts by share and rounds up: half a url below the count asks for the count
+    share = min(1.0, (min_count - 0.5) / max(1, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
         F.col("consequent")[0].startswith("verdict:") & (F.col("lift") >= min_lift)
     ).select(
@@ -146,7 +147,7 @@ def url_filters(
     pages: DataFrame,
     labels: DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
-    min_support: float = MIN_SUPPORT,
+    min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
     key: str = "page_id",
@@ -158,7 +159,7 @@ def url_filters(
     tokens = split.select(
         "page_id", "digest", F.when(number != "", number.cast("bigint")).alias("number"), tokens_of().alias("tokens")
     )
-    mined = mined_rules(tokens, labels, min_support, min_confidence, min_lift)
+    mined = mined_rules(tokens, labels, min_count, min_confidence, min_lift)
     best = best_rules(tokens, mined).select(
         F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), "mined"
     )

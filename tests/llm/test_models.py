@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from llm import brute
 from scriptorium.llm import mixing, pii, quality_classifier, url_filters
@@ -27,6 +30,12 @@ def test_hard_texts_end_soon():
         pii.base_spans(text)
 
 
+def test_address_parts_of_thousands_of_digits():
+    zeros, ones = "0" * 5000, "1" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.base_spans(f"{ones}.2.3.4") == [] and pii.base_spans(f"1.2.3.{zeros}") == [("ip", 0, 5006)]
+
+
 LINES = [
     *(f"w{i} write to user{i}.x@mail{i}.example.org and wait" for i in range(20)),
     *(f"w{i} from 10.0.{i}.7 went out" for i in range(20)),
@@ -246,3 +255,56 @@ def test_mined_rules_block_what_the_labels_blame(spark):
         ).collect()
     }
     assert out[0] == "block" and out[900] == "block" and out[100] == "allow" and out[901] == "allow"
+
+
+def mined(urls: list[tuple[str, bool]], min_count: int) -> dict[tuple, dict]:
+    """Every combination of tokens that passes, by counting all of them."""
+    with_, all_, n = Counter(), Counter(), Counter()
+    for tokens, bad in urls:
+        verdict = "block" if bad else "allow"
+        n[verdict] += 1
+        for size in range(1, len(tokens) + 1):
+            for chosen in itertools.combinations(sorted(tokens), size):
+                all_[chosen] += 1
+                with_[chosen, verdict] += 1
+    out = {}
+    for (chosen, verdict), count in with_.items():
+        confidence = count / all_[chosen]
+        lift = confidence / (n[verdict] / len(urls))
+        if count >= min_count and confidence >= url_filters.MIN_CONFIDENCE and lift >= url_filters.MIN_LIFT:
+            out[chosen, verdict] = (round(confidence, 9), round(count / len(urls), 9))
+    return out
+
+
+@pytest.mark.parametrize("min_count", [2, 5])
+def test_mined_rules_are_all_combinations_that_pass(spark, min_count):
+    sf = "/root/testdata/sf0.01"
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z0-9]+)?/?$", 1)
+    split = url_filters.parsed(pages, "page_id", "url")
+    tokens = split.select("page_id", "digest", F.when(number != "", number.cast("bigint")).alias("number"), url_filters.tokens_of().alias("tokens"))
+    bad = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect()}
+    urls = [(r.tokens, bad[r.number]) for r in tokens.collect() if r.number in bad and r.tokens]
+    rules = url_filters.mined_rules(tokens, labels, min_count, url_filters.MIN_CONFIDENCE, url_filters.MIN_LIFT).collect()
+    got = {(tuple(sorted(r.antecedent)), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in rules}
+    want = mined(urls, min_count)
+    assert got == want and len(rules) == len(got)
+    if min_count == 2:
+        assert any(v == "block" for _, v in got)
+    # the verdict of every url without a fixed rule, from the rules as counted
+    full = {r.page_id: r for r in url_filters.url_filters(pages, labels, min_count=min_count).collect()}
+    for r in tokens.collect():
+        met = [(c, s, -len(a), " ".join(sorted(a)), v) for (a, v), (c, s) in want.items() if set(a) <= set(r.tokens)]
+        if full[r.page_id].rule is None:
+            assert full[r.page_id].verdict == (max(met)[-1] if met else "allow")
+
+
+def test_url_edges(spark):
+    """Clashing columns, a url of a million characters, rows without url or page."""
+    rows = [(1, "https://a.org/" + "x/" * 500_000 + "1", "c"), (None, None, "c"), (2, "http://example.com/de/" + "y" * 1_000_000, "c"), (2, "", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    for name in ("path", "rule", "verdict", "digest", "tokens", "m_id", "mined"):
+        pages = pages.withColumn(name, pages["host"])
+    labels = spark.createDataFrame([(1, 0, 0, "c")], "doc_id long, quality int, toxic int, bad string")
+    out = sorted(((r.page_id, r.rule, r.verdict) for r in url_filters.url_filters(pages, labels).collect()), key=str)
+    assert out == sorted([(1, "org/", "allow"), (None, None, "allow"), (2, "com/de/", "block"), (2, None, "allow")], key=str)
