@@ -108,20 +108,28 @@ def sync_editions(points: DataFrame, seen: DataFrame, failed: bool = False) -> D
     )
 
 
-def delete_material(points: DataFrame, sha256: str, course: str, year: str) -> DataFrame:
-    """Points without one deck of one edition."""
-    gone = (
+def of_material(sha256: str, course: str, year: str) -> Column:
+    """Whether a point is of one deck of one edition."""
+    return (
         F.col("source_sha256").eqNullSafe(sha256)
         & F.col("course").eqNullSafe(course)
         & F.col("academic_year").eqNullSafe(year)
     )
-    return points.where(~gone)
+
+
+def of_run(run_id: str) -> Column:
+    """Whether a point is of one live run; a crawl run's id names none."""
+    return F.col("ingest_run_id").eqNullSafe(run_id) & F.col("ingest_source").eqNullSafe("live")
+
+
+def delete_material(points: DataFrame, sha256: str, course: str, year: str) -> DataFrame:
+    """Points without one deck of one edition."""
+    return points.where(~of_material(sha256, course, year))
 
 
 def delete_run(points: DataFrame, run_id: str) -> DataFrame:
     """Points without one live run; a crawl run's id rolls nothing back."""
-    gone = F.col("ingest_run_id").eqNullSafe(run_id) & F.col("ingest_source").eqNullSafe("live")
-    return points.where(~gone)
+    return points.where(~of_run(run_id))
 
 
 def incremental_plan(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from scriptorium.operators import chunking, index
+from scriptorium.operators.table_store import Store
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
@@ -300,17 +301,43 @@ def x13(spark, sf):
     return printed(index.upsert_points(points, v.batch(spark, sf)))
 
 
-@query(
-    "x14_replace_versions",
-    """SELECT point_id, seq, kind, md5(text) AS text FROM v_after_upsert a WHERE point_id IN (SELECT point_id FROM v_batch)
+REPLACED_SQL = """SELECT point_id, seq, kind, md5(text) AS text FROM v_after_upsert a WHERE point_id IN (SELECT point_id FROM v_batch)
        OR (kind = 'web' AND NOT EXISTS (SELECT 1 FROM v_batch b WHERE b.kind = 'web' AND b.url = a.url AND b.ingest_source = a.ingest_source))
-       OR (kind = 'slides' AND NOT EXISTS (SELECT 1 FROM v_batch b WHERE b.kind = 'slides' AND b.source_file = a.source_file AND b.course = a.course AND b.academic_year = a.academic_year))""",
-)
+       OR (kind = 'slides' AND NOT EXISTS (SELECT 1 FROM v_batch b WHERE b.kind = 'slides' AND b.source_file = a.source_file AND b.course = a.course AND b.academic_year = a.academic_year))"""
+
+
+@query("x14_replace_versions", REPLACED_SQL)
 def x14(spark, sf):
     points = v.points(spark, sf).select(*v.POINT_COLUMNS)
     return printed(index.replace_versions(points, v.batch(spark, sf)))
 
 
+def stored_points(spark, sf):
+    """The index as a table at rest, version 1."""
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create(v.points(spark, sf).select(*v.POINT_COLUMNS))
+    return store
+
+
+@query(
+    "x13_store_upsert",
+    """SELECT a.point_id, a.seq, a.kind, md5(a.text) AS text, b.seq AS seq_before FROM v_after_upsert a LEFT JOIN v_points b USING (point_id)""",
+)
+def x13_store(spark, sf):
+    """The committed table after an upsert, beside the version before it, read as of then."""
+    store = stored_points(spark, sf)
+    after = store.upsert(v.batch(spark, sf))
+    before = store.read(version=1).select("point_id", F.col("seq").alias("seq_before"))
+    return printed(store.read(of=after)).join(before, "point_id", "left")
+
+
+@query("x14_store_replace", REPLACED_SQL)
+def x14_store(spark, sf):
+    """The committed table after a batch has replaced what it supersedes."""
+    store = stored_points(spark, sf)
+    return printed(store.read(of=store.replace(v.batch(spark, sf))))
+
+
 SEEN_SQL = "(SELECT DISTINCT source_file, course, academic_year FROM v_points WHERE kind = 'slides' AND doc_id % 6 = 0 AND doc_id % 36 <> 0)"
 
 
@@ -361,6 +388,47 @@ def x16(spark, sf):
     return printed(index.delete_material(kept, sha, "C000", "2020-2021"))
 
 
+@query(
+    "x15_store_sync",
+    f"""SELECT point_id, seq, kind, md5(text) AS text FROM v_points p
+        WHERE kind = 'web' OR NOT EXISTS (SELECT 1 FROM {SEEN_SQL} s WHERE s.course = p.course AND s.academic_year = p.academic_year)
+           OR EXISTS (SELECT 1 FROM {SEEN_SQL} s WHERE s.course = p.course AND s.academic_year = p.academic_year AND s.source_file = p.source_file)""",
+)
+def x15_store(spark, sf):
+    """The committed table after a full directory run; a run in which a file failed commits nothing."""
+    store = stored_points(spark, sf)
+    seen = seen_files(spark, sf)
+    store.sync(seen, failed=True)
+    return printed(store.read(of=store.sync(seen)))
+
+
+BUCKET_SQL = "CAST('0x' || substr(md5(COALESCE(CASE WHEN kind = 'web' THEN url ELSE source_file END, point_id)), 1, 7) AS BIGINT) % 64"
+
+
+@query(
+    "x16_store_history",
+    f"""WITH p AS (SELECT *, {BUCKET_SQL} AS bucket FROM v_points), a AS (SELECT *, {BUCKET_SQL} AS bucket FROM v_after_upsert),
+        live AS (SELECT bucket FROM a WHERE ingest_run_id IS NOT DISTINCT FROM 'live-1' AND ingest_source IS NOT DISTINCT FROM 'live')
+        SELECT 1 AS version, 'create' AS action, 64 AS buckets, count(DISTINCT bucket) AS rewritten, count(*) AS rows FROM p
+        UNION ALL SELECT 2, 'upsert', 64, (SELECT count(DISTINCT bucket) FROM (SELECT {BUCKET_SQL} AS bucket FROM v_batch
+            UNION SELECT bucket FROM p WHERE point_id IN (SELECT point_id FROM v_batch))), (SELECT count(*) FROM a)
+        UNION ALL SELECT 3, 'delete run', 64, (SELECT count(DISTINCT bucket) FROM live), (SELECT count(*) FROM a) - (SELECT count(*) FROM live)
+        UNION ALL SELECT 4, 'delete material', 64,
+            (SELECT count(DISTINCT bucket) FROM a WHERE NOT (ingest_run_id IS NOT DISTINCT FROM 'live-1' AND ingest_source IS NOT DISTINCT FROM 'live')
+                AND source_sha256 = (SELECT sha256(text) FROM documents WHERE doc_id = 0) AND course IS NOT DISTINCT FROM 'C000' AND academic_year IS NOT DISTINCT FROM '2020-2021'),
+            (SELECT count(*) FROM a WHERE NOT (ingest_run_id IS NOT DISTINCT FROM 'live-1' AND ingest_source IS NOT DISTINCT FROM 'live')
+                AND NOT (source_sha256 = (SELECT sha256(text) FROM documents WHERE doc_id = 0) AND course IS NOT DISTINCT FROM 'C000' AND academic_year IS NOT DISTINCT FROM '2020-2021'))""",
+)
+def x16_store(spark, sf):
+    """Each commit with the buckets it rewrote, of all, and the rows after it."""
+    store = stored_points(spark, sf)
+    store.upsert(v.batch(spark, sf))
+    store.delete_run("live-1")
+    sha = v.table(spark, sf, "documents").where("doc_id = 0").select(F.sha2("text", 256)).scalar()
+    store.delete_material(sha, "C000", "2020-2021")
+    return store.history()
+
+
 @query(
     "x17_incremental_plan",
     """WITH f AS (SELECT seq, CASE WHEN seq % 11 = 0 THEN url || '/new' ELSE url END AS url, ingest_source,

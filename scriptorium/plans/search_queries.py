@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.tokens import words
-from scriptorium.operators import bm25, encoding, evaluation as ev, passages, ranking, retrieval
+from scriptorium.operators import bm25, encoding, evaluation as ev, impact_index, passages, ranking, retrieval, vector_index
 from scriptorium.operators.filters import payload_filter
-from scriptorium.operators.vector_search import approximate_search, exact_search, recall_at_k
+from scriptorium.operators.ranking import PREFETCH
+from scriptorium.operators.vector_search import exact_search, recall_at_k
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
-from scriptorium.session import cut_lineage, written_once
+from scriptorium.session import cut_lineage, scratch_path, written_once
 
 
 def nullable(number):
@@ -248,6 +249,35 @@ def x03_index(spark, sf):
     return bm25.search_index(index, v.gold(spark, sf))
 
 
+def impact_search(spark, sf):
+    built = bm25.build_index(v.chunks(spark, sf).select("row_key", "text"))
+    return impact_index.search(impact_index.write(built, scratch_path(spark, "impacts")), v.gold(spark, sf))
+
+
+@query("x03_impact_search", "SELECT question_id, row_key, score, rn FROM v_sparse_top")
+def x03_impact(spark, sf):
+    """The same ranking from postings by impact, of which most blocks stay unread."""
+    return impact_search(spark, sf)[0]
+
+
+@query(
+    "x03_impact_blocks",
+    r"""SELECT question_id, CAST(sum(ceil(df / 128)) AS BIGINT) AS blocks, true AS within FROM (
+        SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS term FROM v_gold)
+        JOIN (SELECT term, count(*) AS df FROM v_postings GROUP BY 1) USING (term) GROUP BY 1""",
+)
+def x03_blocks(spark, sf):
+    """The blocks of each question's words, and whether no more than these were read."""
+    reads = impact_search(spark, sf)[1]
+    return reads.select("question_id", "blocks", ((F.col("read") > 0) & (F.col("read") <= F.col("blocks"))).alias("within"))
+
+
+@query("x03_impact_reads")
+def x03_reads(spark, sf):
+    """Blocks of each question's words, and how many of them were read."""
+    return impact_search(spark, sf)[1]
+
+
 def vector_queries(spark, sf):
     """Every stored vector asks for its neighbours."""
     return v.dense(spark, sf).select(
@@ -683,16 +713,43 @@ def u04(spark, sf):
     return ev.symmetric_difference(first, second)
 
 
-@query("x26_ann_recall", "SELECT count(*) AS queries, true AS enough FROM v_dense")
+def some_vectors(spark, sf):
+    """The stated query set of approximate search: every twentieth vector, against all."""
+    asked = v.dense(spark, sf).where("vec_id % 20 = 0")
+    return asked.select(F.col("row_key").alias("query_id"), "embedding")
+
+
+def indexed_vectors(spark, sf):
+    points = written_once(v.dense(spark, sf).select("row_key", "embedding"), "vectors")
+    return points, vector_index.build(points, scratch_path(spark, "vector-index"))
+
+
+@query(
+    "x26_ann_recall",
+    """SELECT query_id, string_agg(row_key, ',' ORDER BY rn) AS neighbours, true AS enough, true AS few FROM (
+        SELECT q.row_key AS query_id, d.row_key,
+               row_number() OVER (PARTITION BY q.row_key ORDER BY round(list_cosine_similarity(q.embedding, d.embedding), 9) DESC, d.row_key) AS rn
+        FROM v_dense q JOIN v_dense d ON q.row_key <> d.row_key WHERE q.vec_id % 20 = 0) WHERE rn <= 20 GROUP BY 1""",
+)
 def x26(spark, sf):
-    """Whether bucketed search finds at least nine tenths of what exact search finds."""
-    points = v.dense(spark, sf).select("row_key", "embedding")
-    asked = vector_queries(spark, sf).select("query_id", "embedding")
-    exact = exact_search(points, asked, "query_id", exclude_self=True)
-    found = approximate_search(points, asked, "query_id", exclude_self=True)
-    return recall_at_k(found, exact, "query_id").agg(
-        F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough")
-    )
+    """Each query's exact neighbours; whether the index finds nine tenths of all, and scores a fifth of the points at most."""
+    points, built = indexed_vectors(spark, sf)
+    asked = some_vectors(spark, sf)
+    exact = written_once(exact_search(points, asked, "query_id", exclude_self=True), "exact")
+    found = written_once(vector_index.search(built, points, asked, "query_id", exclude_self=True), "found")
+    whole = recall_at_k(found, exact, "query_id").agg((F.avg("recall") >= 0.9).alias("enough"))
+    rows = points.agg(F.count("*").alias("rows"))
+    few = found.agg(F.max("scored").alias("most")).join(rows).select((F.col("most") <= F.greatest(0.2 * F.col("rows"), F.lit(PREFETCH))).alias("few"))
+    listed = exact.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rn", "row_key"))).alias("near"))
+    # one row each side: both figures are of the whole run
+    return listed.select("query_id", F.array_join("near.row_key", ",").alias("neighbours")).join(F.broadcast(whole.join(few)))
+
+
+@query("x26_index_search")
+def x26_search(spark, sf):
+    """What the index finds for every twentieth vector, with the points it scored and scanned for it."""
+    points, built = indexed_vectors(spark, sf)
+    return vector_index.search(built, points, some_vectors(spark, sf), "query_id", exclude_self=True)
 
 
 @query(
