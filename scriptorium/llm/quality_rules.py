@@ -151,11 +151,11 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 def drop_failing(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that `quality_rules` keeps, whole and in their own columns.
 
-    Texts are measured again where they are read rather than shuffled to meet a verdict.
+    Texts are measured once: rows are written beside their counts, and the filter reads
+    those. Filtering the measures themselves would run them again inside the filter.
     """
-    counts = measure(docs, text, [F.col(host).alias("host")])
-    verdicts = host_verdicts(counts, "host")
     # the row travels as one struct, so its column names can clash with none of ours
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    again = measure(docs, text, [row, F.col(host).alias("host")])
-    return verdict_of(again, verdicts, "host").where("kept").select("row.*")
+    measured = written_once(measure(docs, text, [row, F.col(host).alias("host")]), "quality-rows")
+    verdicts = host_verdicts(measured, "host")
+    return verdict_of(measured, verdicts, "host").where("kept").select("row.*")
