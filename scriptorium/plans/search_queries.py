@@ -8,6 +8,7 @@ from scriptorium.functions import text as tx
 from scriptorium.functions.tokens import words
 from scriptorium.operators import bm25, encoding, evaluation as ev, impact_index, passages, ranking, retrieval, vector_index
 from scriptorium.operators.filters import payload_filter
+from scriptorium.operators.incremental_clusters import Clusters
 from scriptorium.operators.ranking import PREFETCH
 from scriptorium.operators.vector_search import exact_search, recall_at_k
 from scriptorium.plans import views as v
@@ -590,20 +591,31 @@ def x12_equal(spark, sf):
     return passages.corpus_dedup(v.chunks(spark, sf), near=False)
 
 
-@query(
-    "x12_corpus_dedup",
+DEDUP_SQL = (
     "WITH RECURSIVE both_ways AS (SELECT a, b FROM v_near UNION ALL SELECT b, a FROM v_near), "
     "reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen), "
     "label AS (SELECT node, min(seen) AS component FROM reach GROUP BY node) "
     + KEEPER_SQL.format(
         cluster="COALESCE(lb.component, t.text_key)",
         join="LEFT JOIN label lb ON lb.node = t.text_key",
-    ),
+    )
 )
+
+
+@query("x12_corpus_dedup", DEDUP_SQL)
 def x12(spark, sf):
     return passages.corpus_dedup(v.chunks(spark, sf))
 
 
+@query("x12_batches_dedup", DEDUP_SQL)
+def x12_batches(spark, sf):
+    """The same clusters, the corpus having come in three batches by document."""
+    chunks, held = v.chunks(spark, sf), Clusters(spark, scratch_path(spark, "clusters"))
+    for batch in range(3):
+        held.add(chunks.where(F.pmod(doc_of(F.col("row_key")), F.lit(3)) == 2 - batch), batch)
+    return held.clusters(3)
+
+
 def arm_hits(spark, sf):
     """Both arms' first ten hits, with the document each lies in.
 

@@ -88,8 +88,8 @@ def t03_stream(spark, sf):
 
 @query("t04_admission_stream")
 def t04_stream(spark, sf):
-    """Questions and uploads admitted under a cap per kind: verdicts and the highest load."""
-    entries = activity_stream(spark, sf).withColumn("tenant", F.col("kind"))
+    """Questions and uploads admitted under a cap per user: verdicts and the highest load."""
+    entries = activity_stream(spark, sf).withColumn("tenant", F.col("user_id").cast("string"))
     with rocksdb_state(spark, STATE_PARTITIONS):
         rows = run_to_table(lifecycle.admissions(entries, lease=6 * 3600))
     return rows.groupBy("tenant", "verdict").agg(
@@ -111,6 +111,32 @@ def t05_stream(spark, sf):
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def counted_windows(spark, sf):
+    """Events in order of arrival, of which every fiftieth comes three days late, through counted windows."""
+    sent = F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 3 days")).otherwise(F.col("ts"))
+    rows = v.table(spark, sf, "events").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), sent.cast("timestamp").alias("sent")
+    )
+    held = windows.CountedWindows(spark, scratch_path(spark, "windows"), "user_id", "1 hour", 4)
+    run_batches(read_stream(spark, write_in_order(rows, "sent"), rows.schema), held.add)
+    return held
+
+
+@query("t05_rate_window_accounted", "SELECT user_id, count(*) AS sent, true AS some_late FROM events GROUP BY 1")
+def t05_accounted(spark, sf):
+    """Per caller the events kept in windows and those counted as late: together what was sent."""
+    rows = counted_windows(spark, sf).totals()
+    some = rows.agg((F.sum("late") > 0).alias("some_late"))  # one row
+    return rows.select("user_id", (F.col("kept") + F.col("late")).alias("sent")).join(F.broadcast(some))
+
+
+@query("t05_rate_window_late")
+def t05_late(spark, sf):
+    """The windows of a stream with late events, and how many came after each had closed."""
+    rows = counted_windows(spark, sf).windows()
+    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("t06_retained_tail", "SELECT event_id, task, event FROM v_activity ORDER BY event_id DESC LIMIT 2000")
 def t06(spark, sf):
     """The newest entries a stream keeps, each id once though every entry is sent twice."""

@@ -141,7 +141,9 @@ ADMISSION_ROW = T.StructType(
 class Admission(StatefulProcessor):
     """Admits a tenant's tasks while places are free: an end or a run-out lease frees one.
 
-    State is at most `cap` leases per tenant, whatever the tenant's traffic.
+    State is at most `cap` leases per tenant, whatever the tenant's traffic. Within a trigger a
+    tenant's rows go by (ts, event_id); there is no watermark, so a row that comes in a
+    later trigger is taken then, at its own time, and changes no verdict already given.
     """
 
     def __init__(self, cap: int = CAP, lease: int = RUNNING_LEASE):
