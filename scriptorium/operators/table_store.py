@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from hashlib import md5
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -31,6 +32,8 @@ from scriptorium.operators import index
 
 BUCKETS = 64
 DIGITS = 8
+#: children of a node in the tree of digests
+FAN = 8
 
 
 class ConcurrentCommit(RuntimeError):
@@ -39,18 +42,36 @@ class ConcurrentCommit(RuntimeError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """One version: where each bucket's rows lie and how many there are."""
+    """One version: where each bucket's rows lie, how many there are, and their digest."""
 
     version: int
     action: str
     buckets: int
     schema: str
-    folders: dict[int, tuple[str, int]] = field(default_factory=dict)
+    folders: dict[int, tuple[str, int, str]] = field(default_factory=dict)
     rewritten: tuple[int, ...] = ()
 
     @property
     def rows(self) -> int:
-        return sum(n for _, n in self.folders.values())
+        return sum(n for _, n, _ in self.folders.values())
+
+    def differing(self, other: Manifest) -> list[int]:
+        """Buckets whose rows are not those of another version or table, told by the manifests alone.
+
+        Buckets are the leaves of a tree of FAN: parents that agree are not opened.
+        """
+        if self.buckets != other.buckets:
+            raise ValueError("tables of different numbers of buckets have no bucket in common")
+        level = [[x.folders[b][2] if b in x.folders else "" for b in range(x.buckets)] for x in (self, other)]
+        levels = [level]
+        while len(level[0]) > 1:
+            level = [[md5("|".join(x[at : at + FAN]).encode()).hexdigest() for at in range(0, len(x), FAN)] for x in level]
+            levels.append(level)
+        open_ = [0] if levels[-1][0] != levels[-1][1] else []
+        for mine, theirs in levels[-2::-1]:
+            below = [k for at in open_ for k in range(at * FAN, min((at + 1) * FAN, len(mine)))]
+            open_ = [k for k in below if mine[k] != theirs[k]]
+        return open_
 
     def to_json(self) -> str:
         folders = {str(b): list(x) for b, x in sorted(self.folders.items())}
@@ -59,7 +80,7 @@ class Manifest:
     @staticmethod
     def from_json(text: str) -> Manifest:
         held = json.loads(text)
-        folders = {int(b): (x[0], x[1]) for b, x in held["folders"].items()}
+        folders = {int(b): tuple(x) for b, x in held["folders"].items()}
         return Manifest(**held | {"folders": folders, "rewritten": tuple(held["rewritten"])})
 
 
@@ -138,6 +159,19 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def compare(self, other: Store) -> tuple[DataFrame, list[int]]:
+        """(point_id, verdict) of the points that only one table has or that differ, and the buckets read.
+
+        Only buckets whose digests differ are read. A point that moved to another source's
+        bucket differs in both.
+        """
+        mine, theirs = self.manifest(), other.manifest()
+        buckets = mine.differing(theirs)
+        digest = F.md5(F.to_json(F.struct("*"))).alias("digest")
+        sides = [x.read(of=m, buckets=buckets).select("point_id", digest) for x, m in ((self, mine), (other, theirs))]
+        found = index.diff_join(*sides, ["point_id"], "digest").where("verdict <> 'equal'")
+        return found.select("point_id", "verdict"), buckets
+
     def history(self) -> DataFrame:
         """(version, action, buckets, rewritten, rows) of every version; one small file each."""
         held = [self.manifest(v) for v in self.versions()]
@@ -146,17 +180,21 @@ class Store:
 
     # ---- writing ------------------------------------------------------------------
 
-    def stage(self, rows: DataFrame, buckets: int) -> dict[int, tuple[str, int]]:
+    def stage(self, rows: DataFrame, buckets: int) -> dict[int, tuple[str, int, str]]:
         """Write rows to a new folder that no version names yet; a large bucket takes several files."""
         write = uuid.uuid4().hex
         placed = rows.withColumn("bucket", bucket_of(buckets)).hint("rebalance", "bucket")
         placed.write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
         if not any(n.startswith("bucket=") for n in self.folder.names(f"data/{write}")):
             return {}
-        counted = self.spark.read.parquet(f"{self.path}/data/{write}").groupBy("bucket").count().collect()  # a row a bucket
-        return {r["bucket"]: (write, r["count"]) for r in counted}
-
-    def commit(self, base: Manifest | None, action: str, touched: Iterable[int], staged: dict[int, tuple[str, int]], schema: str, buckets: int) -> Manifest:
+        # the digest is a sum over rows, whatever files and order they lie in; a row a bucket
+        row = F.conv(F.substring(F.md5(F.to_json(F.struct(*rows.columns))), 1, 15), 16, 10).cast("decimal(38,0)")
+        held = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]))
+        held = held.parquet(f"{self.path}/data/{write}").groupBy("bucket")
+        counted = held.agg(F.count("*").alias("n"), F.sum(row).cast("string").alias("digest")).collect()
+        return {r["bucket"]: (write, r["n"], r["digest"]) for r in counted}
+
+    def commit(self, base: Manifest | None, action: str, touched: Iterable[int], staged: dict[int, tuple[str, int, str]], schema: str, buckets: int) -> Manifest:
         """Make a staged write the next version; refused when `base` is no longer the last."""
         kept = {} if base is None else {b: x for b, x in base.folders.items() if b not in set(touched)}
         version = 1 if base is None else base.version + 1
@@ -229,7 +267,7 @@ class Store:
 
     def unread(self, keep: int = 1) -> list[str]:
         """Write folders that none of the last `keep` versions names."""
-        named = {w for v in self.versions()[-keep:] for w, _ in self.manifest(v).folders.values()}
+        named = {w for v in self.versions()[-keep:] for w, *_ in self.manifest(v).folders.values()}
         return sorted(n for n in self.folder.names("data") if n not in named)
 
     def vacuum(self, keep: int, older_than: float) -> list[str]:

@@ -492,6 +492,21 @@ def x27(spark, sf):
     return compared.groupBy("verdict").agg(F.count("*").alias("versions"))
 
 
+@query(
+    "x27_store_compare",
+    """SELECT COALESCE(a.point_id, b.point_id) AS point_id, CASE WHEN b.point_id IS NULL THEN 'only left' ELSE 'differs' END AS verdict
+       FROM v_points a LEFT JOIN (SELECT point_id, seq, CASE WHEN doc_id % 25 = 7 THEN text || '!' ELSE text END AS text FROM v_points WHERE doc_id % 60 <> 5) b USING (point_id)
+       WHERE b.point_id IS NULL OR a.text <> b.text""",
+)
+def x27_store(spark, sf):
+    """Two tables at rest, one a restore that lost and changed some: what differs, by digests of buckets first."""
+    mine, other = stored_points(spark, sf), Store(spark, scratch_path(spark, "store"))
+    d, lost = F.col("doc_id"), v.points(spark, sf).where("doc_id % 60 <> 5")
+    text = F.when(d % 25 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    other.create(lost.withColumn("text", text).select(*v.POINT_COLUMNS))
+    return mine.compare(other)[0]
+
+
 @query(
     "j01_registry_chunk",
     """SELECT r.seq, r.url, p.url AS page_url, COALESCE(r.section, 'web') AS section FROM v_registry r LEFT JOIN pages p ON p.page_id = r.seq""",

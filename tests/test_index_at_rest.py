@@ -126,6 +126,21 @@ def test_empty_tables_and_changes(spark, store, points):
     assert store.read().isEmpty() and store.read().columns == points.columns
 
 
+def test_one_changed_point_reads_one_bucket(spark, store, points):
+    other = table_store.Store(spark, scratch_path(spark, "store-test"))
+    other.create(points.repartition(5), buckets=16)
+    assert store.manifest().differing(other.manifest()) == [] and store.compare(other)[0].isEmpty()
+    other.upsert(spark.createDataFrame([web("w3", "u1", 3, "changed")], POINT))
+    rows, read = store.compare(other)
+    assert [tuple(r) for r in rows.collect()] == [("w3", "differs")] and len(read) == 1
+    other.upsert(spark.createDataFrame([web("new", "u99", 3)], POINT))
+    other.delete_run("live-1")
+    rows, read = store.compare(other)
+    gone = {r.point_id for r in points.where("ingest_run_id = 'live-1'").collect()}
+    assert {tuple(r) for r in rows.collect()} == {("w3", "differs"), ("new", "only right"), *((k, "only left") for k in gone)}
+    assert set(read) == {b for b in range(16) if store.manifest().folders.get(b, (0, 0, ""))[2] != other.manifest().folders.get(b, (0, 0, ""))[2]}
+
+
 # ---- vectors --------------------------------------------------------------------------
 
 
