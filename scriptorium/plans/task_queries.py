@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import tasks
+from scriptorium.operators import sketches, tasks
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
+from scriptorium.session import written_once
 
 
 def stamp(ts):
@@ -185,3 +186,17 @@ def t08(spark, sf):
     timed = tasks.step_durations(v.activity(spark, sf))
     rows = tasks.latency_windows(timed, "1 day", accuracy=1_000_000)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event", "n", "p50", "p95")
+
+
+@query(
+    "t08_sketch_rollup",
+    f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event, count(*) AS n, count(DISTINCT task) AS ids, true AS within
+        FROM {DURATION_SQL} WHERE ms IS NOT NULL GROUP BY 1, 2""",
+)
+def t08_sketches(spark, sf):
+    """Days of step latencies and tasks rolled up from sketches of hours: exact counts, and whether all estimates keep their bounds."""
+    timed = tasks.step_durations(v.activity(spark, sf))
+    fine = written_once(sketches.hourly(timed, ["event"], "ts", "ms", "task"), "hourly")
+    days = sketches.rolled_up(fine, ["event"], "1 day")
+    rows = sketches.checked(timed, days, ["event"], "ts", "ms", "task", "1 day", [0.5, 0.95])
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event", "n", "ids", "within")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from scriptorium.operators import passages
 from scriptorium.operators.incremental_clusters import Clusters
@@ -103,3 +103,22 @@ def test_counted_windows_of_an_empty_batch(spark):
     held.add(none, 0)
     held.add(none, 1)
     assert held.totals().isEmpty() and held.windows().isEmpty()
+
+
+def test_hours_rolled_up_are_the_day_within_the_bounds(spark):
+    from scriptorium.operators import sketches
+
+    rng = random.Random(8)
+    rows = [(START + timedelta(minutes=rng.randrange(3000)), rng.choice("ab"), int(rng.lognormvariate(4, 2)), f"t{rng.randrange(4000)}") for _ in range(20_000)]
+    rows += [(START, None, 7, "t"), (START, "a", None, "t")]
+    frame = spark.createDataFrame(rows, "ts timestamp, kind string, ms long, task string")
+    fine = sketches.hourly(frame, ["kind"], "ts", "ms", "task")
+    days = sketches.rolled_up(fine, ["kind"], "1 day")
+    out = {(r.kind, r.window_start.day): r for r in sketches.checked(frame, days, ["kind"], "ts", "ms", "task", "1 day", [0.01, 0.5, 0.95]).collect()}
+    assert all(r.within for r in out.values()) and sum(r.n for r in out.values()) == len(rows) - 1
+    for (kind, day), r in out.items():
+        own = [x for x in rows if x[1] == kind and x[0].day == day and x[2] is not None]
+        assert (r.n, r.ids) == (len(own), len({x[3] for x in own}))
+    # an estimate out of bounds is told
+    wrong = days.withColumn("kll", F.first("kll").over(Window.partitionBy(F.lit(1)).orderBy("n")))
+    assert not all(r.within for r in sketches.checked(frame, wrong, ["kind"], "ts", "ms", "task", "1 day", [0.5]).collect())
