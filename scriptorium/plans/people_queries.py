@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import citations as cite
-from scriptorium.operators import catalogue as cat, conversations as conv
+from scriptorium.operators import asof, catalogue as cat, conversations as conv
 from scriptorium.operators.context import history_block
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
@@ -71,28 +71,44 @@ def j04_window(spark, sf):
     )
 
 
-@query(
-    "j05_as_of_edition",
-    """SELECT course, COALESCE(academic_year, 'none') AS academic_year, count(*) AS orders, strftime(min(day), '%Y-%m-%d') AS first_day FROM (
+AS_OF_SQL = """SELECT course, COALESCE(academic_year, 'none') AS academic_year, count(*) AS orders, strftime(min(day), '%Y-%m-%d') AS first_day FROM (
         SELECT c.c_nationkey AS course, CAST(o.o_orderdate AS DATE) AS day,
                (SELECT max(e.academic_year) FROM v_editions e WHERE e.course = c.c_nationkey AND e.start_day <= CAST(o.o_orderdate AS DATE)) AS academic_year
-        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey) GROUP BY 1, 2""",
-)
-def j05(spark, sf):
-    """Every order's day against the edition current on it, counted per edition."""
+        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey) GROUP BY 1, 2"""
+
+
+def order_days(spark, sf):
+    """Every order's day and course."""
     customers = v.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("course"))
-    asks = (
+    return (
         v.table(spark, sf, "orders")
         .select("o_custkey", F.to_date("o_orderdate").alias("day"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select("course", "day")
     )
-    found = cat.edition_as_of(asks, v.editions(spark, sf))
+
+
+def counted_editions(found):
     return found.groupBy("course", F.coalesce("academic_year", F.lit("none")).alias("academic_year")).agg(
         F.count("*").alias("orders"), iso(F.min("day")).alias("first_day")
     )
 
 
+@query("j05_as_of_edition", AS_OF_SQL)
+def j05(spark, sf):
+    """Every order's day against the edition current on it, counted per edition."""
+    return counted_editions(cat.edition_as_of(order_days(spark, sf), v.editions(spark, sf)))
+
+
+@query("j05_as_of_merge", AS_OF_SQL)
+def j05_merge(spark, sf):
+    """The same by merging both sides in order of time."""
+    starts = cat.start_day(F.col("teaching_starts"), F.col("academic_year"))
+    editions = v.editions(spark, sf).withColumn("start_day", starts)
+    found = asof.as_of(order_days(spark, sf), editions, ["course"], "day", "start_day", F.struct("academic_year"))
+    return counted_editions(found.select("course", "day", "found.academic_year"))
+
+
 @query("w02_current_past", "SELECT course, academic_year, strftime(day, '%Y-%m-%d') AS day, state FROM v_marks")
 def w02(spark, sf):
     return cat.edition_states(seen_editions(spark, sf)).select(

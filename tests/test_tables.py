@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -281,3 +283,29 @@ def test_lists_of_references_are_whole(spark):
     assert [r.got for r in out] == [r.want for r in out]
     found = frame.select(cite.referenced_numbers(F.col("answer"), F.coalesce(F.size("numbers"), F.lit(0))).alias("n")).collect()
     assert [sorted(r.n) for r in found] == [[1, 2, 3], [2], []]
+
+
+def test_as_of_by_merging_equals_plain_python(spark):
+    """One key holds half of both sides; null keys and times, ties, repeated rows, no rows."""
+    from scriptorium.operators import asof
+
+    rng = random.Random(6)
+    key = lambda: rng.choice(["hot", "hot", "a", "b", None])
+    time = lambda: rng.choice([*range(200), None])
+    asks = [(key(), time(), k % 150, "clash") for k in range(400)]
+    asks += asks[:40]
+    given = [(key(), time(), f"v{k % 90}") for k in range(300)]
+    left = spark.createDataFrame(asks, "k string, at int, n int, best string")
+    right = spark.createDataFrame(given, "k string, since int, value string")
+    found = asof.as_of(left.repartition(3), right, ["k"], "at", "since", F.struct("since", "value"))
+
+    def best(k, at):
+        own = [(s, x) for key, s, x in given if key == k and s is not None and at is not None and s <= at] if k else []
+        return max(own, default=None)
+
+    want = sorted((k, at, n, c, best(k, at)) for k, at, n, c in asks if k and at is not None)
+    got = [(*r[:4], tuple(r.found) if r.found else None) for r in found.collect()]
+    assert sorted(x for x in got if x[0] and x[1] is not None) == want and len(got) == len(asks)
+    assert all(x[4] is None for x in got if x[0] is None or x[1] is None)
+    assert asof.as_of(left.limit(0), right, ["k"], "at", "since", F.struct("since")).isEmpty()
+    assert asof.as_of(left, right.limit(0), ["k"], "at", "since", F.struct("since")).where("found is not null").isEmpty()
