@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from scriptorium.functions import citations as cite, html as page, ids, text as tx, urls, vectors
+from scriptorium.operators import scope_intervals
 from scriptorium.operators.filters import any_of, json_path_is, payload_filter
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
@@ -193,17 +194,17 @@ def scope_rules(spark, sf):
     )
 
 
-@query(
-    "f09_scope_rule",
-    r"""SELECT p.page_id, p.url, min(r.rule_order) AS rule_order, arg_min(r.section, r.rule_order) AS section
+SCOPE_SQL = r"""SELECT p.page_id, p.url, min(r.rule_order) AS rule_order, arg_min(r.section, r.rule_order) AS section
         FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host,
                      regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) p
         LEFT JOIN (SELECT host, first * 3 + i AS rule_order, (['/en/', '/fr/', '/'])[i + 1] AS prefix,
                           (['english', 'french', 'any'])[i + 1] AS section
                    FROM (SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, min(page_id) AS first FROM pages GROUP BY 1),
                         (SELECT unnest([0, 1, 2]) AS i)) r
-        ON r.host = p.host AND starts_with(p.path, r.prefix) GROUP BY 1, 2""",
-)
+        ON r.host = p.host AND starts_with(p.path, r.prefix) GROUP BY 1, 2"""
+
+
+@query("f09_scope_rule", SCOPE_SQL)
 def f09(spark, sf):
     pages = v.table(spark, sf, "pages").select("page_id", "url")
     return urls.in_scope(pages, scope_rules(spark, sf), "page_id").select(
@@ -211,6 +212,15 @@ def f09(spark, sf):
     )
 
 
+@query("f09_scope_intervals", SCOPE_SQL)
+def f09_intervals(spark, sf):
+    """The same by intervals of paths: one row an address, however many rules its host has."""
+    pages = v.table(spark, sf, "pages").select("page_id", "url")
+    return scope_intervals.in_scope(pages, scope_rules(spark, sf), "page_id").select(
+        "page_id", "url", "rule_order", "section"
+    )
+
+
 @query(
     "f10_content_class",
     r"""SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\.(doc|docx|xls|xlsx|ppt|pptx|rtf|odt|zip)$') THEN 'skipped'

@@ -309,3 +309,20 @@ def test_as_of_by_merging_equals_plain_python(spark):
     assert all(x[4] is None for x in got if x[0] is None or x[1] is None)
     assert asof.as_of(left.limit(0), right, ["k"], "at", "since", F.struct("since")).isEmpty()
     assert asof.as_of(left, right.limit(0), ["k"], "at", "since", F.struct("since")).where("found is not null").isEmpty()
+
+
+def test_scope_by_intervals_equals_every_rule_tried(spark):
+    """Nested, equal and empty prefixes, many rules on one host, paths of any letters."""
+    from scriptorium.operators import scope_intervals
+
+    rng = random.Random(9)
+    part = lambda: "/" + "/".join(rng.choice(["a", "ab", "b", "é", "z\U0010ffff", "日"]) for _ in range(rng.randrange(1, 5)))
+    rules = [(k, rng.choice(["hot.org", "hot.org", "x.net"]), part()[: rng.randrange(0, 9)], f"s{k % 7}") for k in range(150)]
+    rng.shuffle(rules)
+    rules += [(500, None, "/", "s"), (501, "y.net", None, "s")]
+    pages = [(k, rng.choice(["https://hot.org", "http://HOT.org:80", "https://x.net", "https://none.de", "ftp://hot.org"]) + part() + rng.choice(["", "?q=/a", "#b"])) for k in range(400)]
+    pages += [(900, None), (901, ""), (902, "https://hot.org")]
+    p = spark.createDataFrame(pages, "page_id int, url string").repartition(3)
+    r = spark.createDataFrame(rules, "rule_order int, host string, path_prefix string, section string")
+    got, want = (sorted(map(tuple, f(p, r, "page_id").collect())) for f in (scope_intervals.in_scope, urls.in_scope))
+    assert got == want and any(x[2] is not None for x in got) and any(x[2] is None for x in got)
