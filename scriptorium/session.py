@@ -81,12 +81,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
+def written_once(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a table in the shared folder, for a result several branches read.
 
     Columnar, so each branch scans only the columns it needs, with sizes the planner
     can see; a lost executor re-reads files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
