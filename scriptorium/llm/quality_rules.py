@@ -156,6 +156,6 @@ def drop_failing(docs: DataFrame, text: str = "text", host: str = "source") -> D
     """
     # the row travels as one struct, so its column names can clash with none of ours
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    measured = written_once(measure(docs, text, [row, F.col(host).alias("host")]), "quality-rows")
+    measured = written_once(measure(docs, text, [row, F.col(host).alias("host")]), "quality-rows", "zstd")
     verdicts = host_verdicts(measured, "host")
     return verdict_of(measured, verdicts, "host").where("kept").select("row.*")
