@@ -38,3 +38,19 @@ def window_hashes(words: Column, n: int) -> Column:
 
     # bound first: an expression inside a lambda is computed for every element
     return let(words, hashed)
+
+
+#: buckets of keys: as many rows, and no more, may be broadcast by `split_by_keys`
+BUCKETS = 1 << 20
+
+
+def split_by_keys(docs: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(near, far): rows whose key may be among `keys`, and rows whose key is not.
+
+    What goes on to an exact join by key is then the few rows that may meet it, not every
+    whole text. Where the keys fill all buckets, every row is near, and as correct.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    held = F.broadcast(keys.select(bucket(F.col(name)).alias("_key_bucket")).distinct())
+    meets = bucket(docs[key]) == held["_key_bucket"]
+    return docs.join(held, meets, "left_semi"), docs.join(held, meets, "left_anti")

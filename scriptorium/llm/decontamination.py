@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.columns import let, window_hashes, words_of
+from scriptorium.llm.columns import let, split_by_keys, window_hashes, words_of
 from scriptorium.session import written_once
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def matches(
     hits = written_once(hits, "bench-hits")
     # hits grow with the corpus: a shuffled join at every size, which splits a hot key
     h = hits.select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), "hits").hint("merge")
-    held = own.join(h, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest")))
+    held = split_by_keys(own, "doc_id", h, "h_id")[0].join(h, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest")))
     held = held.select("doc_id", "digest", _lowered("text").alias("words"), "hits")
     # places as windows: the item's size, moved left where the text ends sooner
     spans = F.array_distinct(
@@ -207,5 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         matches(docs, benchmark, key, text).select(F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest")).distinct(),
         "bench-found",
     )
-    digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(found.hint("merge"), docs[key].eqNullSafe(found["m_id"]) & (digest == found["m_digest"]), "left_anti")
+    near, far = split_by_keys(docs, key, found, "m_id")
+    digest = F.xxhash64(F.coalesce(near[text], F.lit("")))
+    same = near[key].eqNullSafe(found["m_id"]) & (digest == found["m_digest"])
+    return far.union(near.join(found.hint("merge"), same, "left_anti"))

@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from scriptorium.llm.columns import split_by_keys
 from scriptorium.llm.word_arrays import mixed, run_hashes, word_hashes
 from scriptorium.operators.components import connected_components
 from scriptorium.session import written_once
@@ -483,8 +484,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # a key of one row, or of none that stays, is settled by itself
     gone = written_once(fates.where("not some").select("f_id"), "ngram-gone")
     again = written_once(fates.where("some and rows > 1").select("f_id"), "ngram-again")
-    # the keys grow with the corpus: a shuffled join at every size
-    kept = docs.where(F.col(key).isNotNull()).join(gone.hint("merge"), docs[key] == gone["f_id"], "left_anti")
+    # the keys grow with the corpus: a shuffled join at every size, of the rows that may meet it
+    near, far = split_by_keys(docs.where(F.col(key).isNotNull()), key, gone, "f_id")
+    kept = far.union(near.join(gone.hint("merge"), near[key] == gone["f_id"], "left_anti"))
     unkeyed = docs.where(F.col(key).isNull())
     more = []
     if not again.isEmpty():
