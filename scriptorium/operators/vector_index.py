@@ -33,7 +33,7 @@ SAMPLE_ROWS = 20_000
 #: lists at most: the sample must show every centroid a few rows
 ROWS_A_LIST = 8
 PARTS, WORDS, ROUNDS = 16, 256, 10
-BLOCK_ROWS, QUERY_ROWS = 65_536, 4_096
+BLOCK_ROWS, SMALL_BLOCK, QUERY_ROWS = 65_536, 512, 4_096
 #: share of the lists a query probes; points scored exactly, times k, and their share at most
 PROBED, REFINE, SCORED = 0.9, 5, 0.2
 ENCODED_AT_ONCE = 65_536
@@ -200,7 +200,7 @@ def search(
     refine: int = REFINE,
     most: float = SCORED,
     exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """Top-k points per query: (query, key, score, rn, scored, scanned).
@@ -213,6 +213,10 @@ def search(
     spark, lists = points.sparkSession, len(index.quantizer.centroids)
     codes = index.codes(spark)
     counted = codes.groupBy("list").count().collect()  # a row a list
+    if block_rows is None:
+        # several blocks a core even out their sizes; more rows mean more blocks
+        cores = spark.sparkContext.defaultParallelism
+        block_rows = min(BLOCK_ROWS, max(SMALL_BLOCK, sum(r["count"] for r in counted) // (4 * cores)))
     first, count = list_blocks({r["list"]: r["count"] for r in counted}, lists, block_rows)
     dealt = spark.createDataFrame(
         [(k, int(first[k]), int(count[k])) for k in range(lists)], "list long, first long, count long"
