@@ -49,7 +49,7 @@ STAGES = [
 ]
 
 # No SQL: the field of the fourth stage is trained, the rates of the fifth are iterated.
-# tests/llm/test_pipeline.py compares the stages with plain Python.
+# tests/llm/test_tools_and_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
