@@ -148,6 +148,25 @@ def test_a_filter_hides_rows_without_changing_word_weights(spark):
     assert {int(r.row_key[1:]) % 2 for r in seen} == {0}
 
 
+def test_an_index_search_shuffles_the_words_asked_for_only(spark):
+    texts, asked = texts_and_queries(spark)
+    t = spark.createDataFrame(texts + [("none", "t1 t2"), ("none", "t1 t3 t3")], "row_key string, text string")
+    q = spark.createDataFrame(asked, "question_id string, question string")
+    index = bm25.build_index(t)
+    pairs = index.postings.join(bm25.query_terms(q), "term").select("question_id", "row_key").distinct()
+    found = bm25.search_index(index, q, k=None)
+    assert found.select("question_id", "row_key").exceptAll(pairs).isEmpty() and found.count() == pairs.count()
+    plan = bm25.search_index(index, q, k=3)._jdf.queryExecution().optimizedPlan().toString()
+    scanned = plan[plan.index("MapInArrow") :]
+    # below the counting of words stands the join with the words asked for; no (question, row) pair is summed in a join
+    assert "LeftSemi" in scanned and "sum(" not in plan
+
+
+@pytest.mark.parametrize("cores,rows,queries,want", [(12, 30_000_000, 200, (916, 1)), (12, 600_000, 600_000, (19, 3)), (2, 10, 10, (1, 1))])
+def test_blocks_grow_with_the_rows_alone(cores, rows, queries, want):
+    assert bm25.grid(rows, queries, cores, bm25.BLOCK_ROWS, bm25.BLOCK_QUERIES) == want
+
+
 def points(spark):
     rows = [("a", "C1", "2020-2021", "en", None, None), ("b", "C2", "2020-2021", "it", None, None), ("w", "site", None, "en", "crawl", "crawl-1")]
     return spark.createDataFrame(rows, "row_key string, course string, academic_year string, locale string, ingest_source string, ingest_run_id string")
