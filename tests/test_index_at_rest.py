@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import bm25, impact_index, index, table_store, vector_index
 from scriptorium.operators.vector_search import exact_search, recall_at_k
-from scriptorium.session import scratch_path
+from scriptorium.session import scratch_path, written_once
 
 POINT = "point_id string, kind string, url string, ingest_source string, ingest_run_id string, source_file string, course string, academic_year string, source_sha256 string, text string, seq long"
 
@@ -229,6 +229,22 @@ def test_unread_blocks_change_no_list(spark, block, k):
     assert same(found.select("question_id", "row_key", "score", "rn"), bm25.search_index(built, asked, k=k, visible=visible))
 
 
+def test_no_level_writes_more_than_the_best_of_each_question(spark, monkeypatch):
+    asked = spark.createDataFrame(QUESTIONS, "question_id string, question string")
+    stored = impact_index.write(bm25.build_index(texts(spark)), scratch_path(spark, "impacts"), block=16)
+    kept = []
+
+    def watched(df, name):
+        rows = written_once(df, name)
+        if name == "impact-scored":
+            kept.append(rows.groupBy("question_id").count().agg(F.max("count")).first()[0])
+        return rows
+
+    monkeypatch.setattr(impact_index, "written_once", watched)
+    impact_index.search(stored, asked, k=3)
+    assert kept and max(kept) == 3
+
+
 def test_levels_hold_every_posting_once_by_impact(spark):
     built = bm25.build_index(texts(spark))
     stored = impact_index.write(built, scratch_path(spark, "impacts"), block=8)
