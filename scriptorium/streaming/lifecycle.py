@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scriptorium.operators.tasks import CAP, FINAL_EVENTS, RUNNING_LEASE, STALLED_AFTER
 
-TASK_ROW = T.StructType(
-    [
-        T.StructField("task", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("began", T.TimestampType()),
-        T.StructField("last", T.TimestampType()),
-        T.StructField("entries", T.LongType()),
-        T.StructField("steps", T.LongType()),
-        T.StructField("outcome", T.StringType()),
-    ]
-)
+# times are microseconds since 1970 inside the processors
+TASK_ROW = "task string, kind string, began long, last long, entries long, steps long, outcome string"
 FOLD = T.StructType(
     [
         T.StructField("kind", T.StringType()),
@@ -34,12 +24,9 @@ FOLD = T.StructType(
 NOT_STEPS = ("queued", *FINAL_EVENTS)
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return int(ts.value // 1000)
-
-
-def _stamp(micros: int) -> pd.Timestamp:
-    return pd.Timestamp(micros * 1000)
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """Rows by (at, event_id), nulls last."""
+    return sorted(rows, key=lambda r: (r.at is None, r.at or 0, r.event_id is None, r.event_id or 0))
 
 
 class TaskLifecycle(StatefulProcessor):
@@ -56,31 +43,30 @@ class TaskLifecycle(StatefulProcessor):
         self.handle = handle
         self.fold = handle.getValueState("fold", FOLD)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.fold.get() if self.fold.exists() else None
         kind, began, last, entries, steps, outcome = held or (None, None, None, 0, 0, None)
         if outcome is not None:
             return iter(())
-        for row in batch.itertuples(index=False):
-            at = _micros(row.ts)
+        for row in _in_order(rows):
             kind = kind or row.kind
-            began = at if began is None else min(began, at)
-            last = at if last is None else max(last, at)
+            began = row.at if began is None else min(began, row.at)
+            last = row.at if last is None else max(last, row.at)
             entries += 1
             if row.event not in NOT_STEPS:
                 steps += 1
             if row.event in FINAL_EVENTS:
                 outcome = "answered" if row.event == "end" else row.event
         self.fold.update((kind, began, last, entries, steps, outcome))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if held is not None:  # a task not met before has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(last // 1000 + self.leases[kind] * 1000)
         if outcome is None:
             return iter(())
         return iter([self._row(key, kind, began, last, entries, steps, outcome)])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.fold.exists():
             return iter(())
         kind, began, last, entries, steps, outcome = self.fold.get()
@@ -91,18 +77,8 @@ class TaskLifecycle(StatefulProcessor):
         return iter([self._row(key, kind, began, last, entries, steps, name)])
 
     @staticmethod
-    def _row(key, kind, began, last, entries, steps, outcome) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "task": [key[0]],
-                "kind": [kind],
-                "began": [_stamp(began)],
-                "last": [_stamp(last)],
-                "entries": [entries],
-                "steps": [steps],
-                "outcome": [outcome],
-            }
-        )
+    def _row(key, kind, began, last, entries, steps, outcome) -> Row:
+        return Row(task=key[0], kind=kind, began=began, last=last, entries=entries, steps=steps, outcome=outcome)
 
     def close(self) -> None:
         pass
@@ -115,27 +91,22 @@ def task_lifecycles(
     upload_lease: int = STALLED_AFTER,
 ) -> DataFrame:
     """A stream of entries (task, kind, event_id, ts, event) -> a stream of task rows."""
-    return (
+    rows = (
         entries.withWatermark("ts", late)
+        .select("task", "kind", "event_id", "event", "ts", F.unix_micros("ts").alias("at"))
         .groupBy("task")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=TaskLifecycle(question_lease, upload_lease),
-            outputStructType=TASK_ROW,
+            outputStructType=T.StructType.fromDDL(TASK_ROW),
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    times = {c: F.timestamp_micros(c) for c in ("began", "last")}
+    return rows.withColumns(times)
 
 
-ADMISSION_ROW = T.StructType(
-    [
-        T.StructField("tenant", T.StringType()),
-        T.StructField("task", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("verdict", T.StringType()),
-        T.StructField("running", T.LongType()),
-    ]
-)
+ADMISSION_ROW = "tenant string, task string, ts long, verdict string, running long"
 
 
 class Admission(StatefulProcessor):
@@ -156,31 +127,31 @@ class Admission(StatefulProcessor):
             T.StructType([T.StructField("until", T.LongType())]),
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        until = {k[0]: v[0] for k, v in self.places.iterator()}
-        before = set(until)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {k[0]: v[0] for k, v in self.places.iterator()}
+        until = dict(held)
         out = []
-        for row in batch.itertuples(index=False):
-            now = _micros(row.ts)
-            until = {task: end for task, end in until.items() if end > now}
+        for row in _in_order(rows):
+            now = row.at
+            for task in [task for task, end in until.items() if end <= now]:
+                del until[task]
             if row.event == "queued":
                 verdict = "admitted" if len(until) < self.cap else "refused"
                 if verdict == "admitted":
                     until[row.task] = now + self.lease * 1_000_000
-                out.append((key[0], row.task, row.ts, verdict, len(until)))
+                out.append(Row(tenant=key[0], task=row.task, ts=now, verdict=verdict, running=len(until)))
             elif row.event in FINAL_EVENTS:
                 until.pop(row.task, None)
             elif row.task in until:
                 until[row.task] = now + self.lease * 1_000_000
-        for task in before - set(until):
+        for task in held.keys() - until.keys():
             self.places.removeKey((task,))
         for task, end in until.items():
-            self.places.updateValue((task,), (end,))
-        columns = ["tenant", "task", "ts", "verdict", "running"]
-        return iter([pd.DataFrame(out, columns=columns)] if out else [])
+            if held.get(task) != end:
+                self.places.updateValue((task,), (end,))
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return iter(())
 
     def close(self) -> None:
@@ -193,12 +164,14 @@ def admissions(entries: DataFrame, cap: int = CAP, lease: int = RUNNING_LEASE) -
     The cap is one tenant's, so tenants run apart; within one, places are handed out
     in order by definition.
     """
-    return (
-        entries.groupBy("tenant")
-        .transformWithStateInPandas(
+    rows = (
+        entries.select("tenant", "task", "event_id", "event", F.unix_micros("ts").alias("at"))
+        .groupBy("tenant")
+        .transformWithState(
             statefulProcessor=Admission(cap, lease),
-            outputStructType=ADMISSION_ROW,
+            outputStructType=T.StructType.fromDDL(ADMISSION_ROW),
             outputMode="Append",
             timeMode="None",
         )
     )
+    return rows.withColumn("ts", F.timestamp_micros("ts"))

@@ -130,6 +130,19 @@ def test_a_page_that_turns_empty_leaves_the_index(spark):
     assert seen == [[("u", "one"), ("u", "two"), ("v", "three")], [("v", "three")], [("u", "five"), ("v", "three")]]
 
 
+def test_what_a_stream_is_made_of_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.range(100).select("id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    replay = write_in_order(made.mapInArrow(count, made.schema), slices=4)
+    assert spark.read.parquet(replay.path).count() == 100 and seen.value == 100
+
+
 def test_a_lone_row_in_a_slice_does_not_set_the_files_of_others(spark):
     rows = spark.range(4001).select(
         F.col("id"), F.timestamp_seconds(F.when(F.col("id") == 4000, 800).otherwise(F.col("id") % 90)).cast("timestamp_ntz").alias("ts")
