@@ -9,7 +9,7 @@ from scriptorium.operators.table_store import Store
 from scriptorium.plans import views as v
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import text_of
-from scriptorium.session import scratch_path
+from scriptorium.session import scratch_path, written_once
 from scriptorium.sources import files, jsonl, ledger
 
 GOLD_SCHEMA = T.StructType(
@@ -319,6 +319,11 @@ def stored_points(spark, sf):
     return store
 
 
+def stored_batch(spark, sf):
+    """The second ingest, made once: finding its buckets and changing them both read it."""
+    return written_once(v.batch(spark, sf), "batch")
+
+
 @query(
     "x13_store_upsert",
     """SELECT a.point_id, a.seq, a.kind, md5(a.text) AS text, b.seq AS seq_before FROM v_after_upsert a LEFT JOIN v_points b USING (point_id)""",
@@ -326,7 +331,7 @@ def stored_points(spark, sf):
 def x13_store(spark, sf):
     """The committed table after an upsert, beside the version before it, read as of then."""
     store = stored_points(spark, sf)
-    after = store.upsert(v.batch(spark, sf))
+    after = store.upsert(stored_batch(spark, sf))
     before = store.read(version=1).select("point_id", F.col("seq").alias("seq_before"))
     return printed(store.read(of=after)).join(before, "point_id", "left")
 
@@ -335,7 +340,7 @@ def x13_store(spark, sf):
 def x14_store(spark, sf):
     """The committed table after a batch has replaced what it supersedes."""
     store = stored_points(spark, sf)
-    return printed(store.read(of=store.replace(v.batch(spark, sf))))
+    return printed(store.read(of=store.replace(stored_batch(spark, sf))))
 
 
 SEEN_SQL = "(SELECT DISTINCT source_file, course, academic_year FROM v_points WHERE kind = 'slides' AND doc_id % 6 = 0 AND doc_id % 36 <> 0)"
@@ -422,7 +427,7 @@ BUCKET_SQL = "CAST('0x' || substr(md5(COALESCE(CASE WHEN kind = 'web' THEN url E
 def x16_store(spark, sf):
     """Each commit with the buckets it rewrote, of all, and the rows after it."""
     store = stored_points(spark, sf)
-    store.upsert(v.batch(spark, sf))
+    store.upsert(stored_batch(spark, sf))
     store.delete_run("live-1")
     sha = v.table(spark, sf, "documents").where("doc_id = 0").select(F.sha2("text", 256)).scalar()
     store.delete_material(sha, "C000", "2020-2021")

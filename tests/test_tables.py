@@ -326,3 +326,15 @@ def test_scope_by_intervals_equals_every_rule_tried(spark):
     r = spark.createDataFrame(rules, "rule_order int, host string, path_prefix string, section string")
     got, want = (sorted(map(tuple, f(p, r, "page_id").collect())) for f in (scope_intervals.in_scope, urls.in_scope))
     assert got == want and any(x[2] is not None for x in got) and any(x[2] is None for x in got)
+
+
+def test_a_second_ingest_is_made_once(spark, tmp_path, monkeypatch):
+    from scriptorium.plans import corpus_queries
+
+    rows = [(i, f"line {i}\nmore of {i}", "en", "site", 10) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    monkeypatch.setattr(corpus_queries.Store, "replace", lambda store, batch: made.append(batch) or store.manifest())
+    corpus_queries.x14_store(spark, str(tmp_path))
+    # every step of the change reads it from files of its own, not from the documents
+    assert made[0].count() == 6 and all("/batch-" in f for f in made[0].inputFiles())
