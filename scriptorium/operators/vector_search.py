@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from scriptorium.operators.ranking import PREFETCH, SCORE_DIGITS, top_k
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 32768
 SMALL_BLOCK = 512
 SCORES_AT_ONCE = 4_000_000
 
@@ -38,6 +38,16 @@ def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(rows / block_rows))
 
 
+def grid(rows: int, queries: int, cores: int, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """(blocks of points, blocks of queries).
+
+    Several pairs of blocks per core even out their sizes. A query is sent, and k rows come back, once a
+    block of points, so there are no more of these than memory and the cores ask for.
+    """
+    of_queries = blocks_for(queries, block_rows)
+    return max(blocks_for(rows, block_rows), min(math.ceil(4 * cores / of_queries), blocks_for(rows, SMALL_BLOCK))), of_queries
+
+
 def _block_best(k: int, exclude_self: bool):
     """Scores one block of points against one block of queries: k best per query."""
 
@@ -60,7 +70,7 @@ def _block_best(k: int, exclude_self: bool):
         step = max(1, SCORES_AT_ONCE // len(keys))
         for start in range(0, len(names), step):
             scores = np.round(queries[start : start + step] @ points.T, SCORE_DIGITS)
-            for row, name in zip(scores, names[start : start + step]):
+            for at, (row, name) in enumerate(zip(scores, names[start : start + step]), start):
                 if exclude_self:
                     row = np.where(keys == name, -np.inf, row)
                 kept = min(k, len(row))
@@ -68,10 +78,12 @@ def _block_best(k: int, exclude_self: bool):
                 near = np.flatnonzero(row >= cut)
                 near = near[np.argsort(-row[near], kind="stable")][:kept]
                 near = near[np.isfinite(row[near])]
-                out_q.extend([name] * len(near))
-                out_p.extend(keys[near])
-                out_s.extend(row[near] + 0.0)
-        return pa.table([out_q, out_p, out_s], schema=arrow)
+                out_q.append(np.full(len(near), at))
+                out_p.append(near)
+                out_s.append(row[near] + 0.0)
+        found_q, found_p, found_s = (np.concatenate(out) for out in (out_q, out_p, out_s))
+        columns = [asked.column("query_key").take(pa.array(found_q)), block.column("point_key").take(pa.array(found_p)), pa.array(found_s)]
+        return pa.table(columns, schema=arrow)
 
     return best
 
@@ -113,9 +125,7 @@ def exact_search(
     """
     rows = points.count()
     cores = points.sparkSession.sparkContext.defaultParallelism
-    # Several blocks per core even out their sizes; more rows mean more blocks.
-    n_points = max(blocks_for(rows, block_rows), min(4 * cores, blocks_for(rows, SMALL_BLOCK)))
-    n_queries = blocks_for(queries.count(), block_rows)
+    n_points, n_queries = grid(rows, queries.count(), cores, block_rows)
     left = points.select(
         F.col(key).alias("point_key"),
         F.col(vector).alias("point_vec"),

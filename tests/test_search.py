@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import bm25, ranking, retrieval
 from scriptorium.operators.filters import in_editions, payload_filter
-from scriptorium.operators.vector_search import approximate_search, exact_search, recall_at_k
+from scriptorium.operators.vector_search import approximate_search, exact_search, grid as vector_grid, recall_at_k
 
 SCORED = "question_id string, row_key string, score double"
 
@@ -200,3 +200,8 @@ def test_retrieve_with_no_slides_in_scope_reads_web_only(spark):
     assert retrieval.retrieve(p, q, retrieval.Scope(editions=[]), collections=["slides"]).isEmpty()
     plain = retrieval.retrieve(p, q, reranked=False).orderBy("rn").collect()
     assert [r.row_key for r in plain][:2] == ["s1", "w1"]
+
+
+@pytest.mark.parametrize("rows,queries,want", [(600_000, 600_000, (19, 19)), (100_000, 100_000, (12, 4)), (100_000, 200, (48, 1)), (0, 0, (1, 1))])
+def test_many_questions_make_no_more_blocks_of_points_than_memory_and_cores_ask_for(rows, queries, want):
+    assert vector_grid(rows, queries, 12) == want
