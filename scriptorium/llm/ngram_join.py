@@ -107,10 +107,12 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for at, to in _slices(batch, 1):
                 sets = list(shingle_sets(batch.column(1).slice(at, to - at).fill_null("")))
-                every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                every.sort()
                 first = np.flatnonzero(np.concatenate((every[:1] == every[:1], every[1:] != every[:-1])))
                 times = np.diff(np.append(first, len(every)))
-                hot, times = every[first][times >= REPORTED], times[times >= REPORTED]
+                hot, times = every[first[times >= REPORTED]], times[times >= REPORTED]
+                del every, first
                 rows, extra = to - at, len(hot)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -4,6 +4,7 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased; in
 no byte of another character is among these, so bytes and code points agree. Hashes are
 64 bits, from a polynomial over random byte values, mixed; texts are taken in pieces of
 about PIECE bytes cut at white space, so a long text needs no more memory than its words.
+Hashes are mixed STEP at a time: a task holds its arrays, not several copies of them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: hashes mixed at a time, so that what is made on the way stays small
+STEP = 1 << 16
 SEED = 20_240_229
 
 _random = np.random.default_rng(SEED)
@@ -35,6 +38,11 @@ _UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(_INVERSE, PIECE + 1)
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of x; one to one."""
+    if x.ndim == 1 and len(x) > STEP:
+        out = np.empty_like(x)
+        for at in range(0, len(x), STEP):
+            out[at : at + STEP] = mixed(x[at : at + STEP])
+        return out
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -103,7 +111,11 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     count = len(hashes) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for k in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count])
+    out = np.empty(count, np.uint64)
+    for at in range(0, count, STEP):
+        to = min(at + STEP, count)
+        part = np.zeros(to - at, np.uint64)
+        for k in range(n):
+            part = mixed(part * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k : to + k])
+        out[at:to] = part
     return out

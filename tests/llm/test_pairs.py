@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,6 +26,25 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
     assert list(np.diff(np.concatenate(([0], ends)))) == [len(brute.words(t)) for t in texts]
 
 
+def peak(run) -> int:
+    """Bytes of arrays that `run` holds at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashes_of_a_block_are_held_once():
+    hashes = np.arange(1_000_000, dtype=np.uint64)
+    want = word_arrays.run_hashes(hashes[:200_000], 5)
+    assert (word_arrays.run_hashes(hashes, 5)[: len(want)] == want).all()
+    assert (word_arrays.mixed(hashes)[-5:] == word_arrays.mixed(hashes[-5:])).all()
+    assert peak(lambda: word_arrays.run_hashes(hashes, 5)) < 12 * len(hashes)
+    assert peak(lambda: word_arrays.mixed(hashes)) < 12 * len(hashes)
+
+
 def near_copies(seed: int) -> list[tuple[int, str | None]]:
     """Families of near copies, a family too close to call, a passage in a third of all texts, copies."""
     rng = random.Random(seed)
