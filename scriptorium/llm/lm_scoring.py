@@ -43,6 +43,8 @@ K = 4.0
 BLOCK_BYTES = 8 << 20
 #: characters of text for each part of the counts
 PART_CHARS = 8_000_000
+#: ranges of hashes that a part is summed in, one at a time
+RANGE_BITS = 4
 
 END, START = np.uint64(0xE19D_0000_0000_0E2D), np.uint64(0x57A2_7000_0000_57A2)
 TWIST = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,7 @@ def packed(values: np.ndarray) -> bytes:
 
 def unpacked(data: bytes, count: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, count)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(count).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(count).astype(np.int32)
 
 
 def _encode(ids: pa.Array, held: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
@@ -122,37 +124,47 @@ class Block:
         count = int(self.ends[-1]) if len(self.ends) else 0
         self.tokens = unpacked(positions.as_py(), count)
         self.train = np.repeat(~self.held.to_numpy(zero_copy_only=False), self.lengths)
-        before = np.empty(count, np.int64)
+        before = np.empty(count, np.int32)
         before[1:] = self.tokens[:-1]
         before[self.ends - self.lengths] = len(self.words)  # the start state
         self.before = before
-        heads = np.append(self.words, START)
-        keys = mixed(heads[before] * TWIST + self.words[self.tokens])
-        self.pairs, self.pair_of = np.unique(keys, return_inverse=True)
+        keys = np.append(self.words, START)[before]
+        keys *= TWIST
+        keys += self.words[self.tokens]
+        keys = mixed(keys)
+        # as np.unique with its inverse, with fewer arrays of all positions at once
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(count, bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.pairs = keys[new]
+        del keys
+        self.pair_of = np.empty(count, np.int32)
+        self.pair_of[order] = np.cumsum(new, dtype=np.int32) - 1
         self.parts = parts
 
-    def requests(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(order, part, keys, own training counts); keys of a part in rising order."""
-        for order, keys, of in ((1, self.words, self.tokens), (2, self.pairs, self.pair_of)):
-            counts = np.bincount(of[self.train], minlength=len(keys))
-            for part, at in self.dealt(keys):
-                yield order, part, keys[at], counts[at]
-
-    def dealt(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        part = (keys % np.uint64(self.parts)).astype(np.int64)
+    def requests(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(parts, bounds, keys, own training counts): keys by part, in rising order, a part's between two bounds."""
+        keys, of = (self.words, self.tokens) if gram == 1 else (self.pairs, self.pair_of)
+        counts = np.bincount(of[self.train], minlength=len(keys)).astype(np.int32)
+        order, bounds = self.dealt(keys)
+        parts = np.flatnonzero(np.diff(bounds))
+        return parts, np.append(bounds[parts], len(keys)), keys[order], counts[order]
+
+    def dealt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the keys by part, and where in it each part begins."""
+        part = (keys % np.uint64(self.parts)).astype(np.int32)
         order = np.lexsort((keys, part))
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p in range(self.parts):
-            if bounds[p] < bounds[p + 1]:
-                yield p, order[bounds[p] : bounds[p + 1]]
+        return order, np.searchsorted(part[order], np.arange(self.parts + 1))
 
     def answers(self, rows: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of the block's words and pairs."""
         out = []
-        for order, keys in ((1, self.words), (2, self.pairs)):
+        for gram, keys in ((1, self.words), (2, self.pairs)):
             counts = np.zeros(len(keys))
-            for part, at in self.dealt(keys):
-                counts[at] = rows[order, part]
+            order, bounds = self.dealt(keys)
+            for part in np.flatnonzero(np.diff(bounds)).tolist():
+                counts[order[bounds[part] : bounds[part + 1]]] = rows[gram, part]
             out.append(counts)
         return out[0], out[1]
 
@@ -188,34 +200,43 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                asked = list(Block(row, parts).requests())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row.column("block")[0].as_py()] * len(asked), pa.int64()),
-                        pa.array([a[0] for a in asked], pa.int32()),
-                        pa.array([a[1] for a in asked], pa.int32()),
-                        pa.array([a[2].view(np.int64) for a in asked], pa.list_(pa.int64())),
-                        pa.array([a[3].astype(np.int32) for a in asked], pa.list_(pa.int32())),
-                    ],
-                    ["block", "gram", "part", "keys", "counts"],
-                )
+                block = Block(row, parts)
+                for gram in (1, 2):
+                    asked, bounds, keys, counts = block.requests(gram)
+                    bounds = pa.array(bounds.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row.column("block")[0].as_py()] * len(asked), pa.int64()),
+                            pa.array([gram] * len(asked), pa.int32()),
+                            pa.array(asked.astype(np.int32)),
+                            pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int64))),
+                            pa.ListArray.from_arrays(bounds, pa.array(counts)),
+                        ],
+                        ["block", "gram", "part", "keys", "counts"],
+                    )
 
     def add_up(table: pa.Table) -> pa.Table:
         """Corpus counts of one part: the rows asked for, and one row with its N and V."""
-        table = table.combine_chunks()
-        keys, sizes = table["keys"].combine_chunks(), pa.compute.list_value_length(table["keys"]).to_numpy()
-        flat = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        counts = table["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        _, inverse = np.unique(flat, return_inverse=True)
-        total = np.bincount(inverse, counts).astype(np.int64)
-        gram, part = table["gram"][0].as_py(), table["part"][0].as_py()
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(total[inverse])
+        sizes = pa.compute.list_value_length(table["keys"]).to_numpy()
+        flat, counts = (
+            np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]) for name in ("keys", "counts")
         )
+        flat = flat.view(np.uint64)
+        gram, part = table["gram"][0].as_py(), table["part"][0].as_py()
+        blocks = table["block"].combine_chunks()
+        total, n, v = np.empty(len(flat), np.int64), 0, 0
+        ranges = (flat >> np.uint64(64 - RANGE_BITS)).astype(np.uint8)
+        for low in range(1 << RANGE_BITS):
+            at = np.flatnonzero(ranges == low)
+            _, inverse = np.unique(flat[at], return_inverse=True)
+            sums = np.bincount(inverse, counts[at]).astype(np.int64)
+            total[at] = sums[inverse]
+            n, v = n + int(sums.sum()), v + int((sums > 0).sum())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(total))
         rows = len(sizes)
         answers = pa.table(
             {
-                "block": table["block"].combine_chunks(),
+                "block": blocks,
                 "gram": pa.array([gram] * rows, pa.int32()),
                 "part": pa.array([part] * rows, pa.int32()),
                 "totals": lists,
@@ -228,7 +249,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 "block": pa.array([-1], pa.int64()),
                 "gram": pa.array([0], pa.int32()),
                 "part": pa.array([part], pa.int32()),
-                "totals": pa.array([[int(total.sum()), int((total > 0).sum())]], pa.list_(pa.int64())),
+                "totals": pa.array([[n, v]], pa.list_(pa.int64())),
             }
         )
         return pa.concat_tables([answers, whole])
@@ -248,7 +269,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for row in asked.combine_chunks().to_batches(1):
             block = Block(row, parts)
             words, pairs = block.answers(rows)
-            first = np.unique(block.pair_of, return_index=True)[1]
+            first = np.empty(len(pairs), np.int64)
+            first[block.pair_of] = np.arange(len(block.pair_of))  # any place of each pair
             starts = words[np.flatnonzero(block.words == END)[0]]  # as many starts as ends
             automaton = Automaton(words, pairs, block.before[first], block.tokens[first], starts, n, v)
             begin = block.ends - block.lengths

@@ -45,6 +45,13 @@ def test_hashes_of_a_block_are_held_once():
     assert peak(lambda: word_arrays.mixed(hashes)) < 12 * len(hashes)
 
 
+def test_a_block_of_the_model_takes_few_bytes_a_token():
+    words = [f"w{i % 7919}x{i % 13}" for i in range(200_000)]
+    texts = pa.array([" ".join(words[i : i + 400]) for i in range(0, len(words), 400)])
+    row = lm_scoring._encode(pa.array(np.arange(len(texts))), np.zeros(len(texts), bool), texts, 0)
+    assert peak(lambda: lm_scoring.Block(row, 8)) < 50 * len(words)
+
+
 def near_copies(seed: int) -> list[tuple[int, str | None]]:
     """Families of near copies, a family too close to call, a passage in a third of all texts, copies."""
     rng = random.Random(seed)
