@@ -36,7 +36,8 @@ PARTS, WORDS, ROUNDS = 16, 256, 10
 BLOCK_ROWS, SMALL_BLOCK, QUERY_ROWS = 65_536, 512, 4_096
 #: share of the lists a query probes; points scored exactly, times k, and their share at most
 PROBED, REFINE, SCORED = 0.9, 5, 0.2
-ENCODED_AT_ONCE = 65_536
+#: distances or scores made at a time, and bytes of vectors sent on in one batch
+SCORES_AT_ONCE, SENT_AT_ONCE = 4_000_000, 4 << 20
 
 
 class Quantizer(NamedTuple):
@@ -80,8 +81,11 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The nearest center of each row by Euclidean distance."""
     half = 0.5 * np.einsum("ij,ij->i", centers, centers)
     out = np.empty(len(x), np.int64)
-    for at in range(0, len(x), ENCODED_AT_ONCE):
-        out[at : at + ENCODED_AT_ONCE] = np.argmax(x[at : at + ENCODED_AT_ONCE] @ centers.T - half, axis=1)
+    step = max(1, SCORES_AT_ONCE // len(centers))
+    for at in range(0, len(x), step):
+        scores = x[at : at + step] @ centers.T
+        scores -= half
+        out[at : at + step] = np.argmax(scores, axis=1)
     return out
 
 
@@ -175,6 +179,22 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, Quantizer.from_bytes(bytes(spark.read.parquet(f"{path}/quantizer").first()[0])))
 
 
+def spread_queries(
+    quantizer: Quantizer, batch: pa.RecordBatch, touches: np.ndarray, wanted: int, sent: int = SENT_AT_ONCE
+) -> Iterator[pa.RecordBatch]:
+    """(block, query_key, query_vec): each query (query_key, query_vec) once a block that it probes.
+
+    A query goes to nearly all blocks, so queries are taken a few at a time.
+    """
+    bytes_a_query = touches.shape[1] * (batch.nbytes // batch.num_rows + 8) + 24 * len(touches)
+    step = max(1, sent // bytes_a_query)
+    for at in range(0, batch.num_rows, step):
+        few = batch.slice(at, step)
+        met = quantizer.probes(_unit(few.column(1)), wanted).astype(np.float32) @ touches > 0
+        row, block = np.nonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(block), *few.take(pa.array(row)).columns], ["block", "query_key", "query_vec"])
+
+
 def list_blocks(sizes: dict[int, int], lists: int, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(first, count): the blocks each list is dealt to; small neighbours share one."""
     first, count = np.zeros(lists, np.int64), np.ones(lists, np.int64)
@@ -235,15 +255,12 @@ def search(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizer, first, count = shared.value
-        touches = np.zeros((len(first), int((first + count).max())), bool)
+        touches = np.zeros((len(first), int((first + count).max())), np.float32)
         for x, (low, n) in enumerate(zip(first.tolist(), count.tolist())):
-            touches[x, low : low + n] = True
+            touches[x, low : low + n] = 1
         for batch in batches:
             if batch.num_rows:
-                met = quantizer.probes(_unit(batch.column(1)), wanted).astype(np.float32) @ touches > 0
-                row, block = np.nonzero(met)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(block), *taken.columns], ["block", "query_key", "query_vec"])
+                yield from spread_queries(quantizer, batch, touches, wanted)
 
     kind = asked.schema["query_vec"].dataType.simpleString()
     right = asked.mapInArrow(spread, f"block long, query_key {query_type}, query_vec {kind}")
@@ -266,9 +283,10 @@ def search(
         stand_in = quantizer.decode(list_, own.reshape(len(raw), -1))
         vectors = _unit(_chunk(asked.column("query_vec")))
         out_q, out_p, out_s, out_n = [], [], [], []
-        for at in range(0, len(vectors), 256):
-            scores = vectors[at : at + 256] @ stand_in.T
-            scores[~quantizer.probes(vectors[at : at + 256], wanted)[:, list_]] = -np.inf
+        step = max(1, min(256, SCORES_AT_ONCE // len(list_)))
+        for at in range(0, len(vectors), step):
+            scores = vectors[at : at + step] @ stand_in.T
+            scores[~quantizer.probes(vectors[at : at + step], wanted)[:, list_]] = -np.inf
             for i, row in enumerate(scores):
                 scanned = int(np.isfinite(row).sum())
                 n = min(kept, scanned)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +266,16 @@ def test_an_empty_index_and_no_questions(spark):
     assert found.isEmpty() and reads.isEmpty()
     stored = impact_index.write(bm25.build_index(texts(spark, 50)), scratch_path(spark, "impacts"))
     assert impact_index.search(stored, asked.limit(0))[0].isEmpty()
+
+
+def test_queries_are_sent_to_their_blocks_a_few_at_a_time():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    quantizer = vector_index.Quantizer(x[:20], np.zeros((4, 1, 4), np.float32))
+    touches = np.eye(20, 10, dtype=np.float32) + np.eye(20, 10, -10, dtype=np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(list(x), pa.list_(pa.float32()))], ["query_key", "query_vec"])
+    sent = list(vector_index.spread_queries(quantizer, batch, touches, 5, 20_000))
+    assert len(sent) > 1 and max(b.nbytes for b in sent) <= 20_000
+    met = quantizer.probes(vector_index._unit(batch.column(1)), 5).astype(np.float32) @ touches > 0
+    got = [(q, b) for s in sent for b, q in zip(s.column(0).to_pylist(), s.column(1).to_pylist())]
+    assert got == [(int(q), int(b)) for q, b in zip(*np.nonzero(met))]
