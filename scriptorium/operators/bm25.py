@@ -27,6 +27,8 @@ B = 0.75
 BLOCK_ROWS = 32768
 BLOCK_QUERIES = 4096
 SMALL_BLOCK = 512
+# Words of texts that one task counts.
+COUNTED_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -333,11 +335,14 @@ def search_texts(
     cores = texts.sparkSession.sparkContext.defaultParallelism
     blocks = grid(n, queries.count(), cores, block_rows, block_queries)
     wanted = query_terms(queries, query, text)
+    counted = max(cores, -(-int(n * avg_len) // COUNTED_WORDS))
     flagged = texts.withColumn("visible", F.lit(True) if condition is None else condition)
     matches = (
         flagged.select(key, "visible", words(F.col(body)).alias("found"))
         .select(key, "visible", F.size("found").alias("doc_len"), F.explode_outer("found").alias("term"))
         .join(wanted.select("term").distinct(), "term", "left_semi")
+        # dealt before they are counted: a split of a file may hold any number of words
+        .repartition(counted, key)
         .groupBy(block_of(key, blocks[0]).alias("pb"), key, "doc_len", "term")
         .agg(F.count("*").alias("tf"), F.bool_and("visible").alias("visible"))
     )

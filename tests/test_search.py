@@ -205,3 +205,19 @@ def test_retrieve_with_no_slides_in_scope_reads_web_only(spark):
 @pytest.mark.parametrize("rows,queries,want", [(600_000, 600_000, (19, 19)), (100_000, 100_000, (12, 4)), (100_000, 200, (48, 1)), (0, 0, (1, 1))])
 def test_many_questions_make_no_more_blocks_of_points_than_memory_and_cores_ask_for(rows, queries, want):
     assert vector_grid(rows, queries, 12) == want
+
+
+def test_words_are_dealt_to_tasks_before_they_are_counted(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(bm25, "written_once", kept)
+    texts = spark.createDataFrame([("a", "red red fox"), ("b", "fox"), ("b", "red hen"), (None, "hen"), ("c", None)], "row_key string, text string")
+    asked = spark.createDataFrame([("q", "red fox hen")], "question_id string, question string")
+    found = bm25.search_texts(texts, asked).collect()
+    assert {r.row_key for r in found} == {"a", "b", None}
+    counted, dealt = plans[0].split("Exchange hashpartitioning(row_key", 1)
+    assert "partial_count" in counted and "partial_count" not in dealt
