@@ -47,6 +47,8 @@ PERCENT = 75
 REPORTED, MAX_HOT = 8, 1_000_000
 #: rows of a frequent shingle that one tile is meant for
 TILE_ROWS = 50_000
+#: rows up to which a tile's own pairs are tried before it is kept
+TRIED = 16
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 1 << 26
 
@@ -209,33 +211,62 @@ def _centers(token: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
     return center
 
 
+def _room_allows(n: np.ndarray, at: np.ndarray, m: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can link whose first shared one is at `at` and `by`."""
+    in_band = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    return in_band & (np.minimum(n - at, m - by) >= _needed(n, m))
+
+
+def _may_link(token: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that some other row of their tile may link to by sizes and positions.
+
+    A tile of more than TRIED rows stays whole; so does a part of a frequent shingle,
+    which may hold one row only and yet not be alone.
+    """
+    lengths = np.diff(np.append(_starts(token, part), len(token)))
+    sizes = np.repeat(lengths, lengths)
+    keep = (sizes > TRIED) | (part > 0)
+    rows = np.flatnonzero((sizes > 1) & ~keep)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    for step in range(1, TRIED):
+        rows = rows[rows + step < ends[rows]]
+        other = rows + step
+        fits = _room_allows(n[rows], at[rows], n[other], at[other])
+        keep[rows[fits]] = keep[other[fits]] = True
+    return keep
+
+
 def tiles(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that two classes or more share, each with its band's center and the row before.
+    """Rows that may link to another of their tile, each with its band's center and the row before.
 
+    `star` and `chain` tell whether sizes and positions let the row link to its center and
+    to the row before. A linked pair is allowed in the tile of its first shared shingle, so
+    rows that are allowed nowhere in a tile are not written.
     A partition is read in order, a batch at a time; the open tile is carried over, and
     of a tile longer than TILE_ROWS only the row of its last center.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shared(rows: np.ndarray) -> pa.RecordBatch | None:
+        def shared(rows: np.ndarray, whole: np.ndarray) -> pa.RecordBatch | None:
             token, part, n, cls, at = rows
-            center = _centers(token, part, n)
-            lengths = np.diff(np.append(_starts(token, part), len(token)))
-            sizes = np.repeat(lengths, lengths)
-            # a part of a frequent shingle may hold one row only and yet not be alone
-            keep = (sizes > 1) | (part > 0)
-            if not keep.any():
+            rows = rows[:, whole | _may_link(token, part, n, at)]
+            if not rows.shape[1]:
                 return None
+            token, part, n, cls, at = rows
+            own = np.arange(len(cls))
+            center = _centers(token, part, n)
+            last = np.where(center == own, center, own - 1)
+            star = (center != own) & _room_allows(n, at, n[center], at[center])
+            chain = (last != own) & (last != center) & _room_allows(n, at, n[last], at[last])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(token[keep]), pa.array(part[keep].astype(np.int32)), pa.array(cls[keep]),
-                    pa.array(n[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(cls[center][keep]),
-                    pa.array(cls[np.where(center == np.arange(len(cls)), center, np.arange(len(cls)) - 1)][keep]),
+                    pa.array(token), pa.array(part.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)),
+                    pa.array(at.astype(np.int32)), pa.array(cls[center]), pa.array(cls[last]), pa.array(star), pa.array(chain),
                 ],
-                ["token", "part", "cls", "n", "at", "center", "last"],
+                ["token", "part", "cls", "n", "at", "center", "last", "star", "chain"],
             )
 
-        held = np.zeros((5, 0), np.int64)
+        held, going = np.zeros((5, 0), np.int64), (0, -1)
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             rows = np.concatenate((held, rows), axis=1)
@@ -244,22 +275,25 @@ def tiles(rows: DataFrame) -> DataFrame:
             rows = rows[:, fresh]
             last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
             cut = int(np.flatnonzero(last)[0])
+            # rows of a long tile may link to rows that went before or come after
+            whole = (rows[0] == going[0]) & (rows[1] == going[1])
             if rows.shape[1] - cut > TILE_ROWS:
                 center = _centers(*rows[:3])[-1]
-                out, held = shared(rows), rows[:, [center]]
+                out, held = shared(rows, whole | last), rows[:, [center]]
+                going = (rows[0, -1], rows[1, -1])
             else:
-                out, held = (shared(rows[:, :cut]) if cut else None), rows[:, cut:]
+                out, held = (shared(rows[:, :cut], whole[:cut]) if cut else None), rows[:, cut:]
             if out is not None:
                 yield out
-        if held.shape[1] and (out := shared(held)) is not None:
+        whole = (held[0] == going[0]) & (held[1] == going[1])
+        if held.shape[1] and (out := shared(held, whole)) is not None:
             yield out
 
     sorted_rows = rows.select("token", "part", "n", "cls", "at").repartition("token", "part")
     # sets of one size stand in another order in each tile, so the row before differs too
     sorted_rows = sorted_rows.sortWithinPartitions("token", "part", "n", F.xxhash64("cls", "token"), "cls")
-    return written_once(
-        sorted_rows.mapInArrow(scan, "token long, part int, cls long, n int, at int, center long, last long"), "ngram-tiles"
-    )
+    columns = "token long, part int, cls long, n int, at int, center long, last long, star boolean, chain boolean"
+    return written_once(sorted_rows.mapInArrow(scan, columns), "ngram-tiles")
 
 
 def _bits_allow(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -309,11 +343,12 @@ def _passes(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 
 def _arrays(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the texts in `wanted` (doc_id, cls), one text a class.
+    """(cls, shingles) of the texts in `wanted` (doc_id, cls), one text a class, and of a few more.
 
     The texts are read where they lie; a filter of their keys lets through those wanted
-    and a few more, which the join drops. A class that only rows without a key hold has no
+    and a few more, which meet no pair. A class that only rows without a key hold has no
     key to filter by: of such rows the set is made first, and its class is filtered.
+    The arrays are shuffled once, by class, for both sides of the pairs.
     """
     by_key = wanted.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
     by_class = wanted.where("doc_id is null").select(F.pmod("cls", F.lit(FILTER_BITS)).alias("bit"))
@@ -331,22 +366,13 @@ def _arrays(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFram
                 keep = chosen.column(1).slice(at, to - at).is_valid().to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(keep | _passes(by_class, classes % FILTER_BITS))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        chosen.column(1).slice(at, to - at).take(pa.array(keep)),
-                        pa.array(classes[keep]),
-                        pa.array([sets[k].view(np.int64) for k in keep.tolist()], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "cls", "shingles"],
+                    [pa.array(classes[keep]), pa.array([sets[k].view(np.int64) for k in keep.tolist()], pa.list_(pa.int64()))],
+                    ["cls", "shingles"],
                 )
 
     hashed = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))).otherwise(-1)
     own = docs.select(hashed.alias("bit"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    made = own.mapInArrow(scan, f"doc_id {id_type}, cls long, shingles array<long>")
-    asked = wanted.select(F.col("doc_id").alias("w_id"), F.col("cls").alias("w_cls"))
-    same = (F.col("cls") == F.col("w_cls")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
-    made = written_once(made.join(asked, same, "left_semi"), "ngram-arrays")
-    return made.dropDuplicates(["cls"]).select("cls", "shingles")
+    return own.mapInArrow(scan, "cls long, shingles array<long>").dropDuplicates(["cls"])
 
 
 def links_among(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
@@ -379,8 +405,8 @@ def center_pairs(tiled: DataFrame) -> DataFrame:
     At most two pairs a tile row, however large a tile is.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = tiled.where("cls <> center").select(*pair("cls", "center"))
-    chains = tiled.where("cls <> last and last <> center").select(*pair("cls", "last"))
+    stars = tiled.where("star").select(*pair("cls", "center"))
+    chains = tiled.where("chain").select(*pair("cls", "last"))
     many = tiled.groupBy("token").agg(F.min("center").alias("top"), F.max("part").alias("parts")).where("parts > 0")
     tops = tiled.select("token", "center").distinct().join(many, "token").where("center <> top").select(*pair("center", "top"))
     return stars.union(chains).union(tops).distinct()
@@ -395,13 +421,12 @@ def crossing_pairs(tiled: DataFrame, members: DataFrame) -> DataFrame:
     named = tiled.join(members.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
         "token", "cls", "n", "at", F.coalesce("component", "cls").alias("component")
     )
-    counted = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
-    largest = (
-        counted.groupBy("token")
-        .agg(F.max_by("component", F.struct("rows", "component")).alias("largest"), F.count("*").alias("components"))
-        .where("components > 1")
-    )
-    mixed_tiles = written_once(named.join(largest.drop("components"), "token"), "ngram-mixed")
+    # most tiles have one component after the first links, and are not counted
+    ends = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = written_once(named.join(ends.where("low <> high").select("token"), "token"), "ngram-several")
+    counted = several.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    largest = counted.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
+    mixed_tiles = several.join(largest, "token")
     few = mixed_tiles.where("component <> largest").select(
         "token", F.col("cls").alias("f_cls"), F.col("n").alias("f_n"), F.col("at").alias("f_at"), F.col("component").alias("f_component")
     )

@@ -84,6 +84,59 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, tile_rows, repor
     assert got == {i: (len(brute.shingles(t)), want[i]) for i, t in texts}
 
 
+def shared_rows(seed: int) -> list[tuple[int, int, int, int, int]]:
+    """(token, part, cls, n, at) of short tiles, of long ones, and of shingles dealt to parts."""
+    rng = random.Random(seed)
+    rows = []
+    for token in range(200):
+        for cls in rng.sample(range(1000), rng.choice((1, 2, 2, 3, 5, 12, 30))):
+            n = 20 + cls % 90
+            rows.append((token, token % 9 == 0 and 1 + cls % 3, cls, n, rng.randrange(n // 4 + 1)))
+    return [(t, int(p), c, n, a) for t, p, c, n, a in rows]
+
+
+def may_pair(x: tuple, y: tuple) -> bool:
+    """Whether sets link that share the shingle of these rows, none before it and all after it."""
+    (n, at), (m, by) = x[3:], y[3:]
+    common = min(n - at, m - by)
+    return x != y and 100 * min(n, m) >= 75 * max(n, m) and 100 * common >= 75 * (n + m - common)
+
+
+@pytest.mark.parametrize("tile_rows", [4, 50_000])
+def test_tiles_hold_the_rows_that_may_link(spark, monkeypatch, tile_rows):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile_rows)
+    rows = shared_rows(5)
+    docs = spark.createDataFrame(rows, "token long, part int, cls long, n int, at int")
+    got = ngram_join.tiles(docs).collect()
+    held = {(r.token, r.part, r.cls, r.n, r.at) for r in got}
+    tiles = collections.defaultdict(list)
+    for row in rows:
+        tiles[row[:2]].append(row)
+    need = {r for rows in tiles.values() for r in rows if any(may_pair(r, other) for other in rows)}
+    assert need <= held <= set(rows)
+    if tile_rows > len(rows):
+        short = {r for (_, part), rows in tiles.items() if part == 0 and len(rows) <= ngram_join.TRIED for r in rows}
+        assert held & short == need & short
+    of = {(r[0], r[1], r[2]): r for r in rows}
+    for r in got:
+        own = of[r.token, r.part, r.cls]
+        assert r.star == may_pair(own, of[r.token, r.part, r.center])
+        assert r.chain == (r.last != r.center and may_pair(own, of[r.token, r.part, r.last]))
+
+
+def test_sets_of_shingles_are_not_written(spark, monkeypatch):
+    written, once = [], ngram_join.written_once
+
+    def watched(df, name, *more):
+        written.append((name, [kind for _, kind in df.dtypes]))
+        return once(df, name, *more)
+
+    monkeypatch.setattr(ngram_join, "written_once", watched)
+    docs = spark.createDataFrame(near_copies(3), "doc_id long, text string")
+    assert ngram_join.ngram_join(docs).count() == docs.count()
+    assert written and not [name for name, kinds in written if any(kind.startswith("array") for kind in kinds)]
+
+
 def test_join_edges(edge, none):
     rows = ngram_join.ngram_join(edge).collect()
     assert len(rows) == edge.count()
