@@ -7,13 +7,14 @@ Work is on classes of equal sets, so copies are never compared:
    shingle, as wide as the set's size band). Blocks also report shingles that many of
    their texts hold; summed, the most frequent MAX_HOT of them sort last.
 2. A linked pair must share one of the first |A| - ceil(0.75 |A|) + 1 shingles of either
-   set in that one order. Each class sends those shingles to tiles; a tile holds the
-   classes with one shingle, by size, cut into bands in which sizes can still link.
-   Frequent shingles are dealt to several tiles.
-3. Links first to the smallest class of each band, enough to join a family of near
-   copies in linear work. Then, in tiles that still hold several components, every pair
-   across components that sizes and positions allow: so no link between different
-   components is missed, and no pair within one is made.
+   set in that one order, in which the rarer of the frequent ones come first. Each class
+   sends those shingles to tiles; a tile holds the classes with one shingle, by size, cut
+   into bands in which sizes can still link. Frequent shingles are dealt to several tiles.
+3. Links first to the center of each band: the class with the fewest shingles before the
+   tile's, so the least changed of a family of near copies, which joins the family in
+   linear work. Then, in tiles that still hold several components, every pair across
+   components that sizes and positions allow: so no link between different components
+   is missed, and no pair within one is made.
 4. A pair is checked by bit counts first: differing bits bound the overlap from above.
    What is left is decided by intersecting the sorted arrays of shingles. Arrays are
    made only for texts in such pairs, found by a filter of fixed size.
@@ -150,10 +151,11 @@ def prefixes(docs: DataFrame, text: str, hot: np.ndarray, counts: np.ndarray) ->
 
     The part is 0, or from 1 on for a shingle that is dealt to several tiles.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((hot, -(-counts // TILE_ROWS)))
+    shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, parts = shared.value
+        hot, counts = shared.value
+        parts = -(-counts // TILE_ROWS)
         for batch in batches:
             for at, to in _slices(batch, 0):
                 seen, tokens, part, names, sizes, places = set(), [], [], [], [], []
@@ -164,8 +166,9 @@ def prefixes(docs: DataFrame, text: str, hot: np.ndarray, counts: np.ndarray) ->
                     seen.add(name)
                     where = np.searchsorted(hot, s)
                     known = hot[np.minimum(where, len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
-                    ordered = np.concatenate((np.flatnonzero(~known), np.flatnonzero(known)))
-                    ordered = ordered[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+                    times = np.zeros(len(s), np.int64)
+                    times[known] = counts[where[known]]
+                    ordered = np.argsort(times, kind="stable")[: len(s) - -(-PERCENT * len(s) // 100) + 1]
                     tokens.append(s[ordered])
                     dealt = np.ones(len(ordered), np.int64)
                     dealt[known[ordered]] = parts[where[ordered][known[ordered]]]
@@ -195,20 +198,29 @@ def _starts(token: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _centers(token: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For rows by token, part and size: the row that begins each row's size band."""
+def _centers(token: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows by token, part and size: the row that begins each row's size band, and the band's center.
+
+    A band ends where sizes can no longer link to its first row. Its center has the fewest
+    shingles that sort before the tile's: a text's own changes sort first, so that is the
+    text of a family its near copies were made from, or the one nearest to it. Of several,
+    the one nearest to the band's middle.
+    """
     count = len(token)
     start = _starts(token, part)
-    center = np.repeat(start, np.diff(np.append(start, count)))
-    wide = 100 * n[center] < PERCENT * n
-    for first in np.unique(center[wide]).tolist():  # few tiles span more than one band
-        stop = start[np.searchsorted(start, first, "right")] if first < start[-1] else count
-        at = first
-        for i in range(first, int(stop)):
-            if 100 * n[at] < PERCENT * n[i]:
-                at = i
-            center[i] = at
-    return center
+    first = np.repeat(start, np.diff(np.append(start, count)))
+    wide = 100 * n[first] < PERCENT * n
+    for begin in np.unique(first[wide]).tolist():  # few tiles span more than one band
+        stop = start[np.searchsorted(start, begin, "right")] if begin < start[-1] else count
+        row = begin
+        for i in range(begin, int(stop)):
+            if 100 * n[row] < PERCENT * n[i]:
+                row = i
+            first[i] = row
+    bands = np.flatnonzero(first == np.arange(count))
+    lengths = np.diff(np.append(bands, count))
+    off_middle = np.abs(np.arange(count) - np.repeat(bands + lengths // 2, lengths))
+    return first, np.repeat(np.lexsort((off_middle, at, first))[bands], lengths)
 
 
 def _room_allows(n: np.ndarray, at: np.ndarray, m: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -254,8 +266,8 @@ def tiles(rows: DataFrame) -> DataFrame:
                 return None
             token, part, n, cls, at = rows
             own = np.arange(len(cls))
-            center = _centers(token, part, n)
-            last = np.where(center == own, center, own - 1)
+            first, center = _centers(token, part, n, at)
+            last = np.where(first == own, own, own - 1)
             star = (center != own) & _room_allows(n, at, n[center], at[center])
             chain = (last != own) & (last != center) & _room_allows(n, at, n[last], at[last])
             return pa.RecordBatch.from_arrays(
@@ -278,7 +290,7 @@ def tiles(rows: DataFrame) -> DataFrame:
             # rows of a long tile may link to rows that went before or come after
             whole = (rows[0] == going[0]) & (rows[1] == going[1])
             if rows.shape[1] - cut > TILE_ROWS:
-                center = _centers(*rows[:3])[-1]
+                center = _centers(*rows[[0, 1, 2, 4]])[1][-1]
                 out, held = shared(rows, whole | last), rows[:, [center]]
                 going = (rows[0, -1], rows[1, -1])
             else:

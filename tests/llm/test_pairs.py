@@ -137,6 +137,28 @@ def test_sets_of_shingles_are_not_written(spark, monkeypatch):
     assert written and not [name for name, kinds in written if any(kind.startswith("array") for kind in kinds)]
 
 
+def test_pairs_grow_with_the_texts_of_a_family(spark, monkeypatch):
+    """Changed copies of one text, many of them just beyond a link to it or to most others."""
+    copies, rng = 300, random.Random(300)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(0, " ".join(base))]
+    for k in range(1, copies):
+        text = linked(base, k, 1 + k % 6)
+        texts.append((k, " ".join(text[rng.randrange(6) :] if k % 5 == 0 else text)))
+    counted, links_among = [], ngram_join.links_among
+
+    def watched(pairs, *more):
+        counted.append(pairs.count())
+        return links_among(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "links_among", watched)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got == brute.components(texts)
+    assert max(collections.Counter(got.values()).values()) > copies // 2
+    assert sum(counted) < 8 * copies, counted
+
+
 def test_join_edges(edge, none):
     rows = ngram_join.ngram_join(edge).collect()
     assert len(rows) == edge.count()
