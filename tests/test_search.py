@@ -221,3 +221,29 @@ def test_words_are_dealt_to_tasks_before_they_are_counted(spark, monkeypatch):
     assert {r.row_key for r in found} == {"a", "b", None}
     counted, dealt = plans[0].split("Exchange hashpartitioning(row_key", 1)
     assert "partial_count" in counted and "partial_count" not in dealt
+
+
+def test_long_texts_make_more_blocks_and_no_posting_is_sent_twice():
+    # 100 000 texts of 520 words: few rows a block by words, one block of queries
+    of_rows, of_queries = bm25.text_grid(100_000, 520.0, 100_000, 6, bm25.BLOCK_ROWS, bm25.BLOCK_QUERIES)
+    assert 100_000 * 520 / of_rows <= bm25.BLOCK_WORDS and of_queries == 1
+    assert bm25.text_grid(10, 3.0, 10, 2, bm25.BLOCK_ROWS, bm25.BLOCK_QUERIES) == (1, 1)
+    assert bm25.text_grid(0, 1.0, 0, 2, bm25.BLOCK_ROWS, bm25.BLOCK_QUERIES) == (1, 1)
+
+
+def test_a_block_holds_its_postings_without_their_batches():
+    import pyarrow as pa
+
+    held = bm25._Held()
+    for low in (0, 3):
+        keys, terms = ["a", None, "b"], ["x", "y", "x"]
+        whole = pa.RecordBatch.from_pydict({"row_key": keys, "term": terms, "factor": [1.0 + low, 2.0, None if low else 3.0]})
+        held.add(whole.slice(0, 3))
+    assert all(f.base is None for f in held.factors)
+    block = bm25._Block(held, True)
+    assert block.keys.to_pylist() == ["a", "b", None] and block.terms.to_pylist() == ["x", "y"] and block.repeats
+    asked = pa.RecordBatch.from_pydict({"query_key": ["q", "q"], "term": ["x", "y"], "idf": [1.0, 1.0], "due": [True, False]})
+    found = block.best(asked, 5, False).to_pydict()
+    # only b is marked, under x; it is scored over both words
+    assert found == {"query_key": ["q"], "row_key": ["b"], "score": [3.0]}
+    assert block.start.tolist() == [0, 3, 5]
