@@ -279,3 +279,39 @@ def test_queries_are_sent_to_their_blocks_a_few_at_a_time():
     met = quantizer.probes(vector_index._unit(batch.column(1)), 5).astype(np.float32) @ touches > 0
     got = [(q, b) for s in sent for b, q in zip(s.column(0).to_pylist(), s.column(1).to_pylist())]
     assert got == [(int(q), int(b)) for q, b in zip(*np.nonzero(met))]
+
+
+def test_words_are_counted_where_their_texts_were_dealt(spark):
+    plan = bm25.build_index(texts(spark, 50)).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_a_level_takes_the_rows_of_its_blocks_only(spark, monkeypatch):
+    built = bm25.build_index(texts(spark))
+    stored = impact_index.write(built, scratch_path(spark, "impacts"), block=4)
+    asked = spark.createDataFrame(QUESTIONS, "question_id string, question string")
+    rows, score = [], impact_index.score_blocks
+
+    def watched(postings, *a, **b):
+        rows.append(postings.select("row_key").distinct().count())
+        return score(postings, *a, **b)
+
+    monkeypatch.setattr(impact_index, "score_blocks", watched)
+    found, _ = impact_index.search(stored, asked, k=5)
+    assert same(found.select("question_id", "row_key", "score", "rn"), bm25.search_index(built, asked, k=5))
+    # before, all rows with a word asked for
+    assert len(rows) > 2 and max(rows[:2]) < 100
+
+
+def test_runs_of_a_term_in_several_pieces_are_cut_at_its_own_places(spark):
+    rows = [("t", p, s, 1.0 - p / 10 - s / 100, [f"k{p}{s + i}" for i in range(n)], [1.0 - p / 10 - (s + i) / 100 for i in range(n)]) for p, s, n in ((0, 0, 3), (1, 0, 4), (1, 4, 2), (2, 0, 1))]
+    rows += [("a", 0, 0, 0.5, ["x", "y"], None), ("u", 2, 0, 0.5, ["z", None], [0.5, 0.4])]
+    runs = spark.createDataFrame(rows, "term string, piece int, start long, top double, keys array<string>, impacts array<double>")
+    got = {(r.term, r.block): (round(r.top, 6), sorted(r["keys"], key=str)) for r in impact_index._cut(runs, 4).collect()}
+    assert got == {
+        ("a", 0): (0.5, ["x", "y"]),
+        ("t", 0): (1.0, ["k00", "k01", "k02", "k10"]),
+        ("t", 1): (0.89, ["k11", "k12", "k13", "k14"]),
+        ("t", 2): (0.85, ["k15", "k20"]),
+        ("u", 0): (0.5, [None, "z"]),
+    }
