@@ -122,3 +122,36 @@ def test_hours_rolled_up_are_the_day_within_the_bounds(spark):
     # an estimate out of bounds is told
     wrong = days.withColumn("kll", F.first("kll").over(Window.partitionBy(F.lit(1)).orderBy("n")))
     assert not all(r.within for r in sketches.checked(frame, wrong, ["kind"], "ts", "ms", "task", "1 day", [0.5]).collect())
+
+
+def test_a_batch_writes_its_texts_once_and_leaves_nothing_else(spark, tmp_path, monkeypatch):
+    from scriptorium import session
+
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: str(tmp_path / f"scratch-{name}-{len(made.append(name) or made)}"))
+    made, held = [], Clusters(spark, str(tmp_path / "clusters"))
+    rows = chunks()
+    held.add(spark.createDataFrame(rows[:30], CHUNK), 0)
+    held.add(spark.createDataFrame(rows[30:], CHUNK), 1)
+    assert "cluster-met" in made and not {"cluster-features", "cluster-prefixes"} & set(made)
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("scratch-cluster")]
+    assert rows_of(held.clusters(2)) == rows_of(passages.corpus_dedup(spark.createDataFrame(rows, CHUNK)))
+
+
+def test_only_shingles_that_the_batch_shares_are_shuffled_whole(spark, tmp_path, monkeypatch):
+    from scriptorium.operators import incremental_clusters
+
+    sent = []
+
+    def watched(rows, key, keys):
+        sent.append((rows.count(), keys.count()))
+        return keep(rows, key, keys)
+
+    keep = incremental_clusters.rows_of_keys
+    monkeypatch.setattr(incremental_clusters, "rows_of_keys", watched)
+    held = Clusters(spark, str(tmp_path / "clusters"))
+    words = lambda a, n: " ".join(f"v{a}x{i}" for i in range(n))
+    rows = [(f"r{k}", "web", f"u{k}", "h", "2024-01-01", words(k, 12)) for k in range(8)]
+    held.add(spark.createDataFrame(rows, CHUNK), 0)
+    held.add(spark.createDataFrame([("s", "web", "s", "h", "2024-01-02", words(3, 13))], CHUNK), 1)
+    assert sent[0][1] == 0 and 0 < sent[1][1] < sent[1][0] / 4
+    assert sorted(r.copies for r in held.clusters(2).collect()) == [1] * 7 + [2]
