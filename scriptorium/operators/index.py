@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.operators.key_filter import split_by_keys
+
 # Fixed value: how many facet values are listed.
 FACET_LIMIT = 1000
 WEB_KEY = ["url", "ingest_source"]
@@ -43,6 +45,17 @@ def keep_last(points: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
+def repeated_keys(points: DataFrame, key: str) -> DataFrame:
+    """Keys that two rows or more have, in a column `key`."""
+    return points.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
+def keep_last_where_they_lie(points: DataFrame, key: str, order: str) -> DataFrame:
+    """As `keep_last`, for tables in files: only the rows of repeated keys, and a few more, are shuffled."""
+    repeated, single = split_by_keys(points, key, repeated_keys(points, key))
+    return single.unionByName(keep_last(repeated, key, order))
+
+
 def upsert_points(
     points: DataFrame, batch: DataFrame, key: str = "point_id", order: str = "seq"
 ) -> DataFrame:
@@ -84,6 +97,24 @@ def replace_versions(
     return web.unionByName(slides)
 
 
+def _source(kind: Column) -> Column:
+    """A number for what replaces a point: its page and way of ingest, or its file and edition."""
+    return F.when(kind == "web", F.xxhash64(F.lit("web"), *WEB_KEY)).otherwise(F.xxhash64(F.lit("slides"), *SLIDES_KEY))
+
+
+def upsert_where_they_lie(points: DataFrame, batch: DataFrame, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+    """(points the batch does not name, as they lie; what `upsert_points` makes of the others)."""
+    named, rest = split_by_keys(points, key, batch.select(F.col(key).alias("key")))
+    return rest, upsert_points(named, batch, key)
+
+
+def replace_where_they_lie(points: DataFrame, batch: DataFrame, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+    """(points whose id and source the batch does not name, as they lie; what `replace_versions` makes of the others)."""
+    named, rest = split_by_keys(points, key, batch.select(F.col(key).alias("key")))
+    of_source, rest = split_by_keys(rest, _source(F.col("kind")), batch.select(_source(F.col("kind")).alias("key")))
+    return rest.where("kind in ('web', 'slides')"), replace_versions(named.unionByName(of_source), batch, key)
+
+
 def repeated_files(seen: DataFrame) -> DataFrame:
     """Files a run lists twice for one edition: an error before anything is dropped."""
     return (

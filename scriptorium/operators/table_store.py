@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from scriptorium.operators import index
 
+#: rows, or (rows as they were read, other rows)
+Changed = DataFrame | tuple[DataFrame, DataFrame]
 BUCKETS = 64
 DIGITS = 8
 #: children of a node in the tree of digests
@@ -180,10 +182,16 @@ class Store:
 
     # ---- writing ------------------------------------------------------------------
 
-    def stage(self, rows: DataFrame, buckets: int) -> dict[int, tuple[str, int, str]]:
-        """Write rows to a new folder that no version names yet; a large bucket takes several files."""
+    def stage(self, rows: DataFrame, buckets: int, lying: DataFrame | None = None) -> dict[int, tuple[str, int, str]]:
+        """Write rows to a new folder that no version names yet; a large bucket takes several files.
+
+        `lying` are further rows, read from buckets of this table: their files hold few buckets each, so they
+        are written by the tasks that read them and not dealt out again.
+        """
         write = uuid.uuid4().hex
         placed = rows.withColumn("bucket", bucket_of(buckets)).hint("rebalance", "bucket")
+        if lying is not None:
+            placed = lying.select(*rows.columns).withColumn("bucket", bucket_of(buckets)).unionByName(placed)
         placed.write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
         if not any(n.startswith("bucket=") for n in self.folder.names(f"data/{write}")):
             return {}
@@ -208,11 +216,15 @@ class Store:
         staged = self.stage(rows, buckets)
         return self.commit(None, "create", staged, staged, rows.schema.json(), buckets)
 
-    def rewrite(self, base: Manifest, action: str, touched: Iterable[int], change: Callable[[DataFrame], DataFrame]) -> Manifest:
-        """Change the rows of the touched buckets and commit; no other file is read or written."""
+    def rewrite(self, base: Manifest, action: str, touched: Iterable[int], change: Callable[[DataFrame], Changed]) -> Manifest:
+        """Change the rows of the touched buckets and commit; no other file is read or written.
+
+        `change` gives the rows, or a pair: rows that are as they were read, and the others.
+        """
         touched = sorted(touched)
         after = change(self.read(of=base, buckets=touched)) if touched else None
-        staged = {} if after is None else self.stage(after, base.buckets)
+        lying, after = after if isinstance(after, tuple) else (None, after)
+        staged = {} if after is None else self.stage(after, base.buckets, lying)
         stray = set(staged) - set(touched)
         if stray:
             raise ValueError(f"rows of buckets {sorted(stray)} came out of a change that did not read them")
@@ -232,17 +244,17 @@ class Store:
     def upsert(self, batch: DataFrame) -> Manifest:
         """Write by point id, the last write of an id wins."""
         base = self.manifest()
-        return self.rewrite(base, "upsert", self._holding(batch, base), lambda rows: index.upsert_points(rows, batch))
+        return self.rewrite(base, "upsert", self._holding(batch, base), lambda rows: index.upsert_where_they_lie(rows, batch))
 
     def replace(self, batch: DataFrame) -> Manifest:
         """Upsert, then drop what the batch supersedes: the predecessors lie in its sources' buckets."""
         base = self.manifest()
-        return self.rewrite(base, "replace", self._holding(batch, base), lambda rows: index.replace_versions(rows, batch))
+        return self.rewrite(base, "replace", self._holding(batch, base), lambda rows: index.replace_where_they_lie(rows, batch))
 
     def _where(self, action: str, gone: Column, base: Manifest) -> Manifest:
         """Delete by predicate: buckets without such a row stay as they are."""
         held = self._buckets(self.read(of=base).where(gone), base)
-        return self.rewrite(base, action, held, lambda rows: rows.where(~gone))
+        return self.rewrite(base, action, held, lambda rows: (rows.where(~gone), rows.limit(0)))
 
     def delete_run(self, run_id: str) -> Manifest:
         """Roll back one live run."""

@@ -312,16 +312,22 @@ def x14(spark, sf):
     return printed(index.replace_versions(points, v.batch(spark, sf)))
 
 
-def stored_points(spark, sf):
+def last_points(spark, sf):
+    """`views.points`, of which only points of repeated ids are shuffled."""
+    return index.keep_last_where_they_lie(v.point_rows(spark, sf).select("doc_id", *v.POINT_COLUMNS), "point_id", "seq")
+
+
+def stored_points(spark, sf, points=None):
     """The index as a table at rest, version 1."""
     store = Store(spark, scratch_path(spark, "store"))
-    store.create(v.points(spark, sf).select(*v.POINT_COLUMNS))
+    store.create((last_points(spark, sf) if points is None else points).select(*v.POINT_COLUMNS))
     return store
 
 
-def stored_batch(spark, sf):
-    """The second ingest, made once: finding its buckets and changing them both read it."""
-    return written_once(v.batch(spark, sf), "batch")
+def stored_with_batch(spark, sf):
+    """The index as a table at rest and a second ingest, made once: finding its buckets and changing them both read it."""
+    points = last_points(spark, sf)
+    return stored_points(spark, sf, points), written_once(v.batch(spark, sf, points), "batch")
 
 
 @query(
@@ -330,8 +336,8 @@ def stored_batch(spark, sf):
 )
 def x13_store(spark, sf):
     """The committed table after an upsert, beside the version before it, read as of then."""
-    store = stored_points(spark, sf)
-    after = store.upsert(stored_batch(spark, sf))
+    store, batch = stored_with_batch(spark, sf)
+    after = store.upsert(batch)
     before = store.read(version=1).select("point_id", F.col("seq").alias("seq_before"))
     return printed(store.read(of=after)).join(before, "point_id", "left")
 
@@ -339,8 +345,8 @@ def x13_store(spark, sf):
 @query("x14_store_replace", REPLACED_SQL)
 def x14_store(spark, sf):
     """The committed table after a batch has replaced what it supersedes."""
-    store = stored_points(spark, sf)
-    return printed(store.read(of=store.replace(stored_batch(spark, sf))))
+    store, batch = stored_with_batch(spark, sf)
+    return printed(store.read(of=store.replace(batch)))
 
 
 SEEN_SQL = "(SELECT DISTINCT source_file, course, academic_year FROM v_points WHERE kind = 'slides' AND doc_id % 6 = 0 AND doc_id % 36 <> 0)"
@@ -426,8 +432,8 @@ BUCKET_SQL = "CAST('0x' || substr(md5(COALESCE(CASE WHEN kind = 'web' THEN url E
 )
 def x16_store(spark, sf):
     """Each commit with the buckets it rewrote, of all, and the rows after it."""
-    store = stored_points(spark, sf)
-    store.upsert(stored_batch(spark, sf))
+    store, batch = stored_with_batch(spark, sf)
+    store.upsert(batch)
     store.delete_run("live-1")
     sha = v.table(spark, sf, "documents").where("doc_id = 0").select(F.sha2("text", 256)).scalar()
     store.delete_material(sha, "C000", "2020-2021")

@@ -315,3 +315,24 @@ def test_runs_of_a_term_in_several_pieces_are_cut_at_its_own_places(spark):
         ("t", 2): (0.85, ["k15", "k20"]),
         ("u", 0): (0.5, [None, "z"]),
     }
+
+
+@pytest.mark.parametrize("name,change", [("upsert_points", table_store.Store.upsert), ("replace_versions", table_store.Store.replace)])
+def test_points_a_batch_does_not_name_are_not_shuffled(spark, monkeypatch, name, change):
+    many = spark.createDataFrame([web(f"p{i}", f"page{i}", i) for i in range(300)] + [deck(f"q{i}", f"file{i}", 900 + i) for i in range(300)], POINT)
+    batch = spark.createDataFrame([web("p3", "page3", 2000, "new"), web("n", "page7", 2001), deck("m", "file9", 2002), web("w", "page8", 2003, source="live")], POINT)
+    whole, sent = getattr(index, name), []
+    want = whole(many, batch)
+    monkeypatch.setattr(index, name, lambda rows, *a, **b: sent.append(rows.count()) or whole(rows, *a, **b))
+    made = table_store.Store(spark, scratch_path(spark, "store-test"))
+    made.create(many, buckets=2)
+    change(made, batch)
+    assert same(made.read(), want) and len(sent) == 1 and sent[0] < 20
+
+
+def test_keeping_the_last_where_rows_lie_equals_keeping_the_last(spark):
+    rows = spark.createDataFrame([(k % 90 if k % 10 else None, k, f"v{k}") for k in range(120)], "id int, seq long, v string")
+    assert same(index.keep_last_where_they_lie(rows, "id", "seq"), index.keep_last(rows, "id", "seq"))
+    one = spark.range(50).select(F.col("id"), F.col("id").alias("seq"))
+    kept = index.split_by_keys(one, "id", index.repeated_keys(one, "id"))
+    assert kept[0].isEmpty() and kept[1].count() == 50 and "Exchange" not in kept[1]._jdf.queryExecution().executedPlan().toString()
