@@ -11,8 +11,9 @@ from scriptorium.operators.tasks import CAP, FINAL_EVENTS, RUNNING_LEASE, STALLE
 
 # times are microseconds since 1970 inside the processors
 TASK_ROW = "task string, kind string, began long, last long, entries long, steps long, outcome string"
-FOLD = T.StructType(
+TASK_FOLD = T.StructType(
     [
+        T.StructField("task", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("began", T.LongType()),
         T.StructField("last", T.LongType()),
@@ -21,6 +22,9 @@ FOLD = T.StructType(
         T.StructField("outcome", T.StringType()),
     ]
 )
+FOLD = T.StructType([T.StructField("tasks", T.ArrayType(TASK_FOLD)), T.StructField("timer", T.LongType())])
+# A state's calls are messages to the JVM: tasks share one by their hash, so these grow with buckets, not with tasks.
+BUCKETS = 2048
 NOT_STEPS = ("queued", *FINAL_EVENTS)
 
 
@@ -32,8 +36,9 @@ def _in_order(rows: Iterator[Row]) -> list[Row]:
 class TaskLifecycle(StatefulProcessor):
     """Folds a task's entries into one row, emitted when it closes or its lease runs out.
 
-    State is one small value per open task. A closed task stays as a tombstone until
-    the watermark passes its lease, so a late entry does not open it again.
+    State is one value a bucket, with a small entry per open task. A closed task stays as a tombstone until
+    the watermark passes its lease, so a late entry does not open it again. A bucket has a timer for the first of
+    its leases; where that has moved on, it is set anew.
     """
 
     def __init__(self, question_lease: int = RUNNING_LEASE, upload_lease: int = STALLED_AFTER):
@@ -44,41 +49,72 @@ class TaskLifecycle(StatefulProcessor):
         self.fold = handle.getValueState("fold", FOLD)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.fold.get() if self.fold.exists() else None
-        kind, began, last, entries, steps, outcome = held or (None, None, None, 0, 0, None)
-        if outcome is not None:
-            return iter(())
-        for row in _in_order(rows):
-            kind = kind or row.kind
-            began = row.at if began is None else min(began, row.at)
-            last = row.at if last is None else max(last, row.at)
-            entries += 1
-            if row.event not in NOT_STEPS:
-                steps += 1
-            if row.event in FINAL_EVENTS:
-                outcome = "answered" if row.event == "end" else row.event
-        self.fold.update((kind, began, last, entries, steps, outcome))
-        if held is not None:  # a task not met before has no timer
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.leases[kind] * 1000)
-        if outcome is None:
-            return iter(())
-        return iter([self._row(key, kind, began, last, entries, steps, outcome)])
+        folds, timer = self._held()
+        by_task: dict[str | None, list[Row]] = {}
+        for row in rows:
+            by_task.setdefault(row.task, []).append(row)
+        out, first = [], timer
+        for task, own in by_task.items():
+            kind, began, last, entries, steps, outcome = folds.get(task) or (None, None, None, 0, 0, None)
+            if outcome is not None:
+                continue
+            for row in _in_order(own):
+                kind = kind or row.kind
+                began = row.at if began is None else min(began, row.at)
+                last = row.at if last is None else max(last, row.at)
+                entries += 1
+                if row.event not in NOT_STEPS:
+                    steps += 1
+                if row.event in FINAL_EVENTS:
+                    outcome = "answered" if row.event == "end" else row.event
+            folds[task] = (kind, began, last, entries, steps, outcome)
+            due = self._due(kind, last)
+            first = due if first is None else min(first, due)
+            if outcome is not None:
+                out.append(self._row(task, kind, began, last, entries, steps, outcome))
+        if first != timer:
+            self.handle.registerTimer(first)
+        self._keep(folds, first)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.fold.exists():
-            return iter(())
-        kind, began, last, entries, steps, outcome = self.fold.get()
-        self.fold.clear()
-        if outcome is not None:
+        folds, timer = self._held()
+        now = timerValues.getCurrentWatermarkInMs()
+        if timer is None or timer > now:  # one that an earlier lease has replaced
             return iter(())
-        name = "lost" if kind == "question" else "interrupted"
-        return iter([self._row(key, kind, began, last, entries, steps, name)])
+        out, left, first = [], {}, None
+        for task, held in folds.items():
+            kind, began, last, entries, steps, outcome = held
+            due = self._due(kind, last)
+            if due > now:
+                left[task] = held
+                first = due if first is None else min(first, due)
+            elif outcome is None:
+                name = "lost" if kind == "question" else "interrupted"
+                out.append(self._row(task, kind, began, last, entries, steps, name))
+        if first is not None:
+            self.handle.registerTimer(first)
+        self._keep(left, first)
+        return iter(out)
+
+    def _held(self) -> tuple[dict, int | None]:
+        """(fold of each task, the timer set last)."""
+        held = self.fold.get()
+        return ({}, None) if held is None else ({task: tuple(fold) for task, *fold in held[0]}, held[1])
+
+    def _keep(self, folds: dict, timer: int | None) -> None:
+        if folds:
+            self.fold.update(([(task, *fold) for task, fold in folds.items()], timer))
+        else:
+            self.fold.clear()
+
+    def _due(self, kind: str, last: int) -> int:
+        """Milliseconds from which the task's lease has run out."""
+        return last // 1000 + self.leases[kind] * 1000
 
     @staticmethod
-    def _row(key, kind, began, last, entries, steps, outcome) -> Row:
-        return Row(task=key[0], kind=kind, began=began, last=last, entries=entries, steps=steps, outcome=outcome)
+    def _row(task, kind, began, last, entries, steps, outcome) -> Row:
+        return Row(task=task, kind=kind, began=began, last=last, entries=entries, steps=steps, outcome=outcome)
 
     def close(self) -> None:
         pass
@@ -89,12 +125,17 @@ def task_lifecycles(
     late: str = "1 hour",
     question_lease: int = RUNNING_LEASE,
     upload_lease: int = STALLED_AFTER,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """A stream of entries (task, kind, event_id, ts, event) -> a stream of task rows."""
+    """A stream of entries (task, kind, event_id, ts, event) -> a stream of task rows.
+
+    `buckets` stays as it is for a stream's life.
+    """
     rows = (
         entries.withWatermark("ts", late)
         .select("task", "kind", "event_id", "event", "ts", F.unix_micros("ts").alias("at"))
-        .groupBy("task")
+        .withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets)))
+        .groupBy("bucket")
         .transformWithState(
             statefulProcessor=TaskLifecycle(question_lease, upload_lease),
             outputStructType=T.StructType.fromDDL(TASK_ROW),

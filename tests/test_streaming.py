@@ -149,3 +149,47 @@ def test_a_lone_row_in_a_slice_does_not_set_the_files_of_others(spark):
     )
     replay = write_in_order(rows, slices=8, rows_per_file=500)
     assert replay.files_per_trigger == 8 and spark.read.parquet(replay.path).count() == 4001
+
+
+def test_tasks_of_one_bucket_share_the_messages_of_its_state(spark):
+    class Handle:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            self.timers.append(ms)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    from pyspark.sql import Row
+
+    entry = lambda task, n, s, event: Row(task=task, kind="question", event_id=n, at=s * 1_000_000, event=event)
+    handle, fold = Handle(), lifecycle.TaskLifecycle(question_lease=10)
+    fold.init(handle)
+    rows = [entry(f"t{k}", k, 100 + k, "queued") for k in range(50)] + [entry("t3", 99, 200, "end")]
+    assert [(r.task, r.outcome, r.entries) for r in fold.handleInputRows((0,), iter(rows), handle)] == [("t3", "answered", 2)]
+    assert handle.calls == 3 and handle.timers == [110_000]
+    # a late entry of a closed task changes nothing, one of an open task moves its lease
+    assert not list(fold.handleInputRows((0,), iter([entry("t3", 98, 150, "step"), entry("t0", 97, 300, "step")]), handle))
+    handle.now = 110_000
+    assert not list(fold.handleExpiredTimer((0,), handle, None)) and handle.timers == [110_000, 111_000]
+    handle.now = 120_000
+    assert {r.task for r in fold.handleExpiredTimer((0,), handle, None)} == {f"t{k}" for k in range(1, 11)} - {"t3"}
+    handle.now = 1_000_000
+    out = list(fold.handleExpiredTimer((0,), handle, None))
+    assert len(out) == 40 and {r.outcome for r in out} == {"lost"} and handle.value is None
